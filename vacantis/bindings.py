@@ -157,7 +157,7 @@ def _sql(d) -> dict[str, tuple[list[str], str]]:
                CAST(CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE floor(o_totalprice * 0.8) END AS BIGINT) AS min_salary,
                CAST(CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE floor(o_totalprice) END AS BIGINT) AS max_salary,
                CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) END AS posted_at,
-               (o_orderkey % 100) / 100.0 AS freshness_score_raw,
+               CAST((o_orderkey % 100) / 100.0 AS DOUBLE) AS freshness_score,
                o_orderstatus <> 'F' AS is_active,
                CAST(o_orderdate AS TIMESTAMP) AS created_at,
                {d.days('CAST(o_orderdate AS TIMESTAMP)', 'o_orderkey % 3')} AS updated_at,

@@ -59,7 +59,9 @@ def with_similarity(jobs: DataFrame, target: Column) -> DataFrame:
     """Cosine similarity of every job vector with one target vector."""
     from ..functions.scoring import cosine
 
-    return jobs.withColumn("similarity", cosine(F.col("embedding"), target))
+    # the target is one value for all rows (a literal or a scalar subquery)
+    return (jobs.withColumn("__target", target)
+            .withColumn("similarity", cosine("embedding", "__target")).drop("__target"))
 
 
 def similar_jobs(jobs: DataFrame, target: Column, k: int = 10, min_sim: float = 0.5) -> DataFrame:
