@@ -252,13 +252,15 @@ def ats_from_url(url: Column | str) -> Column:
     url = col(url)
     kind, ident = None, None
     for label, patterns in boards.URL_PATTERNS.items():
-        for p in patterns:
-            hit = url.rlike(CI + p)
-            value = extract(url, CI + p) if re.compile(p).groups else F.lit(None).cast("string")
-            kind = F.when(hit, F.lit(label)) if kind is None else kind.when(hit, F.lit(label))
-            ident = F.when(hit, value) if ident is None else ident.when(hit, value)
-    valid = F.when(~F.lower(ident).isin(boards.NOT_IDENTIFIERS), ident)
-    # the identifier ladder runs only for addresses some platform claims
+        hit = url.rlike(any_of(patterns, CI))
+        # the first pattern that matches gives the identifier
+        values = [F.regexp_extract(url, CI + p, 1) if re.compile(p).groups else F.lit("") for p in patterns]
+        value = values[-1]
+        for p, v in reversed(list(zip(patterns[:-1], values[:-1]))):
+            value = F.when(url.rlike(CI + p), v).otherwise(value)
+        kind = F.when(hit, F.lit(label)) if kind is None else kind.when(hit, F.lit(label))
+        ident = F.when(hit, value) if ident is None else ident.when(hit, value)
+    valid = F.when((ident != "") & ~F.lower(ident).isin(boards.NOT_IDENTIFIERS), ident)
     return F.struct(kind.alias("ats_type"), valid.alias("ats_identifier"))
 
 
