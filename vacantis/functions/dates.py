@@ -50,7 +50,8 @@ def duration_s(start: Column | str, end: Column | str) -> Column:
 
 def freshness(posted: Column | str, as_of, half_life: float = 7.0) -> Column:
     """0.5 ** (whole days / half life); future is 1.0, unknown 0.5."""
-    days = F.greatest(F.lit(0), days_between(posted, as_of))
+    days = days_between(posted, as_of)
+    days = F.when(days < 0, F.lit(0)).otherwise(days)
     return F.coalesce(F.pow(F.lit(0.5), days / F.lit(float(half_life))), F.lit(0.5))
 
 
