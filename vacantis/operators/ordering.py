@@ -66,6 +66,6 @@ def with_similarity(jobs: DataFrame, target: Column) -> DataFrame:
 
 def similar_jobs(jobs: DataFrame, target: Column, k: int = 10, min_sim: float = 0.5) -> DataFrame:
     """Exact nearest active jobs; one scan, then a distributed top-n."""
-    return (with_similarity(jobs.filter(F.col("embedding").isNotNull()), target)
+    return (with_similarity(jobs.filter(F.col("is_active") & F.col("embedding").isNotNull()), target)
             .filter(F.col("similarity") >= min_sim)
             .orderBy(F.col("similarity").desc(), F.col("id")).limit(k))
