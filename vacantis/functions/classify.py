@@ -248,8 +248,16 @@ def related_skills(skill: Column | str) -> Column:
 
 
 def ats_from_url(url: Column | str) -> Column:
-    """``struct<ats_type, ats_identifier>``; both null when no platform is named."""
-    url = col(url)
+    """``struct<ats_type, ats_identifier>``; both null when no platform is named.
+
+    The rules run inside a one-element ``transform``: some hundred patterns
+    would overflow the size limit of a generated method, and every later use
+    of a field would repeat them.
+    """
+    return F.element_at(F.transform(F.array(col(url)), _platform_of), 1)
+
+
+def _platform_of(url: Column) -> Column:
     kind, ident = None, None
     for label, patterns in boards.URL_PATTERNS.items():
         hit = url.rlike(any_of(patterns, CI))

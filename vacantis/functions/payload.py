@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from ..rules.providers import JSONLD_LINKS
 from .core import nz
 
 
+def jpath(path: str) -> str:
+    """``a.b[0].c`` as a variant path; names with signs are quoted."""
+    if path == "$":
+        return path
+    out = "$"
+    for part in path.split("."):
+        name, index = re.fullmatch(r"(.*?)((?:\[\d+\])*)", part).groups()
+        out += (f".{name}" if re.fullmatch(r"\w+", name) else f'["{name}"]') + index
+    return out
+
+
 def jtext(v: Column, path: str) -> Column:
     """Scalar at ``path`` as text; objects, lists and empty text give null."""
-    text = nz(F.try_variant_get(v, path, "string"))
-    return F.when(~text.rlike(r"^[\{\[]"), text)
+    p = jpath(path)
+    text = nz(F.try_variant_get(v, p, "string"))
+    nested = (F.try_variant_get(v, p, "map<string,variant>").isNotNull()
+              | F.try_variant_get(v, p, "array<variant>").isNotNull())
+    return F.when(~text.rlike(r"^\s*[\{\[]") | ~nested, text)
 
 
 def jget(v: Column, *paths: str) -> Column:
@@ -18,14 +35,36 @@ def jget(v: Column, *paths: str) -> Column:
     return F.coalesce(*[jtext(v, p) for p in paths])
 
 
+def jlist(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, jpath(path), "array<variant>")
+
+
 def jarray(v: Column, *paths: str) -> Column:
     """C4: first non-empty list over alternative paths; ``$`` is a root list."""
-    options = []
-    for p in paths:
-        a = F.try_variant_get(v, p, "array<variant>")
-        options.append(F.when(F.size(a) > 0, a))
-    return F.coalesce(*options)
+    return F.coalesce(*[F.when(F.size(jlist(v, p)) > 0, jlist(v, p)) for p in paths])
 
 
 def jbool(v: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(v, p, "boolean") for p in paths])
+    return F.coalesce(*[F.try_variant_get(v, jpath(p), "boolean") for p in paths])
+
+
+def _members(v: Column) -> Column:
+    """Members of a list, or the object itself as one member."""
+    none = F.array().cast("array<variant>")
+    own = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v))
+    return F.coalesce(jlist(v, "$"), own, none)
+
+
+def jsonld_postings(v: Column, depth: int = 4) -> Column:
+    """Every ``JobPosting`` object reachable through lists, ``@graph``,
+    ``itemListElement`` and ``mainEntity``, down to ``depth`` nested links."""
+    level = _members(v)
+    found = F.array().cast("array<variant>")
+    for _ in range(depth + 1):
+        # lists inside lists count as one level
+        level = F.flatten(F.transform(level, _members))
+        found = F.concat(found, F.filter(level, lambda x: jtext(x, "@type") == "JobPosting"))
+        level = F.flatten(F.transform(level, lambda x: F.concat(
+            *[F.coalesce(_members(F.try_variant_get(x, jpath(k), "variant")), F.array().cast("array<variant>"))
+              for k in JSONLD_LINKS])))
+    return found
