@@ -10,7 +10,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
 from ..functions.core import nz
@@ -20,8 +20,11 @@ from .extract import jsonld_column, payload_jobs_column, script_jobs_column
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {"div", "article", "section", "li"}
 
-ELEMENT = ("struct<node:int, last:int, tag:string, cardset:int, kinds:array<string>, signature:string, "
-           "href:string, text:string>")
+_TEXT = T.StringType()
+ELEMENTS = T.ArrayType(T.StructType([
+    T.StructField("node", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("tag", _TEXT),
+    T.StructField("cardset", T.IntegerType()), T.StructField("kinds", T.ArrayType(_TEXT)),
+    T.StructField("signature", _TEXT), T.StructField("href", _TEXT), T.StructField("text", _TEXT)]))
 
 
 class _Tree(HTMLParser):
@@ -118,12 +121,12 @@ def _elements(html, layout):
     return out
 
 
-@F.pandas_udf("array<" + ELEMENT + ">")
+@F.pandas_udf(ELEMENTS)
 def elements_udf(html: pd.Series, layout: pd.Series) -> pd.Series:
     return pd.Series([_elements(h, l) for h, l in zip(html, layout)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def text_lines_udf(html: pd.Series) -> pd.Series:
     def lines(h):
         tree = _parse(h, set(pr.NOISE_TAGS) | {"nav", "header", "footer"}, set(pr.NOISE_CLASSES))
@@ -131,7 +134,7 @@ def text_lines_udf(html: pd.Series) -> pd.Series:
     return pd.Series([lines(h) for h in html])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(_TEXT)
 def main_text_udf(html: pd.Series) -> pd.Series:
     def main(h):
         tree = _parse(h, set(pr.NOISE_TAGS), set())

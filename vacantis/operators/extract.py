@@ -12,6 +12,10 @@ from ..functions.payload import jarray, jbool, jget, jlist, jpath, jsonld_postin
 from ..rules import boards, misc, providers as pr
 
 
+def _reader(path: str):
+    return lambda x: jtext(x, path)
+
+
 def _field(v: Column, alternatives: list[str], ident: Column) -> Column:
     """One field of a job object, first non-empty alternative."""
     out = []
@@ -22,7 +26,7 @@ def _field(v: Column, alternatives: list[str], ident: Column) -> Column:
             out.append(nz(F.concat_ws(", ", *parts)))
         elif kind == "names":
             path, name = rest.split()
-            out.append(nz(F.array_join(F.transform(jlist(v, path), lambda x, n=name: jtext(x, n)), ", ")))
+            out.append(nz(F.array_join(F.transform(jlist(v, path), _reader(name)), ", ")))
         elif kind == "first3":
             member = lambda x: F.coalesce(jtext(x, "name"), jtext(x, "city"), jtext(x, "$"))
             out.append(nz(F.array_join(F.slice(F.transform(jlist(v, rest), member), 1, 3), ", ")))
@@ -152,6 +156,11 @@ def job_links(html: Column | str, base: Column | str, k: int = 3) -> Column:
     return F.slice(F.array_distinct(links), 1, k)
 
 
+def _link_of(rank: int, label: str):
+    return lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), F.lit(label).alias("ats_type"),
+                                 x["url"].alias("url"), x["id"].alias("id"))
+
+
 def board_links(pages: DataFrame) -> DataFrame:
     """Every board link of a page as a company, once per page, type and identifier.
 
@@ -162,8 +171,7 @@ def board_links(pages: DataFrame) -> DataFrame:
     for rank, (label, pattern) in enumerate(misc.BOARD_LINKS):
         both = F.arrays_zip(F.regexp_extract_all("html", F.lit(CI + pattern), F.lit(1)).alias("url"),
                             F.regexp_extract_all("html", F.lit(CI + pattern), F.lit(2)).alias("id"))
-        found.append(F.transform(both, lambda x, i, n=rank, t=label: F.struct(
-            F.lit(n).alias("rank"), i.alias("pos"), F.lit(t).alias("ats_type"), x["url"].alias("url"), x["id"].alias("id"))))
+        found.append(F.transform(both, _link_of(rank, label)))
     x = pages.select("page_id", F.explode(F.flatten(F.array(*found))).alias("m")).select("page_id", "m.*")
     x = x.withColumn("url", F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit("https://"), "url")))
     host = tx.host_of("url")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..operators.filters import jobs_to_embed
 from ..rules import misc
@@ -33,7 +33,7 @@ def split_text(text: str, size: int = misc.CHUNK_SIZE, overlap: int = misc.CHUNK
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def chunk_udf(text: pd.Series) -> pd.Series:
     """U2."""
     return pd.Series([split_text(t) for t in text])
@@ -64,7 +64,7 @@ def embed_column(text: Column | str, dim: int, make: Callable[[int], Callable] =
     model is loaded once and fed whole Arrow batches.  Chunks never leave the
     row, so pooling needs no shuffle.
     """
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make(dim)
         for texts in batches:

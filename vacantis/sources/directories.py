@@ -94,4 +94,5 @@ def read_embedded_state(pages: DataFrame) -> DataFrame:
 def harvest_boards(texts: DataFrame) -> DataFrame:
     """Board names in sitemap or robots text, once each.  ``texts(body)``."""
     found = F.explode(F.regexp_extract_all("body", F.lit(pr.HARVEST_PATTERN), F.lit(1)))
-    return (texts.select(F.lower(found).alias("board")).filter(~F.col("board").isin(pr.HARVEST_SKIP)).distinct())
+    names = texts.select(found.alias("board")).select(F.lower("board").alias("board"))
+    return names.filter(~F.col("board").isin(pr.HARVEST_SKIP)).distinct()
