@@ -8,8 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, functions as F
 
 from ..rules import boards, locations as loc, misc, roles, skills as sk
-from .core import (CI, UNICODE_CI, any_of, col, contains_any, extract, first_contained,
-                   first_extract, first_label, literal_array, nz)
+from .core import (CI, UNICODE_CI, any_of, col, contains_any, extract, first_contained, fold, folded_match,
+                   first_extract, first_label, literal_array, nz, once)
 
 # ------------------------------------------------------------------ titles
 
@@ -19,8 +19,7 @@ def role_family(title: Column | str) -> Column:
 
     Patterns are unanchored on purpose: "cto" also hits "Director".
     """
-    rules = first_label(col(title), roles.ROLE_FAMILIES)
-    return rules.otherwise(F.lit(roles.DEFAULT_ROLE_FAMILY))
+    return F.coalesce(first_label(col(title), roles.ROLE_FAMILIES), F.lit(roles.DEFAULT_ROLE_FAMILY))
 
 
 def role_specialization(title: Column | str) -> Column:
@@ -50,11 +49,12 @@ def _band(years: Column) -> Column:
 
 def seniority_from_experience(description: Column | str) -> Column:
     """Level from the first stated years of experience, else from a range of years."""
-    text = col(description)
-    years = extract(text, UNICODE_CI + roles.YEARS_OF_EXPERIENCE).try_cast("decimal(38,0)")
-    low = extract(text, UNICODE_CI + roles.YEARS_RANGE, 1).try_cast("decimal(38,0)")
-    high = extract(text, UNICODE_CI + roles.YEARS_RANGE, 2).try_cast("decimal(38,0)")
-    return F.coalesce(_band(years), _band(F.floor((low + high) / F.lit(2))))
+    def read(text: Column) -> Column:
+        number = lambda pattern, group: extract(text, "(?U)" + pattern, group).try_cast("decimal(38,0)")
+        stated = F.when(text.contains("exp"), number(roles.YEARS_OF_EXPERIENCE, 1))
+        middle = F.floor((number(roles.YEARS_RANGE, 1) + number(roles.YEARS_RANGE, 2)) / F.lit(2))
+        return F.when(text.contains("y"), F.coalesce(once(stated, _band), once(middle, _band)))
+    return once(fold(col(description)), read)
 
 
 def seniority(title: Column | str, description: Column | str) -> Column:
@@ -73,21 +73,20 @@ def employment_type(raw: Column | str) -> Column:
 _ALL_COUNTRY = [p for patterns in loc.COUNTRIES.values() for p in patterns]
 
 
-def looks_like_place(text: Column) -> Column:
-    lower = F.lower(text)
+def _looks_like_place(text: Column, folded: Column) -> Column:
     states = r"(?U)\b(?:" + "|".join(loc.US_STATES.values()) + r")\b"
-    return (contains_any(lower, loc.TECH_HUBS) | text.rlike(states)
-            | text.rlike(any_of(_ALL_COUNTRY)) | text.rlike(loc.CITY_COMMA_STATE))
+    return (contains_any(F.lower(text), loc.TECH_HUBS) | text.rlike(states)
+            | folded_match(folded, _ALL_COUNTRY) | text.rlike(loc.CITY_COMMA_STATE))
 
 
 def location_type(raw: Column | str) -> Column:
     """L4: hybrid beats remote when both are said; a bare place is on site."""
     text = F.trim(nz(raw))
-    hybrid = text.rlike(any_of(loc.HYBRID))
-    return (F.when(hybrid, F.lit("hybrid"))
-            .when(text.rlike(any_of(loc.REMOTE)), F.lit("remote"))
-            .when(text.rlike(any_of(loc.ONSITE)), F.lit("onsite"))
-            .when(looks_like_place(text), F.lit("onsite")))
+    said = once(fold(text), lambda t: F.when(folded_match(t, loc.HYBRID), F.lit("hybrid"))
+                .when(folded_match(t, loc.REMOTE), F.lit("remote"))
+                .when(folded_match(t, loc.ONSITE), F.lit("onsite")))
+    place = once(text, lambda t: F.when(_looks_like_place(t, fold(t)), F.lit("onsite")))
+    return F.coalesce(said, place)
 
 
 def clean_location(text: Column) -> Column:
@@ -97,7 +96,7 @@ def clean_location(text: Column) -> Column:
         out = F.regexp_replace(out, UNICODE_CI + pattern, "")
     out = F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
     out = F.regexp_replace(out, r"^[ ,;-]+|[ ,;-]+$", "")
-    return F.when(F.length(out) > 1, out)
+    return once(out, lambda t: F.when(F.length(t) > 1, t))
 
 
 def locations(raw: Column | str) -> Column:
@@ -105,14 +104,17 @@ def locations(raw: Column | str) -> Column:
 
     Hub keys are substrings: "la" also hits "Atlanta".
     """
-    text = F.trim(nz(raw))
-    lower = F.lower(text)
-    known = [F.when(lower.contains(k), F.lit(v)) for k, v in loc.TECH_HUBS.items()]
-    known += [F.when(text.rlike(any_of(p)), F.lit(c)) for c, p in loc.COUNTRIES.items()]
-    found = F.array_distinct(F.array_compact(F.array(*known)))
-    own = F.array_compact(F.array(clean_location(text)))
-    return F.coalesce(F.when(F.size(found) > 0, found).otherwise(own),
-                      F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def known(text: Column) -> Column:
+        lower = once(F.lower(text), lambda t: F.array(*[F.when(t.contains(k), F.lit(v)) for k, v in loc.TECH_HUBS.items()]))
+        lands = once(fold(text), lambda t: F.array(*[F.when(folded_match(t, p), F.lit(c)) for c, p in loc.COUNTRIES.items()]))
+        return F.array_distinct(F.array_compact(F.concat(lower, lands)))
+
+    def read(text: Column) -> Column:
+        return once(known(text), lambda found: F.when(F.size(found) > 0, found).otherwise(
+            F.array_compact(F.array(clean_location(text)))))
+    return F.coalesce(once(F.trim(nz(raw)), read), none)
 
 
 def is_us_location(raw: Column | str) -> Column:
@@ -120,7 +122,10 @@ def is_us_location(raw: Column | str) -> Column:
 
     Tests are substrings: "Milwaukee" contains "uk" and counts as abroad.
     """
-    text = nz(raw)
+    return once(nz(raw), _us_of)
+
+
+def _us_of(text: Column) -> Column:
     lower = F.lower(text)
     abroad = contains_any(lower, loc.NON_US_WORDS)
     codes = [c.lower() for c in loc.US_STATES.values()]
@@ -145,7 +150,7 @@ def location_from_html(html: Column | str) -> Column:
     options = []
     for pattern in loc.LOCATION_SNIPPETS:
         text = F.regexp_replace(F.trim(extract(col(html), UNICODE_CI + pattern)), r"(?U)\s+", " ")
-        options.append(F.when((F.length(text) > 5) & (F.length(text) < 200), text))
+        options.append(once(text, lambda t: F.when((F.length(t) > 5) & (F.length(t) < 200), t)))
     return F.coalesce(*options)
 
 
@@ -250,11 +255,10 @@ def related_skills(skill: Column | str) -> Column:
 def ats_from_url(url: Column | str) -> Column:
     """``struct<ats_type, ats_identifier>``; both null when no platform is named.
 
-    The rules run inside a one-element ``transform``: some hundred patterns
-    would overflow the size limit of a generated method, and every later use
-    of a field would repeat them.
+    Some hundred patterns: bound once, or every later use of a field would
+    repeat them.
     """
-    return F.element_at(F.transform(F.array(col(url)), _platform_of), 1)
+    return once(col(url), _platform_of)
 
 
 def _platform_of(url: Column) -> Column:
@@ -282,12 +286,19 @@ def ats_from_html(html: Column | str) -> Column:
     return first_contained(F.lower(col(html)), boards.PAGE_MARKS)
 
 
+def _from_segment_start(pattern: str) -> str:
+    """A leading ``([^.]+)`` finds the same leftmost match when it may start only
+    after a dot; without that the search is quadratic in the distance of dots."""
+    lead = re.match(r"\(\[\^([./]+)\]\+\)", pattern)
+    return f"(?<![^{lead.group(1)}])" + pattern if lead else pattern
+
+
 def ats_identifier(html: Column | str, ats_type: Column | str) -> Column:
     """The company's identifier in a page of a known platform."""
     html, ats_type = col(html), col(ats_type)
     out = None
     for label, patterns in boards.PAGE_IDENTIFIERS.items():
-        options = [extract(html, p) for p in patterns]
+        options = [extract(html, _from_segment_start(p)) for p in patterns]
         if label == "greenhouse":
             options = [F.when(~o.isin(boards.NOT_PAGE_TOKENS), o) for o in options]
             links = F.regexp_extract_all(html, F.lit(boards.GREENHOUSE_BOARD_LINK), F.lit(1))
@@ -327,19 +338,21 @@ def ats_from_page(html: Column | str) -> Column:
 
 def funding_stage(text: Column | str) -> Column:
     """Stage named in the text; later rounds win."""
-    text = F.lower(col(text))
-    out = None
-    for phrase, stage in misc.FUNDING_STAGES.items():
-        hit = text.contains(phrase)
-        out = F.when(hit, F.lit(stage)) if out is None else out.when(hit, F.lit(stage))
-    return out
+    def stage_of(t: Column) -> Column:
+        out = None
+        for phrase, stage in misc.FUNDING_STAGES.items():
+            hit = t.contains(phrase)
+            out = F.when(hit, F.lit(stage)) if out is None else out.when(hit, F.lit(stage))
+        return out
+    return once(F.lower(col(text)), stage_of)
 
 
 def looks_like_careers(html: Column | str) -> Column:
     """Two career words and one role word."""
-    text = F.lower(col(html))
-    count = sum((text.contains(w).cast("int") for w in boards.CAREER_WORDS), F.lit(0))
-    return (count >= 2) & contains_any(text, boards.ROLE_WORDS)
+    def look(t: Column) -> Column:
+        count = sum((t.contains(w).cast("int") for w in boards.CAREER_WORDS), F.lit(0))
+        return (count >= 2) & contains_any(t, boards.ROLE_WORDS)
+    return once(F.lower(col(html)), look)
 
 
 def has_careers_phrase(html: Column | str) -> Column:

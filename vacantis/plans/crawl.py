@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify as cl, dates as dt, text as tx
-from ..functions.core import extract, first_extract, is_blank, nz, ts
+from ..functions.core import extract, is_blank, nz, once, ts
 from ..operators.joins import reconcile
 from ..operators.upserts import update_where
 from ..operators.windows import changed_snapshots, latest_per
@@ -88,7 +88,7 @@ def page_description(html, ats_type=None):
         limit = F.when(ats_type == "lever", F.lit(misc.MIN_DESCRIPTION_LEVER)).otherwise(limit)
     options = [tx.html_to_text(extract(html, "(?s)" + misc.DESCRIPTION_JSON))]
     options += [tx.strip_tags(extract(html, "(?is)" + p)) for p in misc.DESCRIPTION_BLOCKS]
-    return F.coalesce(*[F.when(F.length(o) > limit, o) for o in options])
+    return F.coalesce(*[once(o, lambda t: F.when(F.length(t) > limit, t)) for o in options])
 
 
 def page_posted(html):
