@@ -1 +1,73 @@
-"""."""
+"""Streaming queries: the events table read as a stream, checked against batch SQL.
+
+Each query drains the files that are there (available-now) and returns the
+stream's result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..bindings import bind, cte, load
+from ..functions.core import iso
+from ..streaming import streams as sm
+from . import query
+
+
+def _events(spark, sf):
+    schema = load(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+@query("stream_crawl_series", cte("snapshots") + """
+    SELECT strftime(date_trunc('day', crawled_at), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS crawls, count(*) FILTER (WHERE status_code = 200) AS successes,
+      round(count(*) FILTER (WHERE status_code = 200) / count(*), 3) AS success_rate FROM b_snapshots GROUP BY 1""")
+def stream_crawl_series(spark, sf):
+    e = _events(spark, sf).select(F.expr("CASE WHEN event_type = 'error' THEN 500 ELSE 200 END").alias("status_code"),
+                                  F.col("ts").cast("timestamp").alias("crawled_at"))
+    out = sm.run_to_table(sm.crawl_series(e), "complete")
+    return out.select(iso("start").alias("start"), "crawls", "successes", "success_rate")
+
+
+@query("stream_changed_pages", cte("snapshots") + """
+    SELECT company_id, id FROM (SELECT *, lag(html) OVER (PARTITION BY company_id ORDER BY crawled_at, id) AS before FROM b_snapshots)
+    WHERE before IS NULL OR before <> html""")
+def stream_changed_pages(spark, sf):
+    e = _events(spark, sf).select(
+        F.col("user_id").alias("company_id"), F.col("event_id").alias("id"),
+        F.concat("event_type", F.get_json_object("props", "$.k").cast("bigint") % 3).alias("html"), F.col("ts").cast("timestamp").alias("crawled_at"))
+    return sm.run_changes(e).select("company_id", "id")
+
+
+@query("stream_first_domains", """
+    SELECT 'u' || user_id || '.com' AS domain FROM events GROUP BY user_id""")
+def stream_first_domains(spark, sf):
+    e = _events(spark, sf).select(F.concat(F.lit("https://www.u"), "user_id", F.lit(".com/x")).alias("website_url"),
+                                  F.lit(None).cast("string").alias("careers_url"), F.col("ts").cast("timestamp").alias("discovered_at"))
+    return sm.run_to_table(sm.first_per_domain(e)).select("domain")
+
+
+@query("stream_sessions", """
+    SELECT user_id AS candidate_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS clicks FROM (
+      SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+        SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new
+        FROM events WHERE event_type = 'click')) GROUP BY user_id, s""")
+def stream_sessions(spark, sf):
+    e = _events(spark, sf).filter("event_type = 'click'").select(F.col("user_id").alias("candidate_id"), F.col("ts").cast("timestamp").alias("at"))
+    out = sm.run_to_table(sm.engagement_sessions(e), "complete")
+    return out.select("candidate_id", iso("start").alias("start"), "clicks")
+
+
+@query("stream_normalize", cte("jobs_raw") + """
+    SELECT id, CASE WHEN salary_raw LIKE '€%' THEN TRY_CAST(regexp_extract(salary_raw, '(\\d+)', 1) AS BIGINT) END AS euro_salary, strftime(CAST(replace(replace(posted_at_raw, 'T', ' '), 'Z', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS posted_at FROM b_jobs_raw""")
+def stream_normalize(spark, sf):
+    from ..bindings import AS_OF, _SPARK
+
+    schema = load(spark, sf, "orders").schema
+    o = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    raw = spark.sql(_SPARK["jobs_raw"][1].replace("FROM orders", "FROM {orders}"), orders=o)
+    out = sm.run_to_table(sm.normalize_stream(raw, AS_OF))
+    money = bind(spark, sf, "jobs_raw").select(F.col("id").alias("raw_job_id"), "salary_raw")
+    return out.join(money, "raw_job_id").select(
+        F.col("raw_job_id").alias("id"), F.when(F.col("salary_raw").startswith("€"), F.col("min_salary")).alias("euro_salary"),
+        iso("posted_at").alias("posted_at"))

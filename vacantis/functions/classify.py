@@ -76,7 +76,7 @@ _ALL_COUNTRY = [p for patterns in loc.COUNTRIES.values() for p in patterns]
 def _looks_like_place(text: Column, folded: Column) -> Column:
     states = r"(?U)\b(?:" + "|".join(loc.US_STATES.values()) + r")\b"
     return (contains_any(F.lower(text), loc.TECH_HUBS) | text.rlike(states)
-            | folded_match(folded, _ALL_COUNTRY) | text.rlike(loc.CITY_COMMA_STATE))
+            | once(folded, lambda f: folded_match(f, _ALL_COUNTRY)) | text.rlike(loc.CITY_COMMA_STATE))
 
 
 def location_type(raw: Column | str) -> Column:

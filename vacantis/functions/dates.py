@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .core import col, nz, ts
+from .core import col, once, ts
 
-# Tried in order; the weekday of mail dates is removed first.
+# Shape of the text → formats to try.  A format is only tried on text of its
+# shape, since a failing parse costs an exception inside the parser.  The
+# weekday of mail dates is removed first.
 DATE_FORMATS = [
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm:ss",
-    "dd MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMM yyyy HH:mm:ss z",
-    "yyyy-MM-dd",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMMM yyyy",
-    "MM/dd/yyyy",
+    (r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:\d{2})$", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"]),
+    (r"^\d{4}-\d{2}-\d{2}T", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"]),
+    (r"^\d{4}-\d{2}-\d{2} \d", ["yyyy-MM-dd HH:mm:ss"]),
+    (r"^\d{4}-\d{2}-\d{2}$", ["yyyy-MM-dd"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", ["d MMM yyyy HH:mm:ss Z"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [A-Z]+$", ["d MMM yyyy HH:mm:ss z"]),
+    (r"^[A-Za-z]+ \d{1,2}, \d{4}$", ["MMMM d, yyyy", "MMM d, yyyy"]),
+    (r"^\d{1,2} [A-Za-z]+ \d{4}$", ["d MMMM yyyy"]),
+    (r"^\d{2}/\d{2}/\d{4}$", ["MM/dd/yyyy"]),
 ]
 
 
@@ -27,9 +27,10 @@ def parse_date(c: Column | str) -> Column:
 
     Offsets are applied (the instant is kept), not dropped.
     """
-    text = F.regexp_replace(F.trim(col(c)), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", "")
-    text = nz(text)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
+    def read(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
+                            for shape, formats in DATE_FORMATS])
+    return once(F.regexp_replace(F.trim(col(c)), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""), read)
 
 
 def days_between(start: Column | str, end) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,21 +29,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return tune(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, for checkpoints and intermediate tables.
 
-    The directory is the shared one named by ``spark.checkpoint.dir``.  Where
-    the session has none (local tests) a temporary one is set.
+    It is the one named by ``spark.checkpoint.dir``.  Where the session has
+    none, a local session (tests) gets a temporary one and a cluster is an error.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        import tempfile
+
+        shared = tempfile.mkdtemp(prefix="vacantis-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path inside the shared folder."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="vacantis-checkpoint-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
