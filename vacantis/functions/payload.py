@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from ..rules.providers import JSONLD_LINKS
-from .core import nz
+from .core import nz, once
 
 
 def jpath(path: str) -> str:
@@ -24,10 +24,10 @@ def jpath(path: str) -> str:
 def jtext(v: Column, path: str) -> Column:
     """Scalar at ``path`` as text; objects, lists and empty text give null."""
     p = jpath(path)
-    text = nz(F.try_variant_get(v, p, "string"))
     nested = (F.try_variant_get(v, p, "map<string,variant>").isNotNull()
               | F.try_variant_get(v, p, "array<variant>").isNotNull())
-    return F.when(~text.rlike(r"^\s*[\{\[]") | ~nested, text)
+    return once(F.try_variant_get(v, p, "string"),
+                lambda t: F.when((t != "") & (~t.rlike(r"^\s*[\{\[]") | ~nested), t))
 
 
 def jget(v: Column, *paths: str) -> Column:
@@ -41,7 +41,7 @@ def jlist(v: Column, path: str) -> Column:
 
 def jarray(v: Column, *paths: str) -> Column:
     """C4: first non-empty list over alternative paths; ``$`` is a root list."""
-    return F.coalesce(*[F.when(F.size(jlist(v, p)) > 0, jlist(v, p)) for p in paths])
+    return F.coalesce(*[once(jlist(v, p), lambda a: F.when(F.size(a) > 0, a)) for p in paths])
 
 
 def jbool(v: Column, *paths: str) -> Column:
@@ -58,13 +58,16 @@ def _members(v: Column) -> Column:
 def jsonld_postings(v: Column, depth: int = 4) -> Column:
     """Every ``JobPosting`` object reachable through lists, ``@graph``,
     ``itemListElement`` and ``mainEntity``, down to ``depth`` nested links."""
-    level = _members(v)
-    found = F.array().cast("array<variant>")
-    for _ in range(depth + 1):
-        # lists inside lists count as one level
-        level = F.flatten(F.transform(level, _members))
-        found = F.concat(found, F.filter(level, lambda x: jtext(x, "@type") == "JobPosting"))
-        level = F.flatten(F.transform(level, lambda x: F.concat(
-            *[F.coalesce(_members(F.try_variant_get(x, jpath(k), "variant")), F.array().cast("array<variant>"))
-              for k in JSONLD_LINKS])))
-    return found
+    none = F.array().cast("array<variant>")
+
+    def below(x: Column) -> Column:
+        return F.concat(*[F.coalesce(_members(F.try_variant_get(x, jpath(k), "variant")), none) for k in JSONLD_LINKS])
+
+    def walk(level: Column, left: int) -> Column:
+        own = F.filter(level, lambda x: jtext(x, "@type") == "JobPosting")
+        if left == 0:
+            return own
+        return F.concat(own, once(F.flatten(F.transform(F.flatten(F.transform(level, below)), _members)),
+                                  lambda deeper: walk(deeper, left - 1)))
+    # lists inside lists count as one level
+    return once(F.flatten(F.transform(_members(v), _members)), lambda top: walk(top, depth))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import text as tx
-from ..functions.core import nz
+from ..functions.core import nz, once
 from ..rules import misc, providers as pr
 from .extract import jsonld_column, payload_jobs_column, script_jobs_column
 
@@ -182,8 +182,8 @@ def card_jobs_column(elements: Column, url: Column, min_title: Column, link_titl
     cards = F.filter(elements, lambda e: e["cardset"].isNotNull())
     both = F.transform(cards, lambda c: F.struct(c["cardset"].alias("g"), _card_job(c, elements, url, link_title).alias("j")))
     good = F.filter(both, lambda x: F.length(x["j"]["title"]) >= min_title)
-    first = F.array_min(F.transform(good, lambda x: x["g"]))
-    return F.transform(F.filter(good, lambda x: x["g"] == first), lambda x: x["j"])
+    return once(good, lambda found: once(F.array_min(F.transform(found, lambda x: x["g"])), lambda first: F.transform(
+        F.filter(found, lambda x: x["g"] == first), lambda x: x["j"])))
 
 
 def link_jobs_column(elements: Column, url: Column) -> Column:
@@ -193,28 +193,28 @@ def link_jobs_column(elements: Column, url: Column) -> Column:
     links = F.filter(elements, lambda e: (e["href"] != "") & ~e["href"].startswith("#") & e["href"].rlike(pattern))
     jobs = F.transform(links, lambda e: _job(tx.clean_text(e["text"]), tx.resolve_url(url, e["href"]), none, none, none))
     # the first link of an address decides
-    firsts = F.filter(jobs, lambda j, i: F.array_position(F.transform(jobs, lambda x: x["url"]), j["url"]) == i + 1)
+    firsts = once(jobs, lambda all_: once(F.transform(all_, lambda x: x["url"]), lambda urls: F.filter(
+        all_, lambda j, i: F.array_position(urls, j["url"]) == i + 1)))
     return F.filter(firsts, lambda j: tx.is_job_title(j["title"]))
 
 
 def block_jobs_column(elements: Column, url: Column) -> Column:
     """Jobs of the first repeated block structure (three or more) that gives any."""
-    blocks = F.filter(elements, lambda e: e["signature"].isNotNull())
-    names = F.array_distinct(F.transform(blocks, lambda b: b["signature"]))
-    many = F.filter(names, lambda s: F.size(F.filter(blocks, lambda b: b["signature"] == s)) >= 3)
-    groups = F.transform(many, lambda s: F.filter(
-        F.transform(F.filter(blocks, lambda b: b["signature"] == s), lambda b: _card_job(b, elements, url, F.lit(True))),
-        lambda j: F.length(j["title"]) >= 5))
-    return F.coalesce(F.try_element_at(F.filter(groups, lambda g: F.size(g) > 0), F.lit(1)), F.slice(link_jobs_column(elements, url), 1, 0))
+    def read(blocks: Column) -> Column:
+        names = F.array_distinct(F.transform(blocks, lambda b: b["signature"]))
+        many = F.filter(names, lambda s: F.size(F.filter(blocks, lambda b: b["signature"] == s)) >= 3)
+        groups = F.transform(many, lambda s: F.filter(
+            F.transform(F.filter(blocks, lambda b: b["signature"] == s), lambda b: _card_job(b, elements, url, F.lit(True))),
+            lambda j: F.length(j["title"]) >= 5))
+        return F.try_element_at(F.filter(groups, lambda g: F.size(g) > 0), F.lit(1))
+    return once(F.filter(elements, lambda e: e["signature"].isNotNull()), read)
 
 
 def _first_filled(*named: tuple[str, Column]) -> Column:
-    """Struct of the first strategy with at least one job."""
-    out = None
-    for name, jobs in named:
-        hit = F.struct(F.lit(name).alias("strategy"), jobs.alias("jobs"))
-        out = F.when(F.size(jobs) > 0, hit) if out is None else out.when(F.size(jobs) > 0, hit)
-    return out
+    """Struct of the first strategy with at least one job; later ones are not computed."""
+    def filled(name: str):
+        return lambda jobs: F.when(F.size(jobs) > 0, F.struct(F.lit(name).alias("strategy"), jobs.alias("jobs")))
+    return F.coalesce(*[once(jobs, filled(name)) for name, jobs in named])
 
 
 def _rows(df: DataFrame, picked: Column) -> DataFrame:
@@ -258,8 +258,7 @@ def extract_jobs(snapshots: DataFrame, companies: DataFrame) -> tuple[DataFrame,
     low, link_title = _layout_flags(F.coalesce("ats_type", F.lit("generic")))
     html, url, e, kind = F.col("html"), F.col("url"), F.col("elements"), F.col("ats_type")
     picked = _first_filled(
-        ("payload", F.coalesce(payload_jobs_column(html, kind, F.col("ats_identifier")), F.slice(jsonld_column(html, url), 1, 0))),
-        ("scripts", F.coalesce(script_jobs_column(html, kind), F.slice(jsonld_column(html, url), 1, 0))),
+        ("payload", payload_jobs_column(html, kind, F.col("ats_identifier"))), ("scripts", script_jobs_column(html, kind)),
         ("cards", card_jobs_column(e, url, low, link_title)), ("jsonld", jsonld_column(html, url)),
         ("links", link_jobs_column(e, url)), ("blocks", block_jobs_column(e, url)))
     s = s.withColumn("__p", picked)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as cl, dates as dt, text as tx
-from ..functions.core import CI, extract, first_extract, literal_array, nz
+from ..functions.core import CI, extract, first_extract, nz, once
 from ..functions.payload import jarray, jbool, jget, jlist, jpath, jsonld_postings, jtext
 from ..rules import boards, misc, providers as pr
 
@@ -16,7 +16,7 @@ def _reader(path: str):
     return lambda x: jtext(x, path)
 
 
-def _field(v: Column, alternatives: list[str], ident: Column) -> Column:
+def _field(v: Column, alternatives: tuple[str, ...], ident: Column) -> Column:
     """One field of a job object, first non-empty alternative."""
     out = []
     for alt in alternatives:
@@ -44,29 +44,32 @@ def _field(v: Column, alternatives: list[str], ident: Column) -> Column:
     return F.coalesce(*out)
 
 
-def _by_provider(kind: Column, value) -> Column:
-    """CASE over the platform; ``value`` maps a provider entry to a Column or None."""
-    out = None
+def _by_provider(kind: Column, field: str, value) -> Column:
+    """CASE over the platform; platforms that read a field alike share a branch.
+
+    ``value`` maps the list of alternatives to a Column.
+    """
+    groups: dict[tuple, list[str]] = {}
     for label, spec in pr.PROVIDERS.items():
-        v = value(spec)
-        if v is not None:
-            out = F.when(kind == label, v) if out is None else out.when(kind == label, v)
+        if field in spec:
+            groups.setdefault(tuple(spec[field]), []).append(label)
+    out = None
+    for alternatives, labels in groups.items():
+        hit, v = kind.isin(labels), value(alternatives)
+        out = F.when(hit, v) if out is None else out.when(hit, v)
     return out
 
 
 def payload_job(v: Column, kind: Column, ident: Column) -> Column:
     """The job fields of one payload object as a struct."""
-    cols = []
-    for name in pr.PAYLOAD_FIELDS:
-        cols.append(_by_provider(kind, lambda s, n=name: _field(v, s[n], ident) if n in s else None).alias(name))
-    cols.append(_by_provider(kind, lambda s: jbool(v, *s["remote"]) if "remote" in s else None).alias("remote"))
-    return F.struct(*cols)
+    cols = [_by_provider(kind, name, lambda alts: _field(v, alts, ident)).alias(name) for name in pr.PAYLOAD_FIELDS]
+    return F.struct(*cols, _by_provider(kind, "remote", lambda paths: jbool(v, *paths)).alias("remote"))
 
 
 def payload_jobs_column(body: Column, kind: Column, ident: Column) -> Column:
     """Array of job structs of a payload document; jobs without a title are left out."""
-    v = F.try_parse_json(body)
-    jobs = _by_provider(kind, lambda s: jarray(v, *s["jobs"]))
+    # the document is parsed once; pages and other non-JSON bodies give null
+    jobs = once(F.try_parse_json(body), lambda v: _by_provider(kind, "jobs", lambda paths: jarray(v, *paths)))
     # the field map runs inside a lambda: one copy of it serves all rows, and no
     # generated method has to hold every platform's paths
     parsed = F.transform(F.coalesce(jobs, F.array().cast("array<variant>")), lambda j: payload_job(j, kind, ident))
@@ -94,7 +97,7 @@ def jsonld_column(html: Column, url: Column) -> Column:
     """Array of jobs in the JSON-LD scripts of a page."""
     docs = F.regexp_extract_all(html, F.lit(pr.JSONLD_SCRIPT), F.lit(1))
     found = F.flatten(F.transform(docs, lambda d: F.coalesce(
-        jsonld_postings(F.try_parse_json(d)), F.array().cast("array<variant>"))))
+        once(F.try_parse_json(d), lambda v: jsonld_postings(v)), F.array().cast("array<variant>"))))
     num = lambda v, p: F.try_variant_get(v, p, "bigint")
     jobs = F.transform(found, lambda v: F.struct(
         jget(v, "title", "name").alias("title"), F.coalesce(jtext(v, "url"), url).alias("url"),

@@ -20,6 +20,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   memory: str | None = None) -> SparkSession:
     """A session for scripts and tests; on a cluster use the one you are given."""
     builder = SparkSession.builder.appName("vacantis").config("spark.ui.enabled", "false")
+    # rule tables make large expressions; recording a call site for each part of
+    # them is most of the time it takes to build a plan (fixed at session start)
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
