@@ -42,7 +42,7 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file under ``ats_type=…/ats_identifier=…``."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select("ats_type", "ats_identifier", F.col("ats_identifier").alias("company_id"),
                     F.col("_metadata.file_path").alias("url"), F.col("value").alias("body")))
 
