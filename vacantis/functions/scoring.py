@@ -28,12 +28,15 @@ def lower_set(a: Column | str) -> Column:
     return F.array_distinct(F.transform(col(a), lambda x: F.lower(x)))
 
 
+def set_overlap(a: Column, b: Column) -> Column:
+    """Jaccard overlap of two distinct lists; a half when either is empty or null."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(has_items(a) & has_items(b), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(UNKNOWN))
+
+
 def skills_score(candidate: Column | str, job: Column | str) -> Column:
-    """M1: Jaccard overlap; a half when either side is missing."""
-    a, b = lower_set(candidate), lower_set(job)
-    return (F.when(has_items(candidate) & has_items(job),
-                   F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-            .otherwise(F.lit(UNKNOWN)))
+    """M1: Jaccard overlap of lower-cased skills; a half when either side is missing."""
+    return set_overlap(lower_set(candidate), lower_set(job))
 
 
 def shared_skills(candidate: Column | str, job: Column | str) -> Column:
@@ -62,15 +65,19 @@ def semantic_score(a: Column | str, b: Column | str) -> Column:
     return F.coalesce((cosine(a, b) + F.lit(1.0)) / F.lit(2.0), F.lit(UNKNOWN))
 
 
-def location_score(candidate: Column | str, job: Column | str) -> Column:
-    """M4: same place, one name inside the other, elsewhere, unknown."""
-    a, b = lower_set(candidate), lower_set(job)
+def place_overlap(a: Column, b: Column) -> Column:
+    """M4 on lower-cased lists: same place, one name inside the other, elsewhere, unknown."""
     part = F.exists(a, lambda x: F.exists(b, lambda y: y.contains(x) | x.contains(y)))
-    return (F.when(~has_items(candidate) | ~has_items(job), F.lit(UNKNOWN))
+    return (F.when(~has_items(a) | ~has_items(b), F.lit(UNKNOWN))
             .when(F.arrays_overlap(a, b), F.lit(LOCATION_SAME))
             .when(part, F.lit(LOCATION_PART)).otherwise(F.lit(LOCATION_OTHER)))
 
 
+def location_score(candidate: Column | str, job: Column | str) -> Column:
+    """M4."""
+    return place_overlap(lower_set(candidate), lower_set(job))
+
+
 def seniority_compatible(candidate: Column | str, job: Column | str) -> Column:
     """M5: at most one step apart; an unknown level passes."""
     order = literal_array(roles.SENIORITY_LEVELS)
@@ -79,14 +86,20 @@ def seniority_compatible(candidate: Column | str, job: Column | str) -> Column:
     return (a == 0) | (b == 0) | (F.abs(a - b) <= 1)
 
 
-def match_score(skills: Column, fresh: Column, semantic: Column, location: Column,
-                specialization: Column) -> Column:
-    """M6: weighted mean, boosted for passing the hard constraints, at most 1."""
+def weighted_score(skills: Column, fresh: Column, semantic: Column, location: Column,
+                   specialization: Column) -> Column:
+    """M6 without the upper limit."""
     fresh = F.coalesce(truthy_num(fresh), F.lit(UNKNOWN))
     special = F.when(nz(specialization).isNotNull(), F.lit(SPECIAL_KNOWN)).otherwise(F.lit(UNKNOWN))
     total = (skills * WEIGHT_SKILLS + fresh * WEIGHT_FRESHNESS + semantic * WEIGHT_SEMANTIC
              + location * WEIGHT_LOCATION + special * WEIGHT_SPECIAL)
-    return F.least(F.lit(1.0), total * HARD_MATCH_BOOST)
+    return total * HARD_MATCH_BOOST
+
+
+def match_score(skills: Column, fresh: Column, semantic: Column, location: Column,
+                specialization: Column) -> Column:
+    """M6: weighted mean, boosted for passing the hard constraints, at most 1."""
+    return F.least(F.lit(1.0), weighted_score(skills, fresh, semantic, location, specialization))
 
 
 def score_band(score: Column | str) -> Column:
