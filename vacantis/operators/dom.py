@@ -256,9 +256,9 @@ def extract_jobs(snapshots: DataFrame, companies: DataFrame) -> tuple[DataFrame,
     s = snapshots.join(c, "company_id", "left")
     s = with_elements(s, F.coalesce("ats_type", F.lit("generic")))
     low, link_title = _layout_flags(F.coalesce("ats_type", F.lit("generic")))
-    html, url, e, kind = F.col("html"), F.col("url"), F.col("elements"), F.col("ats_type")
+    html, url, e = F.col("html"), F.col("url"), F.col("elements")
     picked = _first_filled(
-        ("payload", payload_jobs_column(html, kind, F.col("ats_identifier"))), ("scripts", script_jobs_column(html, kind)),
+        ("payload", payload_jobs_column("html", "ats_type", "ats_identifier")), ("scripts", script_jobs_column("html", "ats_type")),
         ("cards", card_jobs_column(e, url, low, link_title)), ("jsonld", jsonld_column(html, url)),
         ("links", link_jobs_column(e, url)), ("blocks", block_jobs_column(e, url)))
     s = s.withColumn("__p", picked)

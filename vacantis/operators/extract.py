@@ -8,79 +8,92 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import classify as cl, dates as dt, text as tx
 from ..functions.core import CI, extract, first_extract, nz, once
-from ..functions.payload import jarray, jbool, jget, jlist, jpath, jsonld_postings, jtext
+from ..functions.payload import jget, jlist, jpath, jsonld_postings, jtext
 from ..rules import boards, misc, providers as pr
 
 
-def _reader(path: str):
-    return lambda x: jtext(x, path)
+# The field map of all platforms is one large expression.  It is written as SQL
+# text, since building it from Column objects takes a call into the JVM per node.
 
+def _get(v: str, path: str, kind: str) -> str:
+    return f"try_variant_get({v}, '{jpath(path)}', '{kind}')"
 
-def _field(v: Column, alternatives: tuple[str, ...], ident: Column) -> Column:
+
+def _text(v: str, path: str) -> str:
+    """SQL of :func:`vacantis.functions.payload.jtext`."""
+    scalar = f"{_get(v, path, 'map<string,variant>')} IS NULL AND {_get(v, path, 'array<variant>')} IS NULL"
+    return (f"element_at(transform(array({_get(v, path, 'string')}), t -> CASE WHEN t <> '' AND "
+            f"(left(t, 1) NOT IN ('{{', '[') OR ({scalar})) THEN t END), 1)")
+
+
+def _salary(v: str, low: str, high: str, currency: str) -> str:
+    """SQL of :func:`vacantis.functions.text.jsonld_salary`."""
+    lo, hi = (f"nullif({_get(v, p, 'bigint')}, 0)" for p in (low, high))
+    cur = f"coalesce({_text(v, currency)}, 'USD')"
+    return (f"CASE WHEN {lo} IS NOT NULL AND {hi} IS NOT NULL THEN concat({cur}, ' ', format_number({lo}, 0), ' - ', format_number({hi}, 0)) "
+            f"WHEN {lo} IS NOT NULL THEN concat({cur}, ' ', format_number({lo}, 0), '+') "
+            f"WHEN {hi} IS NOT NULL THEN concat('Up to ', {cur}, ' ', format_number({hi}, 0)) END")
+
+
+def _field(v: str, alternatives: tuple[str, ...], ident: str) -> str:
     """One field of a job object, first non-empty alternative."""
     out = []
     for alt in alternatives:
         kind, _, rest = alt.partition(" ")
         if kind == "csc":
-            parts = [F.coalesce(*[jtext(v, q) for q in p.split("|")]) for p in rest.split() if p != "-"]
-            out.append(nz(F.concat_ws(", ", *parts)))
+            parts = ["coalesce(" + ", ".join(_text(v, q) for q in p.split("|")) + ")" for p in rest.split() if p != "-"]
+            out.append(f"nullif(concat_ws(', ', {', '.join(parts)}), '')")
         elif kind == "names":
             path, name = rest.split()
-            out.append(nz(F.array_join(F.transform(jlist(v, path), _reader(name)), ", ")))
+            out.append(f"nullif(array_join(transform({_get(v, path, 'array<variant>')}, x -> {_text('x', name)}), ', '), '')")
         elif kind == "first3":
-            member = lambda x: F.coalesce(jtext(x, "name"), jtext(x, "city"), jtext(x, "$"))
-            out.append(nz(F.array_join(F.slice(F.transform(jlist(v, rest), member), 1, 3), ", ")))
+            member = "coalesce(" + ", ".join(_text("x", p) for p in ("name", "city", "$")) + ")"
+            out.append(f"nullif(array_join(slice(transform({_get(v, rest, 'array<variant>')}, x -> {member}), 1, 3), ', '), '')")
         elif kind == "range":
-            low, high, cur = rest.split()
-            num = lambda p: F.try_variant_get(v, jpath(p), "bigint")
-            out.append(tx.jsonld_salary(jtext(v, cur), num(low), num(high)))
+            out.append(_salary(v, *rest.split()))
         elif kind == "url" and rest:
-            pieces, values = re.split(r"\{(\w+)\}", rest), []
-            for i, piece in enumerate(pieces):
-                values.append(F.lit(piece) if i % 2 == 0 else (nz(ident) if piece == "ident" else jtext(v, piece)))
-            out.append(F.concat(*values))
+            pieces = [f"'{x}'" if i % 2 == 0 else (f"nullif({ident}, '')" if x == "ident" else _text(v, x))
+                      for i, x in enumerate(re.split(r"\{(\w+)\}", rest)) if x]
+            out.append(f"concat({', '.join(pieces)})")
         else:
-            out.append(jtext(v, alt))
-    return F.coalesce(*out)
+            out.append(_text(v, alt))
+    return f"coalesce({', '.join(out)})"
 
 
-def _by_provider(kind: Column, field: str, value) -> Column:
-    """CASE over the platform; platforms that read a field alike share a branch.
-
-    ``value`` maps the list of alternatives to a Column.
-    """
+def _by_provider(kind: str, field: str, value) -> str:
+    """CASE over the platform; platforms that read a field alike share a branch."""
     groups: dict[tuple, list[str]] = {}
     for label, spec in pr.PROVIDERS.items():
         if field in spec:
             groups.setdefault(tuple(spec[field]), []).append(label)
-    out = None
-    for alternatives, labels in groups.items():
-        hit, v = kind.isin(labels), value(alternatives)
-        out = F.when(hit, v) if out is None else out.when(hit, v)
-    return out
+    names = lambda labels: ", ".join(f"'{x}'" for x in labels)
+    return "CASE " + " ".join(f"WHEN {kind} IN ({names(labels)}) THEN {value(alts)}" for alts, labels in groups.items()) + " END"
 
 
-def payload_job(v: Column, kind: Column, ident: Column) -> Column:
-    """The job fields of one payload object as a struct."""
-    cols = [_by_provider(kind, name, lambda alts: _field(v, alts, ident)).alias(name) for name in pr.PAYLOAD_FIELDS]
-    return F.struct(*cols, _by_provider(kind, "remote", lambda paths: jbool(v, *paths)).alias("remote"))
+def payload_jobs_sql(body: str, kind: str, ident: str) -> str:
+    """SQL for the array of job structs of a payload document; jobs without a title are left out.
+
+    Arguments are SQL expressions.  The document is parsed once; pages and
+    other non-JSON bodies give an empty array.
+    """
+    some = lambda p: f"element_at(transform(array({_get('d', p, 'array<variant>')}), a -> CASE WHEN size(a) > 0 THEN a END), 1)"
+    jobs = _by_provider(kind, "jobs", lambda paths: "coalesce(" + ", ".join(map(some, paths)) + ")")
+    fields = [f"'{n}', {_by_provider(kind, n, lambda alts: _field('j', alts, ident))}" for n in pr.PAYLOAD_FIELDS]
+    flags = lambda paths: "coalesce(" + ", ".join(_get("j", p, "boolean") for p in paths) + ")"
+    fields.append(f"'remote', {_by_provider(kind, 'remote', flags)}")
+    found = f"coalesce(element_at(transform(array(try_parse_json({body})), d -> {jobs}), 1), cast(array() AS array<variant>))"
+    return f"filter(transform({found}, j -> named_struct({', '.join(fields)})), j -> j.title IS NOT NULL)"
 
 
-def payload_jobs_column(body: Column, kind: Column, ident: Column) -> Column:
-    """Array of job structs of a payload document; jobs without a title are left out."""
-    # the document is parsed once; pages and other non-JSON bodies give null
-    jobs = once(F.try_parse_json(body), lambda v: _by_provider(kind, "jobs", lambda paths: jarray(v, *paths)))
-    # the field map runs inside a lambda: one copy of it serves all rows, and no
-    # generated method has to hold every platform's paths
-    parsed = F.transform(F.coalesce(jobs, F.array().cast("array<variant>")), lambda j: payload_job(j, kind, ident))
-    return F.filter(parsed, lambda j: j["title"].isNotNull())
+def payload_jobs_column(body: str, kind: str, ident: str) -> Column:
+    return F.expr(payload_jobs_sql(body, kind, ident))
 
 
 def extract_payload_jobs(payloads: DataFrame) -> DataFrame:
     """Board payloads of all platforms to raw jobs, in one narrow pass."""
-    return (payloads.select("company_id", "ats_type", F.posexplode(
-        payload_jobs_column(F.col("body"), F.col("ats_type"), F.col("ats_identifier"))).alias("position", "job"))
-        .select("company_id", "ats_type", "position", "job.*"))
+    jobs = payload_jobs_column("body", "ats_type", "ats_identifier")
+    return (payloads.select("company_id", "ats_type", F.posexplode(jobs).alias("position", "job"))
+            .select("company_id", "ats_type", "position", "job.*"))
 
 
 def _place(v: Column) -> Column:
@@ -116,16 +129,16 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
             .select("page_id", "position", "job.*"))
 
 
-def script_jobs_column(html: Column, kind: Column) -> Column:
+def script_jobs_column(html: str, kind: str) -> Column:
     """Array of jobs of JSON lists assigned inside scripts."""
-    lists = F.array_compact(F.array(*[extract(html, p) for p in pr.SCRIPT_ARRAYS]))
-    jobs = F.flatten(F.transform(lists, lambda t: payload_jobs_column(t, kind, F.lit(None).cast("string"))))
-    return F.array_distinct(jobs)
+    lists = ", ".join(f"nullif(regexp_extract({html}, r'{p}', 1), '')" for p in pr.SCRIPT_ARRAYS)
+    jobs = payload_jobs_sql("doc", kind, "cast(NULL AS string)")
+    return F.expr(f"array_distinct(flatten(transform(array_compact(array({lists})), doc -> {jobs})))")
 
 
 def extract_script_jobs(pages: DataFrame) -> DataFrame:
     """``jobs = […]`` inside scripts, read with the platform's field map."""
-    return (pages.select("page_id", F.posexplode(script_jobs_column(F.col("html"), F.col("ats_type"))).alias("position", "job"))
+    return (pages.select("page_id", F.posexplode(script_jobs_column("html", "ats_type")).alias("position", "job"))
             .select("page_id", "position", "job.*"))
 
 
