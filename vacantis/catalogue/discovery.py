@@ -103,8 +103,8 @@ def fail_items(spark, sf):
            CASE WHEN id % 2 = 0 AND status = 'review' THEN 'https://ok.example' ELSE careers_url END AS careers_url FROM b_queue""")
 def apply_reviews(spark, sf):
     q = bind(spark, sf, "queue")
-    d = q.filter("id % 2 = 0 OR id % 7 = 1").select(
-        "id", F.expr("CASE WHEN id % 2 = 0 AND NOT (id % 7 = 1 AND status <> 'review') THEN 'approve' ELSE 'reject' END").alias("decision"),
+    d = q.select(
+        "id", F.expr("CASE WHEN id % 2 = 0 AND status = 'review' THEN 'approve' WHEN id % 7 = 1 THEN 'reject' ELSE 'wait' END").alias("decision"),
         F.lit("https://ok.example").alias("careers_url"), F.lit(None).cast("string").alias("reason"))
     return di.apply_reviews(q, d).select("id", "status", "careers_url")
 
@@ -142,7 +142,7 @@ def sync_candidates(spark, sf):
     wl = s.selectExpr("s_suppkey AS id", "s_name AS name", "concat(s_suppkey, '@x.example') AS email")
     det = s.selectExpr("s_suppkey AS waitlist_id", "CASE s_suppkey % 3 WHEN 0 THEN 'Data Science' WHEN 1 THEN 'UX Research' ELSE 'Knitting' END AS field",
                        "'senior' AS seniority", "CAST(floor(s_acctbal) AS BIGINT) AS expected_pay", "'US' AS country", "array('remote') AS work_type", "array('permanent') AS role_type")
-    target = s.filter("s_suppkey % 2 = 0").selectExpr("cast(s_suppkey AS STRING) AS id", "s_suppkey AS waitlist_id", "'old' AS name", "array('legal') AS role_families", "CAST(1 AS BIGINT) AS min_salary")
+    target = s.filter("s_acctbal > 3000").selectExpr("cast(s_suppkey AS STRING) AS id", "s_suppkey AS waitlist_id", "'old' AS name", "array('legal') AS role_families", "CAST(1 AS BIGINT) AS min_salary")
     return di.sync_candidates(target, wl, det, AS_OF).select("waitlist_id", "name", F.array_join("role_families", "|").alias("families"), "min_salary")
 
 
@@ -157,10 +157,10 @@ def link_parents(spark, sf):
 
 
 @query("parent_stubs", cte("companies") + """
-    SELECT DISTINCT 'gm' || (id % 40) || '.net' AS domain, CASE WHEN length('gm' || (id % 40)) <= 3 THEN upper('gm' || (id % 40)) ELSE 'Gm' || (id % 40) END AS name FROM b_companies WHERE id % 3 <> 0""")
+    SELECT DISTINCT 'gm' || (id % 40) || '.net' AS domain, CASE WHEN length('gm' || (id % 40)) <= 3 THEN upper('gm' || (id % 40)) ELSE 'Gm' || (id % 40) END AS name FROM b_companies""")
 def parent_stubs(spark, sf):
     c = bind(spark, sf, "companies")
-    r = c.filter("id % 3 <> 0").select(F.col("id").alias("company_id"), F.expr("concat('gm', id % 40, '.net')").alias("parent_domain"))
+    r = c.select(F.col("id").alias("company_id"), F.expr("concat('gm', id % 40, '.net')").alias("parent_domain"))
     _, stubs = jn.link_parents(c, r)
     return stubs.select("domain", "name")
 
@@ -222,7 +222,7 @@ _FETCH = """SELECT careers_url AS url, CASE id % 5 WHEN 0 THEN concat('https://j
     CASE id % 5 WHEN 2 THEN '<a href="https://x.example/y">We use BambooHR.com</a>' WHEN 3 THEN concat('<a href="/jobs/one-', id, '">A</a><a href="/jobs/two-', id, '">B</a>') ELSE '<p>hello</p>' END AS html,
     CAST('2001-08-01' AS TIMESTAMP) AS fetched_at FROM companies WHERE careers_url IS NOT NULL
     UNION ALL SELECT concat('https://www.customer', id, '.com/jobs/two-', id), concat('https://boards.greenhouse.io/late', id), 200, '', CAST('2001-08-01' AS TIMESTAMP) FROM companies WHERE careers_url LIKE '%.com/careers'
-    UNION ALL SELECT concat('https://', domain, '/jobs'), concat('https://jobs.ashbyhq.com/slug', id), 200, '', CAST('2001-08-01' AS TIMESTAMP) FROM companies WHERE careers_url IS NULL AND id % 16 = 0"""
+    UNION ALL SELECT concat('https://', domain, '/jobs'), concat('https://jobs.ashbyhq.com/slug', id), 200, '', CAST('2001-08-01' AS TIMESTAMP) FROM companies WHERE careers_url IS NULL"""
 
 
 def _fetches(spark, sf):
@@ -234,7 +234,7 @@ _DETECT = cte("companies") + """, w AS (SELECT *, CASE WHEN careers_url LIKE '%/
     f AS (SELECT *, CASE
         WHEN u LIKE '%greenhouse%' THEN 'greenhouse' WHEN u LIKE '%lever%' THEN 'lever' WHEN u LIKE '%ashbyhq%' THEN 'ashby' WHEN u LIKE '%recruitee%' THEN 'recruitee' WHEN u LIKE '%icims%' THEN 'icims'
         WHEN u IS NOT NULL AND id % 5 = 0 THEN 'lever' WHEN u IS NOT NULL AND id % 5 = 2 THEN 'bamboohr' WHEN u IS NOT NULL AND id % 5 = 3 THEN 'greenhouse'
-        WHEN careers_url IS NULL AND id % 16 = 0 AND domain IS NOT NULL THEN 'ashby' END AS kind,
+        WHEN careers_url IS NULL AND domain IS NOT NULL THEN 'ashby' END AS kind,
       CASE WHEN u LIKE '%.com/careers' AND id % 5 = 1 AND domain IS NOT NULL THEN 'bigparent.com' END AS parent FROM w)"""
 
 
@@ -266,11 +266,11 @@ def move_to_dormant(spark, sf):
 
 
 @query("recheck_dormant", cte("dormant", "companies") + f""", due AS (SELECT * FROM b_dormant WHERE last_checked_at IS NULL OR last_checked_at < {_T} - INTERVAL 30 DAY),
-    woken AS (SELECT id FROM due WHERE id % 6 = 0)
+    woken AS (SELECT id FROM due WHERE dormant_reason = 'no_website')
     SELECT id, (check_count + CASE WHEN id IN (SELECT id FROM due) THEN 1 ELSE 0 END)::BIGINT AS check_count FROM b_dormant WHERE id NOT IN (SELECT id FROM woken)""")
 def recheck_dormant(spark, sf):
     d = bind(spark, sf, "dormant")
-    fetched = d.filter("id % 6 = 0").select(F.concat(F.lit("https://"), "domain", F.lit("/careers")).alias("url"),
+    fetched = d.filter("dormant_reason = 'no_website'").select(F.concat(F.lit("https://"), "domain", F.lit("/careers")).alias("url"),
                                             F.concat(F.lit("https://jobs.lever.co/c"), "id").alias("final_url"), F.lit(200).alias("status"),
                                             F.lit("").alias("html"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"))
     _, after, _ = de.recheck_dormant(bind(spark, sf, "companies"), d, fetched, AS_OF)
@@ -279,11 +279,11 @@ def recheck_dormant(spark, sf):
 
 @query("validate_ats", cte("companies", "jobs") + """, idle AS (SELECT * FROM b_companies c WHERE is_active AND ats_type IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM b_jobs j WHERE j.company_id = c.id AND j.is_active AND j.role_family = 'data'))
-    SELECT id AS company_id, CASE WHEN id % 5 = 0 THEN 'invalid_identifier' WHEN id % 3 = 0 THEN 'failed' WHEN id % 3 = 1 THEN 'ok' ELSE 'not_crawled' END AS verdict FROM idle""")
+    SELECT id AS company_id, CASE WHEN id % 5 = 0 THEN 'invalid_identifier' WHEN country <> 'US' THEN 'not_crawled' WHEN location = '' THEN 'failed' ELSE 'ok' END AS verdict FROM idle""")
 def validate_ats(spark, sf):
     c = bind(spark, sf, "companies").withColumn("ats_identifier", F.when(F.col("id") % 5 == 0, F.lit("${BOARD}")).otherwise(F.col("ats_identifier")))
     jobs = bind(spark, sf, "jobs").filter("role_family = 'data'")
-    outcomes = c.filter("id % 3 <> 2").select(F.col("id").alias("company_id"), (F.col("id") % 3 == 1).alias("success"), F.lit("http_404").alias("reason"))
+    outcomes = c.filter("country = 'US'").select(F.col("id").alias("company_id"), (F.col("location") != "").alias("success"), F.lit("http_404").alias("reason"))
     _, checked, _ = de.validate_ats(c, jobs, outcomes, AS_OF)
     return checked.select("company_id", "verdict")
 

@@ -116,7 +116,7 @@ _SITE = """concat(CASE page_id % 4
     UNION ALL SELECT page_id, 'links', 'Developer role', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/careers/dev-' || page_id, NULL FROM pages WHERE page_id % 4 = 1""")
 def generic_jobs(spark, sf):
     p = load(spark, sf, "pages").select("page_id", "url", F.expr(_SITE).alias("html"))
-    return dom.extract_generic(p).filter(F.col("strategy") != "blocks").select("page_id", "strategy", "title", "url", "location")
+    return dom.extract_generic(p).select("page_id", "strategy", "title", "url", "location")
 
 
 @query("board_html_jobs", """
@@ -224,17 +224,17 @@ def page_descriptions(spark, sf):
 
 
 @query("enrich_outcomes", cte("jobs", "companies") + """
-    SELECT j.id, CASE WHEN c.ats_type = 'greenhouse' AND j.id % 3 = 0 THEN 'delisted' WHEN c.ats_type = 'greenhouse' AND j.id % 3 = 1 THEN 'enriched'
-      WHEN c.ats_type = 'lever' AND j.id % 2 = 0 THEN 'enriched' ELSE 'failed' END AS outcome
+    SELECT j.id, CASE WHEN c.ats_type = 'greenhouse' AND j.location_type = 'remote' THEN 'delisted' WHEN c.ats_type = 'greenhouse' AND j.location_type = 'hybrid' THEN 'enriched'
+      WHEN c.ats_type = 'lever' AND j.role_specialization IS NULL THEN 'enriched' ELSE 'failed' END AS outcome
     FROM b_jobs j JOIN b_companies c ON c.id = j.company_id WHERE j.is_active AND coalesce(j.description, '') = ''""")
 def enrich_outcomes(spark, sf):
     jobs = bind(spark, sf, "jobs").withColumn("enrich_failed_at", F.lit(None).cast("timestamp"))
     c = bind(spark, sf, "companies")
-    j = jobs.select("id", "source_url", F.col("company_id")).join(c.select(F.col("id").alias("company_id"), "ats_type", "ats_identifier"), "company_id")
-    details = j.filter("ats_type = 'greenhouse' AND id % 3 < 2").select(
-        "ats_type", "ats_identifier", F.col("id").cast("string").alias("provider_job_id"), F.expr("CASE WHEN id % 3 = 0 THEN 404 ELSE 200 END").alias("status"),
-        F.expr("CASE WHEN id % 3 = 1 THEN concat('<p>Job ', id, '</p>') END").alias("description_html"), F.lit(None).cast("string").alias("published_at"))
-    pages = j.filter("ats_type = 'lever' AND id % 2 = 0").select(
+    j = jobs.select("id", "source_url", "company_id", "location_type", "role_specialization").join(c.select(F.col("id").alias("company_id"), "ats_type", "ats_identifier"), "company_id")
+    details = j.filter("ats_type = 'greenhouse' AND location_type IN ('remote', 'hybrid')").select(
+        "ats_type", "ats_identifier", F.col("id").cast("string").alias("provider_job_id"), F.expr("CASE WHEN location_type = 'remote' THEN 404 ELSE 200 END").alias("status"),
+        F.expr("CASE WHEN location_type = 'hybrid' THEN concat('<p>Job ', id, '</p>') END").alias("description_html"), F.lit(None).cast("string").alias("published_at"))
+    pages = j.filter("ats_type = 'lever' AND role_specialization IS NULL").select(
         F.col("source_url").alias("url"), F.lit(200).alias("status"), F.expr("concat('<article>', repeat('long text ', 20), id, '</article>')").alias("html"))
     _, o = cr.enrich(jobs, c, details, pages, AS_OF)
     return o
