@@ -163,3 +163,43 @@ def test_embedding_is_the_mean_of_its_chunks(spark):
     assert out[1] == pytest.approx(embed(em.split_text(long)).mean(axis=0).tolist(), abs=1e-6)
     assert out[2] == pytest.approx(embed(["short text"])[0].tolist(), abs=1e-6)
     assert out[3] is None
+
+
+def test_discovery_stream_writes_what_the_batch_plan_finds(spark, tmp_path):
+    from vacantis.bindings import AS_OF_EVENTS, load
+    from vacantis.plans.discover import route
+
+    found = bind(spark, SF, "discovered")
+    companies, queue = bind(spark, SF, "companies"), bind(spark, SF, "queue").filter("created_at >= '2024-01-25'")
+    found.coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def save(new, queued, routed, batch_id):
+        routed.select("row_id", "outcome").write.mode("overwrite").parquet(f"{tmp_path}/out/part={batch_id}")
+
+    run = sm.discover_batch(lambda: companies, lambda: queue, save, AS_OF_EVENTS)
+    stream = spark.readStream.schema(found.schema).parquet(f"{tmp_path}/in")
+    sm.start(stream, f"{tmp_path}/cp", batch=run).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("row_id", "outcome").collect()}
+    assert got == {tuple(r) for r in route(found, companies, queue).select("row_id", "outcome").collect()}
+
+
+def test_engagement_stream_marks_matches(spark, tmp_path):
+    m = spark.createDataFrame([(1, 10), (2, 20)], "candidate_id int, job_id int").withColumn(
+        "shown_at", F.lit(None).cast("timestamp")).withColumn("clicked_at", F.lit(None).cast("timestamp"))
+    e = spark.createDataFrame([(1, 10, "shown", "2024-01-02"), (1, 10, "shown", "2024-01-01"), (1, 10, "clicked", "2024-01-03"),
+                               (1, 10, "clicked", "2024-01-04")], "candidate_id int, job_id int, kind string, d string")
+    e = e.withColumn("at", F.col("d").cast("timestamp"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = {}
+    run = sm.engagement_batch(lambda: m, lambda df, i: out.update({r[0]: (str(r[2])[:10], str(r[3])[:10]) for r in df.collect()}))
+    sm.start(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", batch=run).awaitTermination()
+    assert out == {1: ("2024-01-01", "2024-01-04"), 2: ("None", "None")}
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from vacantis.session import cut_lineage, new_folder, shared_folder
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert named is None or shared_folder(spark) == named
+    assert shared_folder(spark) == shared_folder(spark) and new_folder(spark, "x").startswith(shared_folder(spark))
+    assert cut_lineage(spark.range(3)).count() == 3

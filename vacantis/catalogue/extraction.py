@@ -247,13 +247,30 @@ def embedding_texts(spark, sf):
     return embedding_text(bind(spark, sf, "jobs")).select("id", "embedding_text")
 
 
-@query("chunk_text")
+_EDGE = "[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+# each step looks for the last space of the 200 characters before the limit
+_CHUNKS = f"""
+    WITH RECURSIVE c AS (
+      SELECT doc_id, text, 0 AS start, 0 AS no FROM documents
+      UNION ALL SELECT doc_id, text, CASE WHEN stop - 500 > start THEN stop - 500 ELSE stop END, no + 1 FROM (
+        SELECT *, CASE WHEN start + 6000 < length(text) AND contains(substr(text, start + 5801, 200), ' ')
+                 THEN start + 5800 + length(regexp_extract(substr(text, start + 5801, 200), '(?s)^(.*) ', 1)) ELSE start + 6000 END AS stop FROM c)
+      WHERE length(text) > 6000 AND CASE WHEN stop - 500 > start THEN stop - 500 ELSE stop END < length(text)),
+    p AS (SELECT doc_id, no, CASE WHEN length(text) <= 6000 THEN text ELSE regexp_replace(substr(text, start + 1,
+        CASE WHEN start + 6000 < length(text) AND contains(substr(text, start + 5801, 200), ' ')
+             THEN 5800 + length(regexp_extract(substr(text, start + 5801, 200), '(?s)^(.*) ', 1)) ELSE 6000 END), '^{_EDGE}|{_EDGE}$', '', 'g') END AS chunk FROM c)
+    SELECT doc_id, no::BIGINT AS chunk_no, length(chunk) AS n_chars, md5(chunk) AS digest FROM p"""
+
+
+@query("chunk_text", _CHUNKS)
 def chunk_text(spark, sf):
     return em.chunk_text(load(spark, sf, "documents"), "doc_id", "text").select(
-        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("chunk").cast("bigint").alias("n_chars"))
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.length("chunk").cast("bigint").alias("n_chars"),
+        F.md5("chunk").alias("digest"))
 
 
-@query("embed_jobs")
+@query("embed_jobs", cte("jobs") + """
+    SELECT id, 1::BIGINT AS chunks, 64::BIGINT AS dim FROM b_jobs WHERE is_active AND coalesce(description, '') <> ''""")
 def embed_jobs(spark, sf):
     jobs = bind(spark, sf, "jobs").withColumn("embedding", F.lit(None).cast("array<float>"))
     out, _ = em.embed_jobs(jobs, dim=64)

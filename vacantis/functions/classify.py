@@ -73,10 +73,20 @@ def employment_type(raw: Column | str) -> Column:
 _ALL_COUNTRY = [p for patterns in loc.COUNTRIES.values() for p in patterns]
 
 
+def _state_pattern() -> str:
+    """Any state code as a word, grouped by first letter so a mismatch fails at once."""
+    seconds: dict[str, str] = defaultdict(str)
+    for code in loc.US_STATES.values():
+        seconds[code[0]] += code[1]
+    return r"(?U)\b(?:" + "|".join(f"{a}[{rest}]" for a, rest in seconds.items()) + r")\b"
+
+
 def _looks_like_place(text: Column, folded: Column) -> Column:
-    states = r"(?U)\b(?:" + "|".join(loc.US_STATES.values()) + r")\b"
-    return (contains_any(F.lower(text), loc.TECH_HUBS) | text.rlike(states)
-            | once(folded, lambda f: folded_match(f, _ALL_COUNTRY)) | text.rlike(loc.CITY_COMMA_STATE))
+    # for a yes/no answer one letter before the comma is as good as a word, and
+    # the search stays linear
+    city_state = loc.CITY_COMMA_STATE.replace("[A-Za-z]+", "[A-Za-z]", 1)
+    return (contains_any(F.lower(text), loc.TECH_HUBS) | text.rlike(_state_pattern())
+            | once(folded, lambda f: folded_match(f, _ALL_COUNTRY)) | text.rlike(city_state))
 
 
 def location_type(raw: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return tune(builder.getOrCreate())
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors share, for checkpoints and intermediate tables.
 
@@ -42,10 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="vacantis-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        # the setting is fixed at start, so the folder is remembered here
+        shared = _LOCAL_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="vacantis-"))
     return shared
 
 
