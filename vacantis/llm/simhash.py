@@ -98,7 +98,7 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first_half = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1
     return (homes.join(visitors, "anchor")
             .where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= threshold)
-                   & ((F.col("anchor") < 1 << 32) | ~first_half))  # one half reports each link
+                   & ((F.col("anchor") < 1 << 32) == first_half))  # the half that must find a link reports it
             .select("u", "v"))
 
 
