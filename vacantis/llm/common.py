@@ -58,3 +58,21 @@ def fold(doc_id: Column) -> Column:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns; others, whatever their names, play no part."""
     return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def sampled_labels(labels: DataFrame, target: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``most`` labelled ids outside the held-out fold, spread by hash: (id, label).
+
+    Ids with a null label or id are left out; an id with several labels takes the largest.
+    """
+    known = (only(labels, id_col, target).dropna().where(fold(F.col(f"`{id_col}`")) != 0)
+             .groupBy(id_col).agg(F.max(target).cast("int").alias("label")))
+    return known.orderBy(F.xxhash64(id_col), id_col).limit(most).withColumnRenamed(id_col, "labelled_id")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, target: str, most: int,
+                   id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """(labelled_id, label, text, …) of the sampled labels; the side that is broadcast has at most ``most`` rows."""
+    ids = sampled_labels(labels, target, most, id_col)
+    return (only(docs, id_col, text_col, *more).join(F.broadcast(ids), F.col(f"`{id_col}`") == F.col("labelled_id"))
+            .select("labelled_id", "label", F.col(f"`{text_col}`").alias("body"), *(F.col(f"`{c}`") for c in more)))

@@ -26,3 +26,11 @@ def op1_simhash(spark, sf_dir):
 
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_line_crf(spark, sf_dir):
+    from .linecrf import judge, train
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, table(spark, sf_dir, "labels")))
