@@ -34,3 +34,11 @@ def op9_line_crf(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op2_factorization(spark, sf_dir):
+    from .factorization import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
