@@ -42,3 +42,17 @@ def op2_factorization(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_concat_cut(spark, sf_dir):
+    from .packing import pieces
+
+    return pieces(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op7_zip_warc(spark, sf_dir):
+    from .archive import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
