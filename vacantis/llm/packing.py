@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +37,11 @@ from .common import only, prepared, stored
 LENGTH, END_ID = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of text whose ids a worker keeps; it starts anew when there are more.
-KEPT = 400_000
-#: White space beside a space, other than a single space between visible characters.
-_ODD = [" " + c for c in " \t\n\r\x0b\x0c"] + [c + " " for c in "\t\n\r\x0b\x0c"]
-_ODD_WIDE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+KEPT = 600_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts in which a space stands beside other white space or at an end, or that hold the mark used for cutting.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+_ODD = f"(?:^|{_WHITE}) | (?:$|{_WHITE})|\\x00"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -51,36 +52,81 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 def units(text: str) -> list[str]:
     """The text in parts whose ids do not depend on each other; joined they are the text."""
-    if any(c in text for c in _ODD) or not text.isascii() and any(c in text for c in _ODD_WIDE):
-        first, *rest = _CUT.split(text)
-    else:
-        first, *rest = text.split(" ")
-        if rest and not (first and rest[-1]):  # a space at either end stands by itself
-            first, *rest = _CUT.split(text)
+    first, *rest = _CUT.split(text)
     return [first, *(" " + r for r in rest)]
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts by a vocabulary file; each distinct part of a batch is looked up or encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [units(t) for t in texts]
-        kept = self.kept
-        new = list({u for p in parts for u in p if u not in kept})
-        if len(kept) + len(new) > KEPT and len(kept) > KEPT // 2:
-            kept.clear()
-            new = list({u for p in parts for u in p})
-        for begin in range(0, len(new), 10_000):
-            some = new[begin:begin + 10_000]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                kept[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(kept.__getitem__, p)) for p in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # a character of a byte-level token is one byte
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Parts that start with a space before a visible character and end visibly are encoded as one text and cut by bytes."""
+        joint = [u for u in new if u[:1] == " " and not u[1:2].isspace() and not u[-1:].isspace() and u != " "
+                 and not any(t in u for t in self.special)]
+        apart = set(new).difference(joint)
+        for begin in range(0, len(joint), 4000):
+            some = joint[begin:begin + 4000]
+            ids, = self._encode(["".join(some)])
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(u.encode()) for u in some])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if not len(ids) or cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
+                apart.update(some)  # a vocabulary that joins across spaces
+                continue
+            low = 0
+            for u, high in zip(some, cuts.tolist()):
+                self.kept[u] = ids[low:high].tobytes()
+                low = high
+        apart = sorted(apart)
+        for begin in range(0, len(apart), 4000):
+            some = apart[begin:begin + 4000]
+            self.kept.update(zip(some, (i.tobytes() for i in self._encode(some))))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts without nulls, and how many each text has."""
+        marked = pc.replace_substring(texts, " ", "\x00 ")
+        odd = pc.match_substring_regex(texts, _ODD)
+        own: dict[int, np.ndarray] = {}
+        if pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            special = ["" if "\x00" in t else "\x00".join(units(t)) for t in texts.filter(odd).to_pylist()]
+            marked = pc.replace_with_mask(marked, odd, pa.array(special, texts.type))
+            held = {int(r): t for r, t in zip(rows, texts.filter(odd).to_pylist()) if "\x00" in t}
+            own = dict(zip(held, self._encode(list(held.values()))))
+        parts = pc.split_pattern(marked, "\x00")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        self._learn([u for u in distinct if u not in self.kept])
+        ids = [self.kept[u] for u in distinct]
+        size = np.array([len(b) // 4 for b in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                         pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        flat = lists.take(coded.indices).flatten().to_numpy().view("<u4")
+        upto = np.concatenate([[0], np.cumsum(size[coded.indices.to_numpy()])])
+        bounds = upto[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+        counts = np.diff(bounds)
+        if own:
+            pieces = np.split(flat, bounds[1:-1])
+            for r, v in own.items():
+                pieces[r] = v
+            flat, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+        return flat, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -93,35 +139,37 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 22):
-    """Runs of rows of about ``size`` characters: (first row, texts)."""
-    some, begin, n = [], 0, 0
-    for i, t in enumerate(texts.to_pylist()):
-        some.append(t or "")
-        n += len(some[-1])
-        if n >= size:
-            yield begin, some
-            some, begin, n = [], i + 1, 0
-    if some:
-        yield begin, some
+def _blocks(texts: pa.Array, size: int = 1 << 23):
+    """Runs of rows of about ``size`` bytes: (first row, texts without nulls)."""
+    texts = pc.fill_null(texts, "")
+    upto, begin = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while begin < len(texts):
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + size, "right")))
+        yield begin, pa.concat_arrays([texts.slice(begin, end - begin)])
+        begin = end
 
 
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one, written down: (part, doc_id, local, n, ids); local counts the ids before it in its partition."""
-    path, end = path or vocabulary_path(), np.array([end_id], "<u4").tobytes()
+    path = path or vocabulary_path()
 
     def run(batches):
         encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin, some in _blocks(batch.column(1)):
-                ids = [b + end for b in encode(some)]
-                n = np.array([len(b) // 4 for b in ids], np.int64)
-                local = at + np.cumsum(n) - n
-                at += int(n.sum())
+                flat, counts = encode(some)
+                flat = np.insert(flat, np.cumsum(counts), end_id)
+                n = counts + 1
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                local = at + bounds[:-1]
+                at += int(bounds[-1])
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [
+                    None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(len(n), part, np.int32)), "doc_id": batch.column(0).slice(begin, len(n)),
-                    "local": pa.array(local), "n": pa.array(n), "ids": pa.array(ids, pa.binary())})
+                    "local": pa.array(local), "n": pa.array(n), "ids": ids})
 
     prepared(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
