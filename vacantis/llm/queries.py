@@ -56,3 +56,10 @@ def op7_zip_warc(spark, sf_dir):
     from .archive import round_trip
 
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_spaced_seeds(spark, sf_dir):
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
