@@ -63,3 +63,11 @@ def op6_spaced_seeds(spark, sf_dir):
     from .decontam import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_url_tree(spark, sf_dir):
+    from .urltree import examples_of, judge
+
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, examples_of(pages, table(spark, sf_dir, "labels")))
