@@ -71,3 +71,12 @@ def op3_url_tree(spark, sf_dir):
 
     pages = table(spark, sf_dir, "pages")
     return judge(pages, examples_of(pages, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_secret_forest(spark, sf_dir):
+    from .secretforest import secrets
+
+    return secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", "nth", F.length("value").alias("length"), F.left("value", F.lit(4)).alias("begins"),
+        F.sha2("value", 256).alias("digest"), "score")
