@@ -80,3 +80,10 @@ def op10_secret_forest(spark, sf_dir):
     return secrets(table(spark, sf_dir, "documents")).select(
         "doc_id", "nth", F.length("value").alias("length"), F.left("value", F.lit(4)).alias("begins"),
         F.sha2("value", 256).alias("digest"), "score")
+
+
+@query
+def op8_pitman_yor(spark, sf_dir):
+    from .pitmanyor import scores
+
+    return scores(table(spark, sf_dir, "documents"))
