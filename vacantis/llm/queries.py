@@ -87,3 +87,10 @@ def op8_pitman_yor(spark, sf_dir):
     from .pitmanyor import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_patience(spark, sf_dir):
+    from .licenses import notices
+
+    return notices(table(spark, sf_dir, "documents"))
