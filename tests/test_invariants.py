@@ -140,27 +140,37 @@ def test_stream_in_two_batches_equals_batch(spark, tmp_path):
     assert got == {r[0] for r in kept.select("id").collect()}
 
 
-def test_chunks_cover_the_text():
+def pieces_of(text, size, overlap, look_back):
+    """The chunker's rule over plain positions."""
+    if len(text) <= size:
+        return [text]
+    starts, cuts = [0], []
+    while starts:
+        s = starts.pop()
+        spaces = [k for k in range(s + size - look_back, s + size) if k < len(text) and text[k] == " "]
+        cuts.append((s, spaces[-1] if spaces and s + size < len(text) else s + size))
+        starts += [b - overlap for b in [cuts[-1][1]] if b - overlap < len(text)]
+    return [p for p in (text[a:b].strip() for a, b in cuts) if p]
+
+
+def test_chunks_follow_the_rule(spark):
     rng = random.Random(2)
-    for _ in range(50):
-        text = "".join(rng.choice("abc  ") for _ in range(rng.randint(0, 300)))
-        pieces = em.split_text(text, 60, 10)
-        assert all(len(p) <= 60 for p in pieces)
-        at = 0
-        for p in pieces:
-            found = text.find(p, max(0, at - 70))
-            assert found >= 0
-            at = found + len(p)
-        assert "".join(text.split()) == "" or pieces
-        assert text.strip().endswith(pieces[-1].strip()) if pieces and text.strip() else True
+    rows = [(i, "".join(rng.choice("abcé  \n") for _ in range(rng.randint(0, 400)))) for i in range(80)]
+    rows += [(100, None), (101, ""), (102, " " * 300), (103, "x" * 300), (104, "\U0001F600 " * 150)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    for size, overlap, back in ((60, 10, 20), (41, 0, 1), (90, 30, 40)):
+        for r in df.select("id", "t", em.chunks("t", size, overlap, back).alias("c")).collect():
+            assert r.c == ([] if r.t is None else pieces_of(r.t, size, overlap, back)), (r.id, size)
+    plan = df.select(em.chunks("t"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_embedding_is_the_mean_of_its_chunks(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     df = spark.createDataFrame([(1, long), (2, "short text"), (3, None)], "id int, t string")
-    out = {r[0]: r[1] for r in df.select("id", em.embed_column("t", 16)).collect()}
+    out = {r[0]: r[1] for r in em.embedded(df, "id", "t", 16).collect()}
     embed = em.hashing_embedder(16)
-    assert out[1] == pytest.approx(embed(em.split_text(long)).mean(axis=0).tolist(), abs=1e-6)
+    assert out[1] == pytest.approx(embed(pieces_of(long, 6000, 500, 200)).mean(axis=0).tolist(), abs=1e-6)
     assert out[2] == pytest.approx(embed(["short text"])[0].tolist(), abs=1e-6)
     assert out[3] is None
 

@@ -44,10 +44,6 @@ def jarray(v: Column, *paths: str) -> Column:
     return F.coalesce(*[once(jlist(v, p), lambda a: F.when(F.size(a) > 0, a)) for p in paths])
 
 
-def jbool(v: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(v, jpath(p), "boolean") for p in paths])
-
-
 def _members(v: Column) -> Column:
     """Members of a list, or the object itself as one member."""
     none = F.array().cast("array<variant>")
@@ -55,19 +51,34 @@ def _members(v: Column) -> Column:
     return F.coalesce(jlist(v, "$"), own, none)
 
 
-def jsonld_postings(v: Column, depth: int = 4) -> Column:
-    """Every ``JobPosting`` object reachable through lists, ``@graph``,
-    ``itemListElement`` and ``mainEntity``, down to ``depth`` nested links."""
+# Every way down a document leads through one of these links or a list inside a list.
+_STEP = "|".join(f'"{k}"' for k in JSONLD_LINKS) + r"|\[\s*(?=\[)"
+
+
+def jsonld_postings(body: Column) -> Column:
+    """Every ``JobPosting`` object of a JSON-LD document reachable through lists, ``@graph``,
+    ``itemListElement`` and ``mainEntity``, at any depth.
+
+    The document is walked a level at a time.  It cannot have more levels than
+    links, which are counted in its text, so nothing is cut off.
+    """
     none = F.array().cast("array<variant>")
 
     def below(x: Column) -> Column:
-        return F.concat(*[F.coalesce(_members(F.try_variant_get(x, jpath(k), "variant")), none) for k in JSONLD_LINKS])
-
-    def walk(level: Column, left: int) -> Column:
-        own = F.filter(level, lambda x: jtext(x, "@type") == "JobPosting")
-        if left == 0:
-            return own
-        return F.concat(own, once(F.flatten(F.transform(F.flatten(F.transform(level, below)), _members)),
-                                  lambda deeper: walk(deeper, left - 1)))
-    # lists inside lists count as one level
-    return once(F.flatten(F.transform(_members(v), _members)), lambda top: walk(top, depth))
+        # members of a list inside the level, and what the links of an object lead to
+        return F.concat(F.coalesce(jlist(x, "$"), none),
+                        *[F.coalesce(_members(F.try_variant_get(x, jpath(k), "variant")), none) for k in JSONLD_LINKS])
+
+    def step(acc: Column, _: Column) -> Column:
+        return once(F.flatten(F.transform(acc["level"], below)), lambda deeper: F.when(F.size(acc["level"]) == 0, acc).otherwise(
+            F.struct(deeper.alias("level"), F.concat(acc["found"], F.filter(deeper, is_posting)).alias("found"))))
+
+    def is_posting(x: Column) -> Column:
+        return F.coalesce(jtext(x, "@type") == "JobPosting", F.lit(False))
+
+    def walk(v: Column) -> Column:
+        levels = F.regexp_count(body, F.lit(_STEP)) + 1
+        return once(_members(v), lambda top: F.aggregate(
+            F.sequence(F.lit(1), levels), F.struct(top.alias("level"), F.filter(top, is_posting).alias("found")), step)["found"])
+
+    return F.coalesce(once(F.try_parse_json(body), walk), none)

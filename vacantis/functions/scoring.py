@@ -19,7 +19,6 @@ HARD_MATCH_BOOST = 1.1
 SALARY_BUFFER = 0.8
 BANDS = [(0.9, "Excellent match"), (0.8, "Strong match"), (0.7, "Good match"), (0.6, "Moderate match")]
 LOWEST_BAND = "Potential match"
-MAX_FACTORS = 5
 # ---------------------------------------------------------------------------
 
 
@@ -150,8 +149,8 @@ def headline(seniority: Column | str, specialization: Column | str, family: Colu
 
 
 def factors(reason_map: Column | str, location_type: Column | str, locations: Column | str,
-            posted: Column | str, skills: Column | str, as_of) -> Column:
-    """At most five factors, reasons first."""
+            posted: Column | str, skills: Column | str, as_of, most: int | None = None) -> Column:
+    """Factors, reasons first; all of them, or the first ``most`` that a page shows."""
     place, first = nz(location_type), F.try_element_at(col(locations), F.lit(1))
     where = (F.when(place == "remote", F.lit("Fully remote position"))
              .when(place == "hybrid", F.concat(F.lit("Hybrid role ("),
@@ -161,4 +160,5 @@ def factors(reason_map: Column | str, location_type: Column | str, locations: Co
                                                F.lit(" skills you may have")))
     extra = F.array_compact(F.array(where, posted_phrase(posted, as_of), count))
     given = F.coalesce(F.map_values(col(reason_map)), F.array().cast("array<string>"))
-    return F.slice(F.concat(given, extra), 1, MAX_FACTORS)
+    told = F.concat(given, extra)
+    return told if most is None else F.slice(told, 1, most)

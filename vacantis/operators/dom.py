@@ -110,7 +110,7 @@ def _elements(html, layout):
         kinds = [k for k in ("title", "location", "department", "type") if any(_is(node, s) for s in spec.get(k, []))]
         signature = None
         if node["tag"] in _BLOCKS:
-            signature = " ".join(sorted(node["classes"])) + "|" + ",".join(node["kids"][:5])
+            signature = " ".join(sorted(node["classes"])) + "|" + ",".join(node["kids"])
         href = node["attrs"].get("href") if node["tag"] == "a" else None
         if cardset is None and not kinds and signature is None and href is None:
             continue

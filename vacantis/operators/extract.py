@@ -46,9 +46,9 @@ def _field(v: str, alternatives: tuple[str, ...], ident: str) -> str:
         elif kind == "names":
             path, name = rest.split()
             out.append(f"nullif(array_join(transform({_get(v, path, 'array<variant>')}, x -> {_text('x', name)}), ', '), '')")
-        elif kind == "first3":
+        elif kind == "each":
             member = "coalesce(" + ", ".join(_text("x", p) for p in ("name", "city", "$")) + ")"
-            out.append(f"nullif(array_join(slice(transform({_get(v, rest, 'array<variant>')}, x -> {member}), 1, 3), ', '), '')")
+            out.append(f"nullif(array_join(transform({_get(v, rest, 'array<variant>')}, x -> {member}), ', '), '')")
         elif kind == "range":
             out.append(_salary(v, *rest.split()))
         elif kind == "url" and rest:
@@ -109,8 +109,7 @@ def _place(v: Column) -> Column:
 def jsonld_column(html: Column, url: Column) -> Column:
     """Array of jobs in the JSON-LD scripts of a page."""
     docs = F.regexp_extract_all(html, F.lit(pr.JSONLD_SCRIPT), F.lit(1))
-    found = F.flatten(F.transform(docs, lambda d: F.coalesce(
-        once(F.try_parse_json(d), lambda v: jsonld_postings(v)), F.array().cast("array<variant>"))))
+    found = F.flatten(F.transform(docs, jsonld_postings))
     num = lambda v, p: F.try_variant_get(v, p, "bigint")
     jobs = F.transform(found, lambda v: F.struct(
         jget(v, "title", "name").alias("title"), F.coalesce(jtext(v, "url"), url).alias("url"),
@@ -129,9 +128,24 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
             .select("page_id", "position", "job.*"))
 
 
+# pieces of a JSON text: strings, brackets, and the rest between them
+_PIECES = r'''"(?:[^"\\]|\\.)*+"|[\[\]]|[^"\[\]]++|"'''
+
+
+def _balanced(tail: str) -> str:
+    """SQL: the list that a text begins with, up to its own closing bracket; null when it has none.
+
+    One pass over the pieces; brackets inside strings do not count.
+    """
+    step = ("CASE WHEN a.size > 0 AND a.depth = 0 THEN a ELSE named_struct('depth', a.depth + CASE x WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END, "
+            "'size', a.size + length(x)) END")
+    return (f"element_at(transform(array({tail}), t -> aggregate(regexp_extract_all(t, r'{_PIECES}', 0), named_struct('depth', 0, 'size', 0), "
+            f"(a, x) -> {step}, a -> CASE WHEN a.size > 0 AND a.depth = 0 THEN left(t, a.size) END)), 1)")
+
+
 def script_jobs_column(html: str, kind: str) -> Column:
     """Array of jobs of JSON lists assigned inside scripts."""
-    lists = ", ".join(f"nullif(regexp_extract({html}, r'{p}', 1), '')" for p in pr.SCRIPT_ARRAYS)
+    lists = ", ".join(_balanced(f"regexp_extract({html}, r'{p}', 1)") for p in pr.SCRIPT_ARRAYS)
     jobs = payload_jobs_sql("doc", kind, "cast(NULL AS string)")
     return F.expr(f"array_distinct(flatten(transform(array_compact(array({lists})), doc -> {jobs})))")
 
@@ -162,14 +176,15 @@ def careers_link(html: Column | str, base: Column | str) -> Column:
     return tx.resolve_url(base, first_extract(html, boards.CAREER_LINK_PATTERNS, flags=CI))
 
 
-def job_links(html: Column | str, base: Column | str, k: int = 3) -> Column:
-    """First ``k`` links that look like single postings, resolved, in pattern order."""
+def job_links(html: Column | str, base: Column | str, k: int | None = None) -> Column:
+    """Links that look like single postings, resolved, in pattern order; all of them, or the first ``k``."""
     html = F.col(html) if isinstance(html, str) else html
     base = F.col(base) if isinstance(base, str) else base
     hrefs = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(CI + p), F.lit(1)) for p in boards.JOB_LINK_PATTERNS]))
     links = F.filter(F.transform(hrefs, lambda h: tx.resolve_url(base, h)),
                      lambda u: (F.length(u) >= 20) & (F.regexp_replace(u, "/+$", "") != F.regexp_replace(base, "/+$", "")))
-    return F.slice(F.array_distinct(links), 1, k)
+    links = F.array_distinct(links)
+    return links if k is None else F.slice(links, 1, k)
 
 
 def _link_of(rank: int, label: str):
@@ -238,5 +253,5 @@ def companies_from_news(items: DataFrame, as_of, max_age_days: int = 30) -> Data
     return rows.select(
         F.col("b.c.name").alias("name"), F.col("b.c.website_url").alias("website_url"),
         F.concat(F.lit("funding_news_"), F.replace(F.lower("b.feed_name"), F.lit(" "), F.lit("_"))).alias("source"),
-        F.col("b.link").alias("source_url"), tx.truncate("b.description", 500).alias("description"),
+        F.col("b.link").alias("source_url"), F.trim(F.regexp_replace("b.description", "<[^>]+>", "")).alias("description"),
         F.col("b.funding_stage").alias("funding_stage"), F.lit("US").alias("country"))

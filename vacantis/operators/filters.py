@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import is_blank
 from ..schemas import RULES
+from .ordering import first_rows
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -78,19 +79,18 @@ def jobs_to_embed(jobs: DataFrame) -> DataFrame:
 
 
 def companies_to_detect(companies: DataFrame, max_attempts: int = 2,
-                        include_retries: bool = True) -> DataFrame:
-    """active companies without a platform and with attempts left, least tried first."""
+                        include_retries: bool = True, n: int | None = None) -> DataFrame:
+    """active companies without a platform and with attempts left; the ``n`` least tried, or all, unsorted."""
     tries = F.coalesce(F.col("ats_detection_attempts"), F.lit(0))
     left = tries < max_attempts if include_retries else tries == 0
-    return (companies.filter(F.col("is_active") & F.col("ats_type").isNull() & left)
-            .orderBy(tries.asc(), F.col("created_at").desc(), F.col("id")))
+    return first_rows(companies.filter(F.col("is_active") & F.col("ats_type").isNull() & left), n,
+                      tries.asc(), F.col("created_at").desc(), F.col("id"))
 
 
-def custom_companies_to_crawl(companies: DataFrame) -> DataFrame:
-    """custom career pages that were never crawled."""
-    return (companies.filter(F.col("is_active") & (F.col("ats_type") == "custom")
-                             & F.col("last_crawled_at").isNull() & F.col("careers_url").isNotNull())
-            .orderBy(F.col("created_at"), F.col("id")))
+def custom_companies_to_crawl(companies: DataFrame, n: int | None = None) -> DataFrame:
+    """custom career pages that were never crawled; the ``n`` oldest, or all, unsorted."""
+    return first_rows(companies.filter(F.col("is_active") & (F.col("ats_type") == "custom")
+                                       & F.col("last_crawled_at").isNull() & F.col("careers_url").isNotNull()), n, "created_at", "id")
 
 
 def custom_jobs_to_enrich(jobs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -100,12 +100,12 @@ def custom_jobs_to_enrich(jobs: DataFrame, companies: DataFrame) -> DataFrame:
             .join(custom, "company_id", "left_semi"))
 
 
-def network_seeds(companies: DataFrame, force: bool = False) -> DataFrame:
-    """companies whose pages may name further companies, never crawled ones first."""
+def network_seeds(companies: DataFrame, force: bool = False, n: int | None = None) -> DataFrame:
+    """companies whose pages may name further companies; the first ``n``, never crawled ones first, or all, unsorted."""
     out = companies.filter(F.col("is_active") & F.col("domain").isNotNull())
     if not force:
         out = out.filter(F.col("last_crawled_for_network").isNull())
-    return out.orderBy(F.col("last_crawled_for_network").asc_nulls_first(), F.col("id"))
+    return first_rows(out, n, F.col("last_crawled_for_network").asc_nulls_first(), F.col("id"))
 
 
 def dormant_candidates(companies: DataFrame) -> DataFrame:

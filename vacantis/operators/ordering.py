@@ -13,6 +13,11 @@ def job_order() -> list[Column]:
     return [F.col("posted_at").desc_nulls_last(), F.col("created_at").desc(), F.col("id").asc()]
 
 
+def first_rows(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in an order, as a distributed top-n; all rows, unsorted, when there is no limit."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """One page; planned as a distributed top-n, not a full sort."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)

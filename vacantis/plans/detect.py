@@ -19,7 +19,6 @@ from ..rules import boards
 CAREERS_PATHS = ["/careers", "/jobs", "/careers/", "/jobs/", "/join-us", "/join", "/work-with-us",
                  "/about/careers", "/company/careers"]
 WEBSITE_PATHS = ["/careers", "/jobs"]
-JOB_LINKS_FOLLOWED = 2
 MIN_LINK_LENGTH = 20
 DORMANT_RECHECK_DAYS = 30
 # ---------------------------------------------------------------------------
@@ -74,7 +73,7 @@ def detect_ats(companies: DataFrame, fetches: DataFrame, max_attempts: int = 2)
     links = F.filter(F.transform(page, lambda h: tx.resolve_url(base, h)),
                      lambda u: (F.length(u) >= MIN_LINK_LENGTH)
                      & (F.regexp_replace(u, "/+$", "") != F.regexp_replace(base, "/+$", "")))
-    follow = c.select("company_id", F.posexplode(F.slice(F.array_distinct(links), 1, JOB_LINKS_FOLLOWED)).alias("pos", "url"))
+    follow = c.select("company_id", F.posexplode(F.array_distinct(links)).alias("pos", "url"))
     hit = F.when(F.col("by_final.ats_type").isNotNull(), F.col("by_final")).when(
         F.col("page_type").isNotNull(), F.struct(F.col("page_type").alias("ats_type"), F.col("page_identifier").alias("ats_identifier")))
     jobs = (follow.join(ev, "url").withColumn("hit", hit).filter(F.col("hit").isNotNull())

@@ -129,7 +129,7 @@ def fail_items(queue: DataFrame, failures: DataFrame, as_of) -> DataFrame:
 
     ``failures(id, error)``; decided from the counter before the failure.
     """
-    f = failures.select("id", F.substring("error", 1, 500).alias("__error"))
+    f = failures.select("id", F.col("error").alias("__error"))
     out = queue.join(f, "id", "left")
     hit = F.col("__error").isNotNull()
     changes = {"status": F.when(F.col("retry_count") >= MAX_RETRIES, F.lit("failed")).otherwise(F.lit("pending")),

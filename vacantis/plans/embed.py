@@ -9,39 +9,62 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.core import col, once
 from ..operators.filters import jobs_to_embed
 from ..rules import misc
 from .normalize import embedding_text
 
+# White space in Unicode's sense, and the four separators 0x1C to 0x1F.
+_SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
-def split_text(text: str, size: int = misc.CHUNK_SIZE, overlap: int = misc.CHUNK_OVERLAP) -> list[str]:
-    """Overlapping pieces that end at a space when one is near; always moves forward."""
-    if text is None:
-        return []
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
-        stop = start + size
-        if stop < len(text):
-            space = text.rfind(" ", stop - misc.CHUNK_LOOK_BACK, stop)
-            stop = space if space > start else stop
-        piece = text[start:stop].strip()
-        if piece:
-            out.append(piece)
-        start = stop - overlap if stop - overlap > start else stop
-    return out
 
+def chunks(text: Column | str, size: int = misc.CHUNK_SIZE, overlap: int = misc.CHUNK_OVERLAP,
+           look_back: int = misc.CHUNK_LOOK_BACK) -> Column:
+    """Overlapping pieces of at most ``size`` characters, as an array.
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def chunk_udf(text: pd.Series) -> pd.Series:
-    """U2."""
-    return pd.Series([split_text(t) for t in text])
+    A piece ends at the last space of the ``look_back`` characters before its
+    limit, else at the limit; the next one begins ``overlap`` characters before
+    that end.  Pieces lose white space at their ends and empty ones are
+    dropped; a text that fits is its own only piece; null gives no piece.
+
+    The text is cut into blocks of ``size`` characters once, and every piece
+    lies in two of them, so the cost follows the length of the text.
+    """
+    if size <= overlap + look_back:
+        raise ValueError("a piece must be longer than overlap and look-back together")
+
+    def part(blocks: Column, start: Column, n: Column) -> Column:
+        k = F.floor(start / size).cast("int")
+        two = F.concat(F.get(blocks, k), F.coalesce(F.get(blocks, k + 1), F.lit("")))
+        return F.substring(two, (start - k * size + 1).cast("int"), n)
+
+    def spans(blocks: Column, length: Column) -> Column:
+        def span(start: Column) -> Column:
+            limit = start + size
+            back = F.instr(F.reverse(part(blocks, limit - look_back, F.lit(look_back))), " ")
+            stop = F.when((limit < length) & (back > 0), limit - back).otherwise(limit)
+            return once(stop, lambda e: F.struct(start.alias("start"), e.alias("stop"), (e - overlap >= length).alias("last")))
+
+        def step(done: Column, _: Column) -> Column:
+            return once(F.element_at(done, -1), lambda e: F.when(e["last"], done).otherwise(
+                F.concat(done, F.array(span(e["stop"] - overlap)))))
+
+        most = F.ceil(length / (size - overlap - look_back)).cast("int")
+        return F.aggregate(F.sequence(F.lit(1), most), F.array(span(F.lit(0))), step)
+
+    def cut(whole: Column) -> Column:
+        length = F.length(whole)
+        blocks = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        pieces = once(blocks, lambda b: F.transform(spans(b, length), lambda x: part(b, x["start"], x["stop"] - x["start"])))
+        bare = F.transform(pieces, lambda p: F.regexp_replace(p, f"^{_SPACE}|{_SPACE}$", ""))
+        return F.when(length <= size, F.array(whole)).otherwise(F.filter(bare, lambda p: p != ""))
+
+    return once(col(text), lambda t: F.when(t.isNull(), F.array().cast("array<string>")).otherwise(cut(t)))
 
 
 def chunk_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per chunk."""
-    return docs.select(key, F.posexplode(chunk_udf(text)).alias("chunk_no", "chunk"))
+    return docs.select(key, F.posexplode(chunks(text)).alias("chunk_no", "chunk"))
 
 
 def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
@@ -57,8 +80,8 @@ def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed_column(text: Column | str, dim: int, make: Callable[[int], Callable] = hashing_embedder) -> Column:
-    """Mean vector over the chunks of each text.
+def embed_chunks(pieces: Column | str, dim: int, make: Callable[[int], Callable] = hashing_embedder) -> Column:
+    """Mean vector over an array of chunks, null for none.
 
     ``make(dim)`` builds the embedding function once per Python worker, so a
     model is loaded once and fed whole Arrow batches.  Chunks never leave the
@@ -67,16 +90,23 @@ def embed_column(text: Column | str, dim: int, make: Callable[[int], Callable] =
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make(dim)
-        for texts in batches:
-            pieces = [split_text(t) for t in texts]
-            flat = [p for ps in pieces for p in ps]
+        for lists in batches:
+            sizes = [0 if ps is None else len(ps) for ps in lists]
+            flat = [p for ps in lists if ps is not None for p in ps]
             vectors = embed(flat) if flat else np.zeros((0, dim), dtype=np.float32)
             out, at = [], 0
-            for ps in pieces:
-                out.append(vectors[at:at + len(ps)].mean(axis=0) if ps else None)
-                at += len(ps)
+            for n in sizes:
+                out.append(vectors[at:at + n].mean(axis=0) if n else None)
+                at += n
             yield pd.Series(out)
-    return run(text)
+    return run(pieces)
+
+
+def embedded(docs: DataFrame, key: str, text: str, dim: int, make: Callable[[int], Callable] = hashing_embedder) -> DataFrame:
+    """(key, embedding, chunks) per text.  The pieces are a column that two others read, so they are made once
+    and stay apart from the Python expression, which cannot hold them inside."""
+    return (docs.select(key, chunks(text).alias("pieces"))
+            .select(key, embed_chunks("pieces", dim, make).alias("embedding"), F.size("pieces").alias("chunks")))
 
 
 def embed_jobs(jobs: DataFrame, dim: int = 384, make: Callable[[int], Callable] = hashing_embedder) -> tuple[DataFrame, DataFrame]:
@@ -85,8 +115,7 @@ def embed_jobs(jobs: DataFrame, dim: int = 384, make: Callable[[int], Callable]
     Returns ``(id, embedding, chunks)`` rows to upsert and a one-row summary.
     """
     work = embedding_text(jobs_to_embed(jobs)).select("id", "embedding_text")
-    out = work.select("id", embed_column("embedding_text", dim, make).alias("embedding"),
-                      F.size(chunk_udf("embedding_text")).alias("chunks"))
+    out = embedded(work, "id", "embedding_text", dim, make)
     counts = work.agg(F.count("*").alias("processed"),
                       F.count_if(F.length("embedding_text") > misc.CHUNK_SIZE).alias("chunked"))
     return out, counts

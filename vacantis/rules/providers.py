@@ -2,7 +2,7 @@
 
 Each field lists alternatives; the first non-empty one wins.  A plain entry is
 a path.  ``csc a b c`` joins city, state and country; ``names p f`` joins field
-``f`` of the objects in list ``p``; ``first3 p`` joins up to three members (or
+``f`` of the objects in list ``p``; ``each p`` joins the members (or
 their names) of list ``p``; ``url …`` fills ``{ident}`` and paths in braces.
 """
 
@@ -54,7 +54,7 @@ PROVIDERS = {
         posted=["created_at", "published_at"], description=["description"], remote=["remote"]),
     "gem": dict(
         jobs=["$", "data", "jobs", "openings"], title=["title", "name"], url=["url", "applyUrl"],
-        location=["location", "locationName", "first3 locations"], department=["department", "team"],
+        location=["location", "locationName", "each locations"], department=["department", "team"],
         type=["employmentType", "type"], posted=["postedAt", "createdAt"], description=["description"],
         remote=["remote"]),
     "gohire": dict(
@@ -91,7 +91,7 @@ PROVIDERS = {
         jobs=["$", "data", "jobs", "postings"], title=["attributes.title", "attributes.name", "title", "name"],
         url=["attributes.url", "attributes.apply_url", "url", "apply_url", "links.self"],
         location=["attributes.location", "attributes.location_name", "location", "location_name",
-                  "first3 attributes.locations", "first3 locations"],
+                  "each attributes.locations", "each locations"],
         department=["attributes.department", "attributes.department_name", "attributes.team", "department",
                     "department_name", "team"],
         type=["attributes.employment_type", "attributes.type", "employment_type", "type"],
@@ -110,7 +110,7 @@ PROVIDERS = {
     "recruitee": dict(
         jobs=["$", "offers", "jobs", "data"], title=["title", "position"],
         url=["careers_url", "url", "url https://jobs.recruitee.com/{company_slug}/{slug}"],
-        location=["location", "city", "first3 locations"], department=["department", "category"],
+        location=["location", "city", "each locations"], department=["department", "category"],
         type=["employment_type", "contract_type"], posted=["published_at", "created_at"],
         description=["description"], remote=["remote"]),
     "smartrecruiters": dict(
@@ -141,8 +141,9 @@ PAYLOAD_FIELDS = ["title", "url", "location", "department", "type", "posted", "d
 
 JSONLD_SCRIPT = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 JSONLD_LINKS = ["@graph", "itemListElement", "mainEntity"]
-SCRIPT_ARRAYS = [r"(?s)jobList\s*[=:]\s*(\[.*?\])", r'(?s)"requisitions"\s*:\s*(\[.*?\])',
-                 r"(?s)jvJobs\s*[=:]\s*(\[.*?\])", r"(?s)jobs\s*[=:]\s*(\[.*?\])"]
+# where a list begins inside a script; it ends at its own bracket
+SCRIPT_ARRAYS = [r"(?s)jobList\s*[=:]\s*(\[.*)", r'(?s)"requisitions"\s*:\s*(\[.*)',
+                 r"(?s)jvJobs\s*[=:]\s*(\[.*)", r"(?s)jobs\s*[=:]\s*(\[.*)"]
 EMBEDDED_STATE = [r"(?s)window\.__INITIAL_STATE__\s*=\s*(\{.*?\})\s*;?\s*</script>",
                   r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>']
 

@@ -65,12 +65,12 @@ def read_search_results(hits: DataFrame) -> DataFrame:
     h = hits.filter(~contains_any(url, pr.SEARCH_SKIP_HOSTS)).withColumn("domain", host).filter(F.col("domain").isNotNull())
     a = cl.ats_from_url("link")
     h = h.withColumn("a", a)
-    name = F.substring(F.trim(F.substring_index(F.substring_index("title", " - ", 1), " | ", 1)), 1, 50)
+    name = F.trim(F.substring_index(F.substring_index("title", " - ", 1), " | ", 1))
     careers = contains_any(url, pr.SEARCH_CAREERS_MARKS) | F.col("a.ats_type").isNotNull()
     return h.select(name.alias("name"), "domain", F.concat(F.lit("https://"), "domain").alias("website_url"),
                     F.when(careers, F.col("link")).alias("careers_url"), F.lit("google_search").alias("source"),
                     F.col("link").alias("source_url"), F.col("a.ats_type").alias("ats_type"),
-                    F.col("a.ats_identifier").alias("ats_identifier"), F.substring("snippet", 1, 500).alias("description"))
+                    F.col("a.ats_identifier").alias("ats_identifier"), F.col("snippet").alias("description"))
 
 
 def read_aggregator_pages(pages: DataFrame) -> DataFrame:
