@@ -207,9 +207,8 @@ def test_engagement_stream_marks_matches(spark, tmp_path):
 
 
 def test_checkpoint_folder_comes_from_the_session(spark):
-    from vacantis.session import cut_lineage, new_folder, shared_folder
+    from vacantis.session import new_folder, shared_folder
 
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_folder(spark) == named
     assert shared_folder(spark) == shared_folder(spark) and new_folder(spark, "x").startswith(shared_folder(spark))
-    assert cut_lineage(spark.range(3)).count() == 3

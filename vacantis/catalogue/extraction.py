@@ -13,6 +13,11 @@ from ..rules import boards, misc, providers as pr
 from ..sources import directories as sd, tables as st
 from . import query, rx
 
+_EDGE = "[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+# text of a page's article, long enough to be a description
+_ARTICLE = f"""(SELECT CASE WHEN length(a) > 100 THEN a END FROM (SELECT trim(regexp_replace(regexp_replace(
+    regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '{_EDGE}', ' ', 'g')) AS a))"""
+
 # Every order is one posting in its platform's own JSON; a second object without a
 # title rides along and has to be dropped.
 _KINDS = list(pr.PROVIDERS)
@@ -87,7 +92,7 @@ def payload_jobs(spark, sf):
 _LD = """concat(html, '<script type="application/ld+json">', CASE page_id % 4
     WHEN 0 THEN concat('{"@type":"JobPosting","title":"Job ', page_id, '","datePosted":"2024-01-02","jobLocation":{"address":{"addressLocality":"Town","addressCountry":"US"}},"baseSalary":{"currency":"USD","value":{"minValue":1000,"maxValue":2000}}}')
     WHEN 1 THEN concat('[{"@type":"Organization"},{"@type":"JobPosting","name":"Job ', page_id, '","url":"https://x.example/', page_id, '","jobLocation":"Remote"}]')
-    WHEN 2 THEN concat('{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"JobPosting","title":"Job ', page_id, '","jobLocation":[{"address":"Main St"},{"name":"No"}]},{"@type":"JobPosting"}]}]}')
+    WHEN 2 THEN concat(repeat('{"@graph":[', page_id % 9), '{"@type":"ItemList","itemListElement":[{"@type":"JobPosting","title":"Job ', page_id, '","jobLocation":[{"address":"Main St"},{"name":"No"}]},{"@type":"JobPosting"}]}', repeat(']}', page_id % 9))
     ELSE '{broken' END, '</script>')"""
 
 
@@ -137,7 +142,7 @@ def board_html_jobs(spark, sf):
 @query("script_jobs", """
     SELECT page_id, 'Role ' || page_id AS title, 'https://x.example/' || page_id AS url FROM pages WHERE page_id % 2 = 0""")
 def script_jobs(spark, sf):
-    block = """concat(html, CASE WHEN page_id % 2 = 0 THEN concat('<script>var jobList = [{"title":"Role ', page_id, '","url":"https://x.example/', page_id, '"}];</script>') ELSE '' END)"""
+    block = """concat(html, CASE WHEN page_id % 2 = 0 THEN concat('<script>var jobList = [{"title":"Role ', page_id, '","tags":["x]",["y"]],"url":"https://x.example/', page_id, '"}]; var other = [1];</script>') ELSE '' END)"""
     p = load(spark, sf, "pages").select("page_id", F.lit("jobvite").alias("ats_type"), F.expr(block).alias("html"))
     return ex.extract_script_jobs(p).select("page_id", "title", "url")
 
@@ -212,14 +217,14 @@ def news_companies(spark, sf):
     return ex.companies_from_news(items, AS_OF_EVENTS).select("name", "source_url", "source", "funding_stage")
 
 
-@query("page_descriptions", """
-    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'We build "things" ' || repeat('and more ', 15) || 'now.' ELSE NULL END AS json_text,
+@query("page_descriptions", f"""
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'We build "things" ' || repeat('and more ', 15) || 'now.' ELSE {_ARTICLE} END AS json_text,
       CASE page_id % 3 WHEN 0 THEN '2024-01-05 00:00:00' WHEN 1 THEN '2024-01-06 00:00:00' END AS posted FROM pages""")
 def page_descriptions(spark, sf):
     html = """concat(CASE page_id % 3 WHEN 0 THEN concat('{"description": "<p>We build \\\\"things\\\\"</p>', repeat('and more ', 15), '<b>now.</b>", "datePosted": "2024-01-05"}')
         WHEN 1 THEN 'Posted: 2024-01-06 ' ELSE '' END, html)"""
     p = load(spark, sf, "pages").select("page_id", F.expr(html).alias("html"))
-    return p.select("page_id", F.when(F.col("page_id") % 3 == 0, cr.page_description(F.col("html"))).alias("json_text"),
+    return p.select("page_id", cr.page_description(F.col("html")).alias("json_text"),
                     iso(cr.page_posted(F.col("html"))).alias("posted"))
 
 
@@ -247,7 +252,6 @@ def embedding_texts(spark, sf):
     return embedding_text(bind(spark, sf, "jobs")).select("id", "embedding_text")
 
 
-_EDGE = "[\\s\\x0b\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 # each step looks for the last space of the 200 characters before the limit
 _CHUNKS = f"""
     WITH RECURSIVE c AS (

@@ -40,18 +40,21 @@ def ages(spark, sf):
 
 
 @query("parse_date", """
-    SELECT event_id AS id, CASE WHEN event_id % 6 = 5 THEN NULL ELSE strftime(
-        CASE WHEN event_id % 6 IN (1, 4) THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') END AS parsed,
-        CASE WHEN event_id % 6 = 5 THEN TRUE WHEN event_id % 6 IN (1, 4) THEN date_trunc('day', ts) > TIMESTAMP '2024-01-01'
-             ELSE date_trunc('second', ts) > TIMESTAMP '2024-01-01' END AS recent FROM events""")
+    SELECT id, strftime(p, '%Y-%m-%d %H:%M:%S') AS parsed, coalesce(p > TIMESTAMP '2024-01-01', TRUE) AS recent FROM (
+      SELECT event_id AS id, CASE WHEN event_id % 11 = 5 THEN NULL WHEN event_id % 11 IN (1, 4, 6, 8, 10) THEN date_trunc('day', ts)
+        WHEN event_id % 11 IN (7, 9) THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS p FROM events)""")
 def parse_date(spark, sf):
     # the same instants printed in several notations, then read back
     at = F.col("ts").cast("timestamp")
-    text = (F.when(F.col("event_id") % 6 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-            .when(F.col("event_id") % 6 == 1, F.date_format(at, "yyyy-MM-dd"))
-            .when(F.col("event_id") % 6 == 2, F.concat(F.date_format(at, "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
-            .when(F.col("event_id") % 6 == 3, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
-            .when(F.col("event_id") % 6 == 4, F.date_format(at, "MMMM d, yyyy"))
+    n = F.col("event_id") % 11
+    text = (F.when(n == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .when(n == 1, F.date_format(at, "yyyy-MM-dd"))
+            .when(n == 2, F.concat(F.date_format(at, "E, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")))
+            .when(n == 3, F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
+            .when(n == 4, F.date_format(at, "MMMM d, yyyy"))
+            .when(n == 6, F.date_format(at, "MMM d yyyy")).when(n == 7, F.date_format(at, "d MMMM yyyy HH:mm"))
+            .when(n == 8, F.date_format(at, "yyyy/MM/dd")).when(n == 9, F.lower(F.date_format(at, "MMMM d, yyyy h:mm a")))
+            .when(n == 10, F.date_format(at, "MM-dd-yyyy"))
             .otherwise(F.lit("some time ago")))
     return load(spark, sf, "events").select(
         F.col("event_id").alias("id"), iso(dt.parse_date(text)).alias("parsed"),
@@ -167,18 +170,20 @@ def sig_words(spark, sf):
     return d.select("doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-def _entities_sql(c: str) -> str:
-    for entity, char in tx.ENTITIES.items():
-        c = f"replace({c}, {rx.lit(entity)}, {rx.lit(char)})"
-    return c
+# references as texts show them, and what a browser makes of them; written by hand
+_REFERENCES = [("It&#8217;s", "It’s"), ("&eacute;t&eacute;", "été"), ("&euro;5", "€5"), ("&reg;", "®"), ("&#x2019;", "’"), ("&#X20ac", "€"),
+               ("&amp;lt;b&amp;gt;", "&lt;b&gt;"), ("&copy 2", "© 2"), ("&notit;", "¬it;"), ("&nosuch;", "&nosuch;"), ("&#150;", "–"),
+               ("&#0;&#xD800;", "\ufffd\ufffd"), ("a & b &", "a & b &"), ("&NotEqualTilde;", "\u2242\u0338"), ("&nbsp;x", "\u00a0x"), ("&#128512;", "\U0001f600")]
 
 
 @query("html_to_text", f"""
     SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(
-      replace(replace(replace({_entities_sql('html')}, '\\"', '"'), '\\n', ' '), '\\t', ' '), '<[^>]+>', ' ', 'g'),
+      replace(replace(replace(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')
+        || ' ' || ([{', '.join(rx.lit(v) for _, v in _REFERENCES)}])[1 + page_id % {len(_REFERENCES)}] || ' end', '\\"', '"'), '\\n', ' '), '\\t', ' '), '<[^>]+>', ' ', 'g'),
       '[\\s\\x0b\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')) AS t FROM pages)""")
 def html_to_text(spark, sf):
-    p = load(spark, sf, "pages").select("page_id", tx.html_to_text("html").alias("t"))
+    shown = F.get(F.array(*[F.lit(t) for t, _ in _REFERENCES]), (F.col("page_id") % len(_REFERENCES)).cast("int"))
+    p = load(spark, sf, "pages").select("page_id", tx.html_to_text(F.concat("html", F.lit(" "), shown, F.lit(" end"))).alias("t"))
     return p.select("page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -230,10 +235,10 @@ def resolve_urls(spark, sf):
 
 
 @query("name_from_slug", """
-    SELECT page_id, array_to_string(list_transform(string_split(replace(s, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name
+    SELECT page_id, array_to_string(list_transform(string_split(replace(s, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' Web3Foo''S' AS name
     FROM (SELECT page_id, regexp_extract(url, '://([^./]+)', 1) || '-board' AS s FROM pages)""")
 def name_from_slug(spark, sf):
-    slug = F.concat(F.regexp_extract("url", "://([^./]+)", 1), F.lit("-board"))
+    slug = F.concat(F.regexp_extract("url", "://([^./]+)", 1), F.lit("-board_web3foo's"))
     return load(spark, sf, "pages").select("page_id", tx.name_from_slug(slug).alias("name"))
 
 

@@ -19,13 +19,18 @@ _CHANGES = """
     UNION ALL
     SELECT o_custkey, concat('https://new.example/', o_orderkey), concat('New ', o_orderkey), CAST(9 AS BIGINT)
     FROM orders WHERE o_totalprice > 450000"""
+# every order is changed once, some twice: the later change has to win and nothing may land twice
+_CHANGES = f"""
+    SELECT company_id, source_url, title, max_salary, 1 AS version FROM ({_CHANGES}) AS first_changes
+    UNION ALL SELECT company_id, source_url, concat(title, ' again'), CAST(11 AS BIGINT), 2 FROM ({_CHANGES}) AS second_changes WHERE company_id % 3 = 0"""
+_LAST = f"SELECT company_id, source_url, arg_max(title, version) AS title, arg_max(struct_pack(v := max_salary), version).v AS max_salary FROM ({_CHANGES}) GROUP BY 1, 2"
 
 
 def _changes(spark, sf):
     return spark.sql(_CHANGES.replace("FROM orders", "FROM {orders}"), orders=load(spark, sf, "orders"))
 
 
-@query("upsert_jobs", cte("jobs") + f", u AS ({_CHANGES})" + f"""
+@query("upsert_jobs", cte("jobs") + f", u AS ({_LAST})" + f"""
     SELECT coalesce(j.company_id, u.company_id) AS company_id, coalesce(j.source_url, u.source_url) AS source_url,
            CASE WHEN u.title IS NOT NULL THEN u.title ELSE j.title END AS title,
            CASE WHEN u.title IS NOT NULL THEN u.max_salary ELSE j.max_salary END AS max_salary,
@@ -33,19 +38,19 @@ def _changes(spark, sf):
            j.delist_reason, CASE WHEN u.title IS NOT NULL THEN '{AS_OF}' ELSE strftime(j.updated_at, {_TS}) END AS updated_at
     FROM b_jobs j FULL JOIN u ON j.company_id = u.company_id AND j.source_url = u.source_url""")
 def upsert_jobs(spark, sf):
-    out = up.upsert_jobs(bind(spark, sf, "jobs"), _changes(spark, sf), AS_OF)
+    out = up.upsert_jobs(bind(spark, sf, "jobs"), _changes(spark, sf), AS_OF, order=["version"])
     return out.select("company_id", "source_url", "title", "max_salary", "role_family", "delist_reason",
                       iso("updated_at").alias("updated_at"))
 
 
-@query("upsert_jobs_raw", cte("jobs_raw") + f", u AS ({_CHANGES})" + """
+@query("upsert_jobs_raw", cte("jobs_raw") + f", u AS ({_LAST})" + """
     SELECT coalesce(j.company_id, u.company_id) AS company_id, coalesce(j.source_url, u.source_url) AS source_url,
            CASE WHEN u.title IS NOT NULL THEN u.title ELSE j.title_raw END AS title_raw, j.id,
            CASE WHEN u.title IS NOT NULL THEN NULL ELSE j.salary_raw END AS salary_raw
     FROM b_jobs_raw j FULL JOIN u ON j.company_id = u.company_id AND j.source_url = u.source_url""")
 def upsert_jobs_raw(spark, sf):
     u = _changes(spark, sf).withColumnRenamed("title", "title_raw")
-    return up.upsert_jobs_raw(bind(spark, sf, "jobs_raw"), u).select("company_id", "source_url", "title_raw", "id", "salary_raw")
+    return up.upsert_jobs_raw(bind(spark, sf, "jobs_raw"), u, order=["version"]).select("company_id", "source_url", "title_raw", "id", "salary_raw")
 
 
 @query("upsert_matches", cte("matches") + """, u AS (SELECT * FROM (SELECT l_suppkey AS candidate_id, l_orderkey AS job_id, l_tax AS score, l_shipdate AS at, l_linenumber AS n,
@@ -73,11 +78,15 @@ def upsert_listings(spark, sf):
 
 
 @query("insert_ignore", cte("dormant", "companies") + """
-    SELECT id, dormant_reason FROM b_dormant WHERE check_count < 2
-    UNION ALL SELECT id, 'moved' FROM b_companies WHERE id NOT IN (SELECT id FROM b_dormant WHERE check_count < 2)""")
+    SELECT id, dormant_reason FROM b_dormant
+    UNION ALL SELECT id, 'moved 1' FROM b_companies WHERE id NOT IN (SELECT id FROM b_dormant)
+    UNION ALL SELECT -id, 'moved 1' FROM b_companies WHERE id <> 0""")
 def insert_ignore(spark, sf):
-    d = bind(spark, sf, "dormant").filter("check_count < 2").select("id", "dormant_reason")
-    return up.insert_ignore(d, bind(spark, sf, "companies").select("id", F.lit("moved").alias("dormant_reason")), ["id"])
+    # every company arrives twice; of two rows with one key only the first is added
+    d = bind(spark, sf, "dormant").select("id", "dormant_reason")
+    new = bind(spark, sf, "companies").select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("id"))
+    twice = new.select("id", F.explode(F.array(F.lit("moved 2"), F.lit("moved 1"))).alias("dormant_reason"))
+    return up.insert_ignore(d, twice, ["id"], order=["dormant_reason"])
 
 
 @query("crawl_metric_rows", cte("metrics") + """

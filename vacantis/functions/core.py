@@ -175,8 +175,8 @@ def literal_array(values: Iterable[str]) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Capital after every non-letter, for ASCII words joined by spaces."""
-    return F.initcap(c)
+    """A capital at the start of every run of letters, small letters behind it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda x: F.initcap(x)), "")
 
 
 def iso(c: Column | str) -> Column:

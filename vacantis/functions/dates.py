@@ -12,13 +12,25 @@ from .core import col, once, ts
 DATE_FORMATS = [
     (r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:\d{2})$", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"]),
     (r"^\d{4}-\d{2}-\d{2}T", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"]),
-    (r"^\d{4}-\d{2}-\d{2} \d", ["yyyy-MM-dd HH:mm:ss"]),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", ["yyyy-MM-dd HH:mm:ss"]),
     (r"^\d{4}-\d{2}-\d{2}$", ["yyyy-MM-dd"]),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", ["d MMM yyyy HH:mm:ss Z"]),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [A-Z]+$", ["d MMM yyyy HH:mm:ss z"]),
-    (r"^[A-Za-z]+ \d{1,2}, \d{4}$", ["MMMM d, yyyy", "MMM d, yyyy"]),
-    (r"^\d{1,2} [A-Za-z]+ \d{4}$", ["d MMMM yyyy"]),
-    (r"^\d{2}/\d{2}/\d{4}$", ["MM/dd/yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d[,] yyyy"]),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", ["MMMM d[,] yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3},? \d{4}$", ["d MMM[,] yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{4,},? \d{4}$", ["d MMMM[,] yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["MMM d[,] yyyy[,] H:mm[:ss]"]),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["MMMM d[,] yyyy[,] H:mm[:ss]"]),
+    (r"^\d{1,2} [A-Za-z]{3},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["d MMM[,] yyyy[,] H:mm[:ss]"]),
+    (r"^\d{1,2} [A-Za-z]{4,},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["d MMMM[,] yyyy[,] H:mm[:ss]"]),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ["MMM d[,] yyyy[,] h:mm[:ss] a"]),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ["MMMM d[,] yyyy[,] h:mm[:ss] a"]),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", ["yyyy-MM-dd HH:mm"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
 ]
 
 
@@ -30,7 +42,8 @@ def parse_date(c: Column | str) -> Column:
     def read(text: Column) -> Column:
         return F.coalesce(*[F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
                             for shape, formats in DATE_FORMATS])
-    return once(F.regexp_replace(F.trim(col(c)), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""), read)
+    # "pm" and "PM" are one; the formats know capitals only
+    return once(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(col(c)), r"(?<=\d )[Aa][Mm]$", "AM"), r"(?<=\d )[Pp][Mm]$", "PM"), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""), read)
 
 
 def days_between(start: Column | str, end) -> Column:

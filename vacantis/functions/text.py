@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from ..rules import boards, misc
-from .core import (CI, col, contains_any, extract, first_extract, has_items, literal_array, nz)
+from .core import (CI, col, contains_any, extract, first_extract, has_items, literal_array, nz, once, title_case)
 
-# ---------------------------------------------------------------------------
-# The named entities that occur in job pages.
-# ---------------------------------------------------------------------------
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'",
-            "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—",
-            "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
-            "&bull;": "•", "&hellip;": "…", "&amp;": "&"}
-# ---------------------------------------------------------------------------
+# Character references as HTML5 reads them; the names come from the standard table of the language.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Numbers 128 to 159 mean the characters of the Windows code page.
+_WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 
 def clean_text(c: Column | str) -> Column:
@@ -22,11 +21,44 @@ def clean_text(c: Column | str) -> Column:
     return nz(F.trim(F.regexp_replace(col(c), r"(?U)\s+", " ")))
 
 
+def _names() -> Column:
+    """Name (with its semicolon, if it needs one) to character, as one constant."""
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _number(text: Column, base: int) -> Column:
+    """Character of a decimal or hexadecimal number; the replacement character for what is none."""
+    digits = F.regexp_replace(F.regexp_extract(text, "([0-9a-fA-F]+);?$", 1), "^0+(?=.)", "")
+    n = F.when(F.length(digits) <= 8, F.conv(digits, base, 10).cast("bigint")).otherwise(F.lit(0x110000))
+    odd = F.create_map(*[F.lit(x) for n, c in _WINDOWS.items() for x in (n, c)])
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    control = ((n >= 1) & (n <= 8)) | ((n >= 14) & (n <= 31)) | (n == 127) | (n == 11) | ((n >= 0xFDD0) & (n <= 0xFDEF)) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return once(n, lambda _: F.when((n == 0) | ((n >= 0xD800) & (n <= 0xDFFF)) | (n > 0x10FFFF), "\ufffd").when(n == 13, "\r")
+                .when((n >= 128) & (n < 160), F.try_element_at(odd, n.cast("int"))).when(control, "").otherwise(plain))
+
+
+def _named(name: Column) -> Column:
+    """A named reference: the whole name, else its longest known beginning and the rest as it is."""
+    known = _names()
+    lengths = F.filter(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.map_contains_key(known, F.left(name, n)))
+    best = F.try_element_at(lengths, F.lit(1))
+    return F.when(best.isNull(), F.concat(F.lit("&"), name)).otherwise(
+        F.concat(F.try_element_at(known, F.left(name, best)), F.substring(name, best + 1, F.length(name))))
+
+
 def unescape_entities(c: Column | str) -> Column:
-    out = col(c)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """All character references, numeric and named, in one pass: what a reference yields is not read again."""
+    def one(ref: Column) -> Column:
+        return (F.when(ref.rlike("^&#[xX]"), _number(ref, 16)).when(ref.startswith("&#"), _number(ref, 10))
+                .otherwise(_named(F.substring(ref, 2, 40))))
+
+    def whole(text: Column) -> Column:
+        parts = F.split(text, _REFERENCE, -1)
+        found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), one)
+        woven = F.zip_with(parts, found, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+        return F.when(text.contains("&"), F.array_join(woven, "")).otherwise(text)
+
+    return once(col(c), whole)
 
 
 def unescape_json(c: Column | str) -> Column:
@@ -109,14 +141,14 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
 
 
 def name_from_slug(c: Column | str) -> Column:
-    """Separators to spaces, title case."""
-    return F.initcap(F.translate(col(c), "-_", "  "))
+    """Separators to spaces, a capital at the start of every run of letters."""
+    return title_case(F.translate(col(c), "-_", "  "))
 
 
 def parent_name(domain: Column | str) -> Column:
     """G9 for parents: short first labels are acronyms."""
     label = first_label_of(domain)
-    return F.when(F.length(label) <= 3, F.upper(label)).otherwise(F.initcap(label))
+    return F.when(F.length(label) <= 3, F.upper(label)).otherwise(title_case(label))
 
 
 def company_slugs(name: Column | str, domain: Column | str) -> Column:

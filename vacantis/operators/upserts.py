@@ -10,19 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .windows import latest_per
-
-
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
-           order: tuple[str, str] | None = None) -> DataFrame:
+           order: Sequence[str] | None = None) -> DataFrame:
     """K1: insert new keys, overwrite ``set_cols`` of known keys, keep everything else.
 
-    A set column takes the update even when that is null.  ``order`` names a
-    time and a tie-break column if ``updates`` may repeat a key.  Both sides
-    are hashed on the key once; bucketed tables join without a shuffle.
+    A set column takes the update even when that is null.  Updates that repeat
+    a key are folded into one before the join: the last in the order of the
+    columns ``order`` names (nulls first), ties and a missing order decided by
+    the row's own text, so that a repeated write gives the same table.  A null
+    in the key is no key: such updates are all inserted.
     """
-    if order:
-        updates = latest_per(updates, keys, *order)
+    updates = fold_keys(updates, keys, order or ())
     u = updates.select(*[F.col(c).alias(f"__u_{c}") for c in updates.columns],
                        F.lit(True).alias("__u"))
     t = target.withColumn("__t", F.lit(True))
@@ -39,6 +37,22 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols:
     return both.select(*out)
 
 
+def fold_keys(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), last: bool = True) -> DataFrame:
+    """One row per key, the last (or first) in a stated order; rows with a null in the key stay.
+
+    The fold is an aggregate that combines before the shuffle.
+    """
+    body = F.struct(*[F.col(c) for c in rows.columns])
+    rank = F.struct(*[F.col(c) for c in order], F.to_json(body))
+    whole = [F.col(k).isNotNull() for k in keys]
+    known = whole[0]
+    for w in whole[1:]:
+        known = known & w
+    pick = F.max_by if last else F.min_by
+    one = rows.filter(known).groupBy(*keys).agg(pick(body, rank).alias("__row")).select("__row.*")
+    return one.unionByName(rows.filter(~known))
+
+
 def upsert_jobs_raw(jobs_raw: DataFrame, updates: DataFrame, **kw) -> DataFrame:
     """K2."""
     return upsert(jobs_raw, updates, ["company_id", "source_url"],
@@ -75,9 +89,13 @@ def upsert_listings(listings: DataFrame, updates: DataFrame) -> DataFrame:
     return upsert(listings, updates, keys, [c for c in listings.columns if c not in keys])
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """K6: rows with a new key are added, others dropped; a null key is always new."""
-    new = rows.join(target.select(*keys).distinct(), list(keys), "left_anti")
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """K6: rows with a new key are added, others dropped; a null key is always new.
+
+    Of several new rows with one key the first in the order of the columns
+    ``order`` names is added, ties decided by the row's own text.
+    """
+    new = fold_keys(rows, keys, order, last=False).join(target.select(*keys).distinct(), list(keys), "left_anti")
     return target.unionByName(new.select(*[c for c in target.columns if c in new.columns]),
                               allowMissingColumns=True)
 

@@ -54,14 +54,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feed_items(spark: SparkSession, path: str, feed_name: str, row_tag: str = "item") -> DataFrame:
     """RSS ``item`` or Atom ``entry`` elements, with the description fallbacks."""
-    fields = ["title string", "description string", "link string", "pubDate string", "published string",
+    fields = ["title string", "description string", "link array<struct<_VALUE string, _href string, _rel string>>", "pubDate string", "published string",
               "`content:encoded` string", "content string", "summary string"]
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(", ".join(fields)).load(path)
+    # RSS has the address as text, Atom as an attribute of the link that is no "self", "enclosure", …
+    plain = F.try_element_at(F.filter(F.transform("link", lambda x: nz(F.trim(x["_VALUE"]))), lambda t: t.isNotNull()), F.lit(1))
+    pages = F.filter("link", lambda x: nz(x["_href"]).isNotNull() & (F.coalesce(nz(x["_rel"]), F.lit("alternate")) == "alternate"))
+    link = F.coalesce(plain, F.trim(F.try_element_at(pages, F.lit(1))["_href"]))
     return raw.select(
         nz(F.trim("title")).alias("title"),
         F.coalesce(nz(F.trim("description")), nz(F.trim("`content:encoded`")), nz(F.trim("content")),
                    nz(F.trim("summary"))).alias("description"),
-        nz(F.trim("link")).alias("link"), F.coalesce(nz(F.trim("pubDate")), nz(F.trim("published"))).alias("pub_date"),
+        link.alias("link"), F.coalesce(nz(F.trim("pubDate")), nz(F.trim("published"))).alias("pub_date"),
         F.lit(feed_name).alias("feed_name"))
 
 
