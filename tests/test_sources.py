@@ -49,3 +49,26 @@ def test_repeated_blocks_of_a_page(spark):
 def test_text_lines_skip_noise(spark):
     p = spark.createDataFrame([("<script>x</script><nav>menu</nav><p>One <b>two</b></p><div class='footer'>f</div>",)], "html string")
     assert p.select(dom.simplify_html("html")).first()[0] == "One\ntwo"
+
+
+def test_page_extraction_is_linear_in_cards(spark):
+    """Four times the cards take well under the sixteen-fold time of pairing each with each."""
+    import time
+
+    def page(n):
+        return "".join(f'<div class="job"><h3>Developer number {i}</h3><span class="location">Town</span><a href="/j/{i}">x</a></div>' for i in range(n))
+
+    took = {}
+    for n in (500, 500, 2000):  # the first run compiles
+        p = spark.createDataFrame([(1, "https://a.example/y", page(n))], "page_id int, url string, html string")
+        begin = time.perf_counter()
+        rows = dom.extract_generic(p).collect()
+        took[n] = time.perf_counter() - begin
+        assert len(rows) == n and rows[-1].title == f"Developer number {n - 1}" and rows[-1].url.endswith(f"/j/{n - 1}")
+    assert took[2000] < 8 * took[500] + 2
+
+
+def test_first_link_of_an_address_decides(spark):
+    html = '<a href="/jobs/12">Backend Developer</a><a href="/jobs/12">Apply now here</a><a href="/jobs/3">Frontend Developer</a>'
+    p = spark.createDataFrame([(1, "https://a.example/y", html)], "page_id int, url string, html string")
+    assert [r.title for r in dom.extract_generic(p).orderBy("position").collect()] == ["Backend Developer", "Frontend Developer"]

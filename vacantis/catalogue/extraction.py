@@ -147,15 +147,20 @@ def script_jobs(spark, sf):
     return ex.extract_script_jobs(p).select("page_id", "title", "url")
 
 
-@query("extract_jobs", """
-    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'payload' WHEN 1 THEN 'cards' ELSE 'jsonld' END AS strategy, 'Job ' || page_id AS title FROM pages""")
+@query("extract_jobs", cte("companies") + """
+    SELECT p.page_id, CASE WHEN p.page_id % 2 = 0 AND coalesce(c.ats_type, 'generic') IN ('generic', 'greenhouse', 'custom') THEN 'cards' ELSE 'jsonld' END AS strategy,
+      'Job ' || p.page_id AS title FROM pages p LEFT JOIN b_companies c ON c.id = p.page_id
+    UNION ALL SELECT -id, 'payload', 'Job C' || id FROM b_companies WHERE ats_type IN ('greenhouse', 'lever', 'ashby')""")
 def extract_jobs(spark, sf):
-    html = """CASE page_id % 3 WHEN 0 THEN concat('{"jobs":[{"title":"Job ', page_id, '","absolute_url":"u"}]}')
-        WHEN 1 THEN concat('<div class="opening"><a href="/1">Job ', page_id, '</a></div>', html)
-        ELSE concat(html, '<script type="application/ld+json">{"@type":"JobPosting","title":"Job ', page_id, '"}</script>') END"""
-    s = load(spark, sf, "pages").select("page_id", F.lit(1).alias("company_id"), "url", F.expr(html).alias("html"))
-    c = spark.range(1).select(F.lit(1).alias("id"), F.lit("greenhouse").alias("ats_type"), F.lit("acme").alias("ats_identifier"))
-    return ex_jobs(s, c)
+    # whole pages with a card or a script in front, and one JSON document per company on a platform
+    html = """concat('<script type="application/ld+json">{"@type":"JobPosting","title":"Job ', page_id, '"}</script>',
+        CASE WHEN page_id % 2 = 0 THEN concat('<div class="opening"><a href="/1">Job ', page_id, '</a></div>') ELSE '' END, html)"""
+    pages = load(spark, sf, "pages").select("page_id", F.col("page_id").alias("company_id"), "url", F.expr(html).alias("html"))
+    c = bind(spark, sf, "companies")
+    body = """CASE ats_type WHEN 'lever' THEN concat('[{"text":"Job C', id, '"}]') ELSE concat('{"jobs":[{"title":"Job C', id, '"}]}') END"""
+    docs = c.filter("ats_type IN ('greenhouse', 'lever', 'ashby')").select(
+        (-F.col("id")).alias("page_id"), F.col("id").alias("company_id"), F.col("careers_url").alias("url"), F.expr(body).alias("html"))
+    return ex_jobs(pages.unionByName(docs), c)
 
 
 def ex_jobs(s, c):
@@ -281,27 +286,50 @@ def embed_jobs(spark, sf):
     return out.select("id", F.col("chunks").cast("bigint").alias("chunks"), F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query("dom_elements")
+# three equal blocks in front of whole pages
+_BLOCKS = """concat('<div class="row"><h4>Role one</h4><a href="/r/1">Open</a></div><div class="row"><h4>Role two</h4><a href="/r/2">Open</a></div>',
+    '<div class="row"><h4>Role three</h4><a href="/r/3">Open</a></div>', html)"""
+_BODY = "regexp_replace(html, '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>', '', 'g')"
+_ADDED = {"div": 3, "h4": 3, "a": 3}
+
+
+def _blocked(spark, sf):
+    return load(spark, sf, "pages").select("page_id", "url", F.expr(_BLOCKS).alias("html"))
+
+
+@query("dom_elements", " UNION ALL ".join(f"""
+    SELECT page_id, '{t}' AS tag, n, {'n' if t in ('h1', 'h2', 'h3', 'h4', 'a') else '0::BIGINT'} AS with_text
+    FROM (SELECT page_id, {_ADDED.get(t, 0)} + len(regexp_extract_all({_BODY}, '<{t}[ >]')) AS n FROM pages) WHERE n > 0"""
+    for t in ("div", "article", "section", "li", "h1", "h2", "h3", "h4", "a")))
 def dom_elements(spark, sf):
-    return dom.explode_dom(load(spark, sf, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count("text").alias("with_text"))
+    return dom.explode_dom(_blocked(spark, sf)).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count("text").alias("with_text"))
 
 
-@query("repeated_blocks")
+@query("repeated_blocks", "SELECT page_id, 'row|h4,a' AS signature, 3::BIGINT AS n FROM pages")
 def repeated_blocks(spark, sf):
-    e = dom.explode_dom(load(spark, sf, "pages")).filter(F.col("signature").isNotNull())
+    e = dom.explode_dom(_blocked(spark, sf)).filter(F.col("signature").isNotNull())
     return ag.repeated_blocks(e).groupBy("page_id", "signature").agg(F.count("*").alias("n"))
 
 
-@query("page_text", """
-    SELECT page_id, 'Alpha beta' AS main_text FROM pages""")
+def _lines(html: str) -> str:
+    """SQL: text lines between the tags of a page."""
+    text = "replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+    return (f"list_filter(list_transform(string_split_regex({html}, '<[^>]*>'), lambda x: trim(regexp_replace({text}, '{_EDGE}', ' ', 'g'))), "
+            "lambda x: x <> '')")
+
+
+@query("page_text", f"""
+    SELECT page_id, array_to_string({_lines("regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)")}, ' ') AS main_text FROM pages""")
 def page_text(spark, sf):
-    p = load(spark, sf, "pages").select("page_id", F.concat(F.lit("<main>Alpha <b>beta</b></main>"), "html").alias("html"))
-    return p.select("page_id", F.replace(dom.main_content("html"), F.lit("\n"), F.lit(" ")).alias("main_text"))
+    return load(spark, sf, "pages").select("page_id", F.replace(dom.main_content("html"), F.lit("\n"), F.lit(" ")).alias("main_text"))
 
 
-@query("simplify_html")
+@query("simplify_html", f"""
+    SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, array_to_string({_lines(
+        "regexp_replace(html, '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '<x>', 'g')")}, chr(10)) AS t FROM pages)""")
 def simplify_html(spark, sf):
-    return load(spark, sf, "pages").select("page_id", F.length(dom.simplify_html("html")).cast("bigint").alias("n_chars"))
+    p = load(spark, sf, "pages").select("page_id", dom.simplify_html("html").alias("t"))
+    return p.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 @query("directory_companies", """

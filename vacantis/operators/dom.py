@@ -1,12 +1,15 @@
 """Page structure (U1) and what is read from it.
 
-One Arrow UDF turns a page into the list of its interesting elements; cards,
-titles, places and strategies are then array expressions on that list, so a
-page is parsed once and never shuffled.
+One Arrow UDF turns a page into the list of its interesting elements; a card or
+block carries the first title, place, … and link inside it, found by position
+while the tree is at hand.  Strategies are then single passes over that list, so
+a page is parsed once, never shuffled, and costs time in proportion to its size.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,7 +27,9 @@ _TEXT = T.StringType()
 ELEMENTS = T.ArrayType(T.StructType([
     T.StructField("node", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("tag", _TEXT),
     T.StructField("cardset", T.IntegerType()), T.StructField("kinds", T.ArrayType(_TEXT)),
-    T.StructField("signature", _TEXT), T.StructField("href", _TEXT), T.StructField("text", _TEXT)]))
+    T.StructField("signature", _TEXT), T.StructField("group", T.IntegerType()), T.StructField("repeats", T.IntegerType()),
+    T.StructField("href", _TEXT), T.StructField("text", _TEXT),
+    *[T.StructField(f"first_{k}", _TEXT) for k in ("title", "location", "department", "type", "href", "link")]]))
 
 
 class _Tree(HTMLParser):
@@ -118,7 +123,29 @@ def _elements(html, layout):
         text = " ".join(" ".join(tree.texts[node["from"]:node["to"]]).split()) if kinds or href is not None else None
         out.append({"node": node["n"], "last": node["last"], "tag": node["tag"], "cardset": cardset, "kinds": kinds,
                     "signature": signature, "href": href, "text": text})
-    return out
+    return _with_parts(out)
+
+
+def _with_parts(elements):
+    """Give each card and block its first part of every kind, and each block its group: blocks of one signature."""
+    spots = {k: [e for e in elements if k in e["kinds"]] for k in ("title", "location", "department", "type")}
+    spots["href"] = [e for e in elements if e["href"] is not None]
+    places = {k: [e["node"] for e in v] for k, v in spots.items()}
+    repeats = Counter(e["signature"] for e in elements if e["signature"] is not None)
+    groups = {s: i for i, s in enumerate(repeats)}
+    for e in elements:
+        if e["signature"] is not None:
+            e["group"], e["repeats"] = groups[e["signature"]], repeats[e["signature"]]
+        if e["signature"] is None and e["cardset"] is None:
+            continue
+        for k, at in places.items():
+            i = bisect_right(at, e["node"])
+            if i < len(at) and at[i] <= e["last"]:
+                part = spots[k][i]
+                e[f"first_{k}"] = part["href"] if k == "href" else part["text"]
+                if k == "href":
+                    e["first_link"] = part["text"]
+    return elements
 
 
 @F.pandas_udf(ELEMENTS)
@@ -165,49 +192,43 @@ def _job(title, url, location, department, kind) -> Column:
                     F.lit(None).cast("boolean").alias("remote"))
 
 
-def _card_job(card: Column, elements: Column, url: Column, link_title: Column) -> Column:
+def _card_job(card: Column, url: Column, link_title: Column) -> Column:
     """The job a card element describes: first part of each kind inside it."""
-    inside = F.filter(elements, lambda e: (e["node"] > card["node"]) & (e["node"] <= card["last"]))
-    part = lambda kind: F.try_element_at(F.filter(inside, lambda e: F.array_contains(e["kinds"], kind)), F.lit(1))["text"]
-    link = F.try_element_at(F.filter(inside, lambda e: e["href"].isNotNull()), F.lit(1))
-    own = F.when(card["href"].isNotNull(), card["href"])
-    title = F.coalesce(part("title"), F.when(link_title, link["text"]))
-    href = F.coalesce(nz(own), nz(link["href"]))
-    return _job(tx.clean_text(title), F.coalesce(tx.resolve_url(url, href), url), tx.clean_text(part("location")),
-                tx.clean_text(part("department")), tx.clean_text(part("type")))
+    title = F.coalesce(card["first_title"], F.when(link_title, card["first_link"]))
+    href = F.coalesce(nz(card["href"]), nz(card["first_href"]))
+    return _job(tx.clean_text(title), F.coalesce(tx.resolve_url(url, href), url), tx.clean_text(card["first_location"]),
+                tx.clean_text(card["first_department"]), tx.clean_text(card["first_type"]))
 
 
-def card_jobs_column(elements: Column, url: Column, min_title: Column, link_title: Column) -> Column:
-    """Jobs of the first card group that gives any."""
-    cards = F.filter(elements, lambda e: e["cardset"].isNotNull())
-    both = F.transform(cards, lambda c: F.struct(c["cardset"].alias("g"), _card_job(c, elements, url, link_title).alias("j")))
+def _first_group(elements: Column, group: str, url: Column, link_title: Column, min_title: Column) -> Column:
+    """Jobs with a long enough title of the first group that has any."""
+    both = F.transform(elements, lambda e: F.struct(e[group].alias("g"), _card_job(e, url, link_title).alias("j")))
     good = F.filter(both, lambda x: F.length(x["j"]["title"]) >= min_title)
     return once(good, lambda found: once(F.array_min(F.transform(found, lambda x: x["g"])), lambda first: F.transform(
         F.filter(found, lambda x: x["g"] == first), lambda x: x["j"])))
 
 
+def card_jobs_column(elements: Column, url: Column, min_title: Column, link_title: Column) -> Column:
+    """Jobs of the first card group that gives any."""
+    return _first_group(F.filter(elements, lambda e: e["cardset"].isNotNull()), "cardset", url, link_title, min_title)
+
+
 def link_jobs_column(elements: Column, url: Column) -> Column:
     """Jobs of links whose address looks like a posting and whose text is no navigation."""
     none = F.lit(None).cast("string")
     pattern = "(?i)(?:" + "|".join(misc.GENERIC_JOB_HREF) + ")"
     links = F.filter(elements, lambda e: (e["href"] != "") & ~e["href"].startswith("#") & e["href"].rlike(pattern))
     jobs = F.transform(links, lambda e: _job(tx.clean_text(e["text"]), tx.resolve_url(url, e["href"]), none, none, none))
-    # the first link of an address decides
-    firsts = once(jobs, lambda all_: once(F.transform(all_, lambda x: x["url"]), lambda urls: F.filter(
-        all_, lambda j, i: F.array_position(urls, j["url"]) == i + 1)))
-    return F.filter(firsts, lambda j: tx.is_job_title(j["title"]))
+    # the first link of an address decides: sorted by address and place, then back by place
+    placed = F.sort_array(F.transform(jobs, lambda j, i: F.struct(j["url"].alias("url"), i.alias("i"), j.alias("j"))))
+    firsts = once(placed, lambda all_: F.filter(all_, lambda x, n: (n == 0) | ~F.get(all_, n - 1)["url"].eqNullSafe(x["url"])))
+    back = F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j"))))
+    return F.filter(F.transform(back, lambda x: x["j"]), lambda j: tx.is_job_title(j["title"]))
 
 
 def block_jobs_column(elements: Column, url: Column) -> Column:
     """Jobs of the first repeated block structure (three or more) that gives any."""
-    def read(blocks: Column) -> Column:
-        names = F.array_distinct(F.transform(blocks, lambda b: b["signature"]))
-        many = F.filter(names, lambda s: F.size(F.filter(blocks, lambda b: b["signature"] == s)) >= 3)
-        groups = F.transform(many, lambda s: F.filter(
-            F.transform(F.filter(blocks, lambda b: b["signature"] == s), lambda b: _card_job(b, elements, url, F.lit(True))),
-            lambda j: F.length(j["title"]) >= 5))
-        return F.try_element_at(F.filter(groups, lambda g: F.size(g) > 0), F.lit(1))
-    return once(F.filter(elements, lambda e: e["signature"].isNotNull()), read)
+    return _first_group(F.filter(elements, lambda e: e["repeats"] >= 3), "group", url, F.lit(True), F.lit(5))
 
 
 def _first_filled(*named: tuple[str, Column]) -> Column:
