@@ -232,7 +232,7 @@ def _sql(d) -> dict[str, tuple[list[str], str]]:
         FROM orders WHERE o_totalprice >= 300000""")
     out["discovered"] = (["events"], f"""
         SELECT event_id AS row_id, concat('User ', user_id) AS name,
-               CASE WHEN event_id % 9 = 0 THEN NULL ELSE concat('https://www.U', user_id, '.com/home?x=1') END AS website_url,
+               CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 7 = 3 THEN concat('https://fresh', user_id, '.com') ELSE concat('https://www.U', user_id, '.com/home?x=1') END AS website_url,
                CASE WHEN event_id % 9 = 0 AND event_id % 2 = 0 THEN concat('https://boards.greenhouse.io/u', user_id)
                     WHEN event_id % 9 = 0 THEN concat('https://jobs.u', user_id, '.net/open') END AS careers_url,
                event_type AS source,

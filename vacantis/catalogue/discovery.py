@@ -17,20 +17,16 @@ _T = f"TIMESTAMP '{AS_OF}'"
 # b_discovered with the derived domain
 _FOUND = cte("discovered", "companies", "queue") + """, known AS (
       SELECT lower(domain) AS domain FROM b_companies WHERE domain IS NOT NULL
-      UNION SELECT lower(domain) FROM b_queue WHERE status IN ('pending', 'processing') AND created_at >= TIMESTAMP '2024-01-25'),
+      UNION SELECT lower(domain) FROM b_queue WHERE status IN ('pending', 'processing')),
     d AS (SELECT *, regexp_replace(coalesce(regexp_extract(lower(website_url), '^[a-z]+://([^/]+)', 1),
           CASE WHEN careers_url NOT LIKE '%greenhouse%' THEN regexp_extract(careers_url, '^[a-z]+://([^/]+)', 1) END), '^www\\.', '') AS domain FROM b_discovered)"""
 
 
-def _open_queue(spark, sf):
-    return bind(spark, sf, "queue").filter(F.col("created_at") >= "2024-01-25")
-
-
 @query("drop_known", _FOUND + """
     SELECT source, count(*) AS n FROM d WHERE domain IS NULL OR domain NOT IN (SELECT domain FROM known) GROUP BY 1""")
 def drop_known(spark, sf):
     d = bind(spark, sf, "discovered").withColumn("domain", tx.derive_domain("website_url", "careers_url"))
-    return jn.drop_known(d, bind(spark, sf, "companies"), _open_queue(spark, sf)).groupBy("source").agg(F.count("*").alias("n"))
+    return jn.drop_known(d, bind(spark, sf, "companies"), bind(spark, sf, "queue")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 _ROUTED = _FOUND + f""", r AS (
@@ -43,7 +39,7 @@ _ROUTED = _FOUND + f""", r AS (
 
 @query("discover_outcomes", _ROUTED + " SELECT row_id, domain, outcome FROM o")
 def discover_outcomes(spark, sf):
-    return di.route(bind(spark, sf, "discovered"), bind(spark, sf, "companies"), _open_queue(spark, sf)).select("row_id", "domain", "outcome")
+    return di.route(bind(spark, sf, "discovered"), bind(spark, sf, "companies"), bind(spark, sf, "queue")).select("row_id", "domain", "outcome")
 
 
 @query("discover_summary", _ROUTED + """
@@ -51,7 +47,7 @@ def discover_outcomes(spark, sf):
            count(*) FILTER (WHERE outcome = 'non_us') AS non_us, count(*) FILTER (WHERE outcome = 'queued') AS queued,
            0::BIGINT AS updated, 0::BIGINT AS error FROM o GROUP BY 1""")
 def discover_summary(spark, sf):
-    _, _, routed = di.discover(bind(spark, sf, "discovered"), bind(spark, sf, "companies"), _open_queue(spark, sf), AS_OF_EVENTS)
+    _, _, routed = di.discover(bind(spark, sf, "discovered"), bind(spark, sf, "companies"), bind(spark, sf, "queue"), AS_OF_EVENTS)
     return ag.run_summary(routed)
 
 
@@ -257,10 +253,11 @@ def apply_detection(spark, sf):
 @query("move_to_dormant", cte("companies", "dormant") + """, g AS (SELECT id FROM b_companies WHERE is_active AND coalesce(careers_url, '') = '' AND ats_type IS NULL
       AND (coalesce(website_url, '') = '' OR coalesce(ats_detection_attempts, 0) >= 2))
     SELECT 'company' AS kind, id, CASE WHEN is_active AND id NOT IN (SELECT id FROM g) THEN 'on' ELSE 'off' END AS state FROM b_companies
-    UNION ALL SELECT 'dormant', id, dormant_reason FROM b_dormant WHERE check_count = 0
+    UNION ALL SELECT 'dormant', CASE WHEN check_count = 0 THEN id ELSE -id END, dormant_reason FROM b_dormant
     UNION ALL SELECT 'dormant', id, 'no_careers_page' FROM g WHERE id NOT IN (SELECT id FROM b_dormant WHERE check_count = 0)""")
 def move_to_dormant(spark, sf):
-    c, d = de.move_to_dormant(bind(spark, sf, "companies"), bind(spark, sf, "dormant").filter("check_count = 0"), "no_careers_page", AS_OF)
+    c, d = de.move_to_dormant(bind(spark, sf, "companies"), bind(spark, sf, "dormant").withColumn(
+        "id", F.expr("CASE WHEN check_count = 0 THEN id ELSE -id END")), "no_careers_page", AS_OF)
     a = c.select(F.lit("company").alias("kind"), "id", F.when(F.col("is_active"), "on").otherwise("off").alias("state"))
     return a.unionByName(d.select(F.lit("dormant").alias("kind"), "id", F.col("dormant_reason").alias("state")))
 
@@ -282,7 +279,7 @@ def recheck_dormant(spark, sf):
     SELECT id AS company_id, CASE WHEN id % 5 = 0 THEN 'invalid_identifier' WHEN country <> 'US' THEN 'not_crawled' WHEN location = '' THEN 'failed' ELSE 'ok' END AS verdict FROM idle""")
 def validate_ats(spark, sf):
     c = bind(spark, sf, "companies").withColumn("ats_identifier", F.when(F.col("id") % 5 == 0, F.lit("${BOARD}")).otherwise(F.col("ats_identifier")))
-    jobs = bind(spark, sf, "jobs").filter("role_family = 'data'")
+    jobs = bind(spark, sf, "jobs").withColumn("is_active", F.expr("is_active AND role_family = 'data'"))
     outcomes = c.filter("country = 'US'").select(F.col("id").alias("company_id"), (F.col("location") != "").alias("success"), F.lit("http_404").alias("reason"))
     _, checked, _ = de.validate_ats(c, jobs, outcomes, AS_OF)
     return checked.select("company_id", "verdict")

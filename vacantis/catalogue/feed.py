@@ -169,5 +169,5 @@ def recent_runs(spark, sf):
     SELECT id, ats_type FROM b_companies c WHERE is_active AND ats_type IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM b_jobs j WHERE j.company_id = c.id AND j.is_active AND j.role_family = 'data')""")
 def companies_without_jobs(spark, sf):
-    jobs = bind(spark, sf, "jobs").filter(F.col("role_family") == "data")
+    jobs = bind(spark, sf, "jobs").withColumn("is_active", F.col("is_active") & (F.col("role_family") == "data"))
     return jn.companies_without_jobs(bind(spark, sf, "companies"), jobs).select("id", "ats_type")

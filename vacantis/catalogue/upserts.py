@@ -12,13 +12,11 @@ from . import query
 _TS = "'%Y-%m-%d %H:%M:%S'"
 
 _CHANGES = """
-    SELECT o_custkey AS company_id,
-           concat('https://boards.greenhouse.io/customer', o_custkey, '/jobs/', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '?gh_src=x' ELSE '' END) AS source_url,
+    SELECT o_custkey AS company_id, CASE WHEN o_totalprice < 150000
+             THEN concat('https://boards.greenhouse.io/customer', o_custkey, '/jobs/', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '?gh_src=x' ELSE '' END)
+             ELSE concat('https://new.example/', o_orderkey) END AS source_url,
            concat('Updated ', o_orderkey) AS title, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(7 AS BIGINT) END AS max_salary
-    FROM orders WHERE o_totalprice < 150000
-    UNION ALL
-    SELECT o_custkey, concat('https://new.example/', o_orderkey), concat('New ', o_orderkey), CAST(9 AS BIGINT)
-    FROM orders WHERE o_totalprice > 450000"""
+    FROM orders"""
 # every order is changed once, some twice: the later change has to win and nothing may land twice
 _CHANGES = f"""
     SELECT company_id, source_url, title, max_salary, 1 AS version FROM ({_CHANGES}) AS first_changes
@@ -53,14 +51,14 @@ def upsert_jobs_raw(spark, sf):
     return up.upsert_jobs_raw(bind(spark, sf, "jobs_raw"), u, order=["version"]).select("company_id", "source_url", "title_raw", "id", "salary_raw")
 
 
-@query("upsert_matches", cte("matches") + """, u AS (SELECT * FROM (SELECT l_suppkey AS candidate_id, l_orderkey AS job_id, l_tax AS score, l_shipdate AS at, l_linenumber AS n,
-      row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn FROM lineitem WHERE l_quantity < 10) WHERE rn = 1)
-    SELECT m.candidate_id, m.job_id, round(CASE WHEN u.job_id IS NOT NULL THEN u.score ELSE m.score END, 6) AS score,
+@query("upsert_matches", cte("matches") + """, u AS (SELECT * FROM (SELECT CASE WHEN l_quantity < 10 THEN l_suppkey ELSE -l_suppkey END AS candidate_id, l_orderkey AS job_id, l_tax AS score,
+      row_number() OVER (PARTITION BY CASE WHEN l_quantity < 10 THEN l_suppkey ELSE -l_suppkey END, l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS rn FROM lineitem) WHERE rn = 1)
+    SELECT coalesce(m.candidate_id, u.candidate_id) AS candidate_id, coalesce(m.job_id, u.job_id) AS job_id, round(CASE WHEN u.job_id IS NOT NULL THEN u.score ELSE m.score END, 6) AS score,
            strftime(m.shown_at, '%Y-%m-%d %H:%M:%S') AS shown_at
-    FROM b_matches m LEFT JOIN u ON m.candidate_id = u.candidate_id AND m.job_id = u.job_id""")
+    FROM b_matches m FULL JOIN u ON m.candidate_id = u.candidate_id AND m.job_id = u.job_id""")
 def upsert_matches(spark, sf):
-    u = load(spark, sf, "lineitem").filter("l_quantity < 10").selectExpr(
-        "l_suppkey AS candidate_id", "l_orderkey AS job_id", "l_tax AS score", "TRUE AS hard_match", "l_shipdate AS at", "l_linenumber AS n")
+    u = load(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_quantity < 10 THEN l_suppkey ELSE -l_suppkey END AS candidate_id", "l_orderkey AS job_id", "l_tax AS score", "TRUE AS hard_match", "l_shipdate AS at", "l_linenumber AS n")
     from ..operators.windows import latest_per
 
     target = bind(spark, sf, "matches").withColumn("match_reasons", F.create_map().cast("map<string,string>"))
