@@ -140,6 +140,30 @@ def test_stream_in_two_batches_equals_batch(spark, tmp_path):
     assert got == {r[0] for r in kept.select("id").collect()}
 
 
+def test_late_snapshots_within_the_delay_give_the_batch_result(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(c, c * 1000 + i, rng.choice("ab"), f"2024-01-{1 + i // 6:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00") for c in range(5) for i in range(60)]
+    df = spark.createDataFrame(rows, "company_id long, id long, html_hash string, at string").withColumn("crawled_at", F.col("at").cast("timestamp")).drop("at")
+    want = {r.id for r in wn.changed_snapshots(df)[0].select("id").collect()}
+    changes = sm.Changes(spark, str(tmp_path / "c"), "4 days")
+    shuffled = sorted(rows, key=lambda r: (r[3][:10], rng.random()))
+    parts, n = [shuffled[k::1][i:i + 50] for k, i in ((0, i) for i in range(0, 300, 50))], 0
+    parts[1], parts[2] = parts[2][:25] + parts[1][:25], parts[1][25:] + parts[2][25:]  # some come a batch too early or late
+    for n, part in enumerate(parts):
+        ids = [r[1] for r in part]
+        for _ in range(1 + (n == 3)):  # a batch may be repeated
+            changes(df.filter(F.col("id").isin(ids)), n)
+    changes.flush()
+    got = [r.id for r in changes.kept().select("id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(list((tmp_path / "c" / "waiting").iterdir())) == len(list((tmp_path / "c" / "heads").iterdir())) == 2
+    late = sm.Changes(spark, str(tmp_path / "d"), "1 day")
+    late(df.filter("id = 59"), 0)
+    late(df.filter("id = 0"), 1)  # nine days late: dropped
+    late.flush()
+    assert [r.id for r in late.kept().collect()] == [59]
+
+
 def pieces_of(text, size, overlap, look_back):
     """The chunker's rule over plain positions."""
     if len(text) <= size:
@@ -200,9 +224,8 @@ def test_engagement_stream_marks_matches(spark, tmp_path):
                                (1, 10, "clicked", "2024-01-04")], "candidate_id int, job_id int, kind string, d string")
     e = e.withColumn("at", F.col("d").cast("timestamp"))
     e.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = {}
-    run = sm.engagement_batch(lambda: m, lambda df, i: out.update({r[0]: (str(r[2])[:10], str(r[3])[:10]) for r in df.collect()}))
-    sm.start(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", batch=run).awaitTermination()
+    got = sm.run_engagement(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in"), m).collect()
+    out = {r[0]: (str(r[2])[:10], str(r[3])[:10]) for r in got}
     assert out == {1: ("2024-01-01", "2024-01-04"), 2: ("None", "None")}
 
 

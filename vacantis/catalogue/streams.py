@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..bindings import bind, cte, load
+from ..bindings import _SPARK, AS_OF, AS_OF_EVENTS, bind, cte, load
 from ..functions.core import iso
 from ..streaming import streams as sm
-from . import query
+from . import ORACLES, discovery, query, upserts  # noqa: F401  whose checks hold for the streams too
 
 
 def _events(spark, sf):
@@ -58,16 +58,28 @@ def stream_sessions(spark, sf):
     return out.select("candidate_id", iso("start").alias("start"), "clicks")
 
 
-@query("stream_normalize", cte("jobs_raw") + """
-    SELECT id, CASE WHEN salary_raw LIKE '€%' THEN TRY_CAST(regexp_extract(salary_raw, '(\\d+)', 1) AS BIGINT) END AS euro_salary, strftime(CAST(replace(replace(posted_at_raw, 'T', ' '), 'Z', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS posted_at FROM b_jobs_raw""")
+def _bound(spark, sf, name: str, table: str):
+    """A product table as a stream over the one driver table it is derived from."""
+    rows = spark.readStream.schema(load(spark, sf, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return spark.sql(_SPARK[name][1].replace(f"FROM {table}", "FROM {rows}"), rows=rows)
+
+
+@query("stream_normalize", ORACLES["normalize_jobs"])
 def stream_normalize(spark, sf):
-    from ..bindings import AS_OF, _SPARK
-
-    schema = load(spark, sf, "orders").schema
-    o = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    raw = spark.sql(_SPARK["jobs_raw"][1].replace("FROM orders", "FROM {orders}"), orders=o)
-    out = sm.run_to_table(sm.normalize_stream(raw, AS_OF))
-    money = bind(spark, sf, "jobs_raw").select(F.col("id").alias("raw_job_id"), "salary_raw")
-    return out.join(money, "raw_job_id").select(
-        F.col("raw_job_id").alias("id"), F.when(F.col("salary_raw").startswith("€"), F.col("min_salary")).alias("euro_salary"),
-        iso("posted_at").alias("posted_at"))
+    out = sm.run_to_table(sm.normalize_stream(_bound(spark, sf, "jobs_raw", "orders"), AS_OF))
+    return out.select(F.col("raw_job_id").alias("id"), "role_family", "role_specialization", "seniority", "location_type", "employment_type",
+                      "min_salary", "max_salary", iso("posted_at").alias("posted_at"), F.round("freshness_score", 6).alias("freshness"))
+
+
+@query("stream_discover", ORACLES["discover_outcomes"])
+def stream_discover(spark, sf):
+    return sm.run_discovery(_bound(spark, sf, "discovered", "events"), bind(spark, sf, "companies"), bind(spark, sf, "queue"), AS_OF_EVENTS)
+
+
+@query("stream_engagement", ORACLES["match_events"])
+def stream_engagement(spark, sf):
+    schema = load(spark, sf, "lineitem").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf).selectExpr(
+        "l_suppkey AS candidate_id", "l_orderkey AS job_id", "CASE WHEN l_linenumber % 2 = 0 THEN 'shown' ELSE 'clicked' END AS kind", "CAST(l_shipdate AS TIMESTAMP) AS at")
+    target = bind(spark, sf, "matches").withColumn("clicked_at", F.lit(None).cast("timestamp"))
+    return sm.run_engagement(e, target).select("candidate_id", "job_id", iso("shown_at").alias("shown_at"), iso("clicked_at").alias("clicked_at"))

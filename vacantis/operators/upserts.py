@@ -161,15 +161,22 @@ def cascade_delete(tables: dict[str, DataFrame], company_ids: DataFrame) -> dict
     return out
 
 
-def apply_match_events(matches: DataFrame, events: DataFrame) -> DataFrame:
-    """First time shown (an older mark stays) and last time clicked.
+def fold_match_events(events: DataFrame) -> DataFrame:
+    """Events ``(candidate_id, job_id, kind, at)`` as first time shown and last time clicked per match."""
+    return events.groupBy("candidate_id", "job_id").agg(
+        F.min(F.when(F.col("kind") == "shown", F.col("at"))).alias("shown_at"),
+        F.max(F.when(F.col("kind") == "clicked", F.col("at"))).alias("clicked_at"))
 
-    ``events(candidate_id, job_id, kind, at)``; aggregated before the join.
-    """
-    e = events.groupBy("candidate_id", "job_id").agg(
-        F.min(F.when(F.col("kind") == "shown", F.col("at"))).alias("__shown"),
-        F.max(F.when(F.col("kind") == "clicked", F.col("at"))).alias("__clicked"))
+
+def apply_match_folds(matches: DataFrame, folds: DataFrame) -> DataFrame:
+    """First time shown (an older mark stays) and last time clicked, from any number of folds per match."""
+    e = folds.groupBy("candidate_id", "job_id").agg(F.min("shown_at").alias("__shown"), F.max("clicked_at").alias("__clicked"))
     return (matches.join(e, ["candidate_id", "job_id"], "left")
             .withColumn("shown_at", F.coalesce("shown_at", "__shown"))
             .withColumn("clicked_at", F.coalesce("__clicked", "clicked_at"))
             .select(*matches.columns))
+
+
+def apply_match_events(matches: DataFrame, events: DataFrame) -> DataFrame:
+    """K12 in one step; events are aggregated before the join."""
+    return apply_match_folds(matches, fold_match_events(events))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
-from ..operators.upserts import apply_match_events
+from ..operators.upserts import apply_match_folds, fold_match_events
 from ..operators.windows import changed_snapshots, latest_per
 from ..plans.discover import discover
 from ..plans.normalize import normalize_jobs
@@ -55,28 +55,73 @@ def discover_batch(companies: Callable[[], DataFrame], queue: Callable[[], DataF
     return run
 
 
-def changes_batch(last: Callable[[int], DataFrame | None],
-                  save: Callable[[DataFrame, DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """R2: ``foreachBatch`` body: snapshots whose digest differs from the company's last one.
+CHANGE_BUCKETS = 64
 
-    ``last(batch_id)`` reads the digests ``(company_id, id, html_hash,
-    crawled_at)`` left by the batch before (none at first) and ``save(kept,
-    newest, batch_id)`` stores the changed snapshots and the new digests as a
-    version of their own, so a repeated batch gives the same result.  Inside
-    the batch the comparison is the batch operator, which spreads one busy
-    company over many tasks; a keyed state function would hold all its rows
-    of a batch in one.
+
+class Changes:
+    """R2: snapshots whose digest differs from the company's one before, as a stream.
+
+    A snapshot is final once the newest one seen is ``delay`` later; until then
+    it waits, so snapshots that arrive out of order within the delay give the
+    batch result.  One that arrives when its time is final already is dropped;
+    :meth:`flush` ends a bounded run and makes all that waits final.
+
+    Kept under ``path``: the kept snapshots per batch, those that wait, and the
+    last digest per company in ``CHANGE_BUCKETS`` buckets.  A batch reads and
+    rewrites only the buckets of its final companies.  Waiting rows, heads and
+    each bucket have two slots that are written in turn, so a batch that is
+    repeated reads what its first run read, and old versions are written over.
+    Inside a batch the comparison is the batch operator, which spreads one busy
+    company over many tasks.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        slim = batch.select("company_id", "id", "html_hash", "crawled_at")
-        before = last(batch_id)
-        both = slim.withColumn("__new", F.lit(True))
+
+    SCHEMA = "company_id long, id long, html_hash string, crawled_at timestamp"
+    HEADS = "bucket int, slot int, cutoff timestamp"
+
+    def __init__(self, spark: SparkSession, path: str, delay: str = "7 days"):
+        self.spark, self.path, self.delay, self.newest = spark, path, delay, -1
+
+    def __call__(self, batch: DataFrame, batch_id: int, flush: bool = False) -> None:
+        spark, path, slot = self.spark, self.path, batch_id % 2
+        self.newest = max(self.newest, batch_id)
+        pool = batch.select("company_id", "id", "html_hash", "crawled_at")
+        heads = []
+        if batch_id > 0:
+            heads = spark.read.schema(self.HEADS).parquet(f"{path}/heads/{1 - slot}").collect()  # a row per bucket and one for the cutoff
+            pool = pool.unionByName(spark.read.schema(self.SCHEMA).parquet(f"{path}/waiting/{1 - slot}"))
+        before = next((h.cutoff for h in heads if h.bucket is None), None)
         if before is not None:
-            both = both.unionByName(before.withColumn("__new", F.lit(False)))
+            pool = pool.filter(F.col("crawled_at") > F.lit(before))
+        pool = pool.withColumn("bucket", F.pmod(F.xxhash64("company_id"), F.lit(CHANGE_BUCKETS)).cast("int"))
+        cutoff = pool.agg(F.max("crawled_at") if flush else F.max("crawled_at") - F.expr(f"INTERVAL {self.delay}")).first()[0]
+        if cutoff is None or before is not None and cutoff < before:
+            cutoff = before
+        ready = F.lit(False) if cutoff is None else F.col("crawled_at") <= F.lit(cutoff)
+        final, waiting = pool.filter(ready), pool.filter(~ready)
+        slots = {h.bucket: h.slot for h in heads if h.bucket is not None}
+        touched = [r.bucket for r in final.select("bucket").distinct().collect()]  # at most CHANGE_BUCKETS
+        both = final.withColumn("__new", F.lit(True))
+        old = [(b, slots[b]) for b in touched if b in slots]
+        if old:
+            last = spark.read.schema(f"{self.SCHEMA}, slot int, bucket int").parquet(f"{path}/last")
+            here = F.struct("bucket", "slot").isin([F.struct(F.lit(b), F.lit(x)) for b, x in old])
+            both = both.unionByName(last.filter(F.col("bucket").isin([b for b, _ in old]) & here).drop("slot").withColumn("__new", F.lit(False)))
         kept, _ = changed_snapshots(both)
-        newest = latest_per(both.drop("__new"), ["company_id"], "crawled_at", "id")
-        save(kept.filter("__new").drop("__new"), newest, batch_id)
-    return run
+        kept.filter("__new").drop("__new", "bucket").write.mode("overwrite").parquet(f"{path}/out/part={batch_id}")
+        new = {b: 1 - slots.get(b, 1) for b in touched}
+        if new:
+            where = F.create_map(*[F.lit(x) for item in new.items() for x in item])
+            (latest_per(both.drop("__new"), ["company_id"], "crawled_at", "id").withColumn("slot", F.element_at(where, F.col("bucket")))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{path}/last"))
+        waiting.drop("bucket").write.mode("overwrite").parquet(f"{path}/waiting/{slot}")
+        rows = [(None, None, cutoff), *((b, x, None) for b, x in (slots | new).items())]
+        spark.createDataFrame(rows, self.HEADS).coalesce(1).write.mode("overwrite").parquet(f"{path}/heads/{slot}")
+
+    def flush(self) -> None:
+        self(self.spark.createDataFrame([], self.SCHEMA), self.newest + 1, flush=True)
+
+    def kept(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/out").drop("part")
 
 
 def normalize_stream(jobs_raw: DataFrame, as_of) -> DataFrame:
@@ -100,13 +145,23 @@ def engagement_sessions(clicks: DataFrame, gap: str = "30 minutes", delay: str =
             .select("candidate_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "clicks"))
 
 
-def engagement_batch(matches: Callable[[], DataFrame], save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: put a batch of shown and clicked events on the matches."""
+def engagement_batch(save: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: a batch of shown and clicked events folded to one row per match.
+
+    ``save`` appends the fold under the batch number; the match table is not
+    touched.  :func:`engaged` shows matches with all folds, and a periodic job
+    can write its result as a new version and drop the folds it has taken in.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        save(apply_match_events(matches(), batch), batch_id)
+        save(fold_match_events(batch), batch_id)
     return run
 
 
+def engaged(matches: DataFrame, folds: DataFrame) -> DataFrame:
+    """Matches with the times of their folded events."""
+    return apply_match_folds(matches, folds)
+
+
 def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
     """Drain a stream into Parquet in the shared folder and read the result back.
 
@@ -124,18 +179,36 @@ def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def run_changes(snapshots: DataFrame) -> DataFrame:
-    """Drain :func:`changes_batch` over a snapshot stream and read the kept rows back."""
+def run_changes(snapshots: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Drain :class:`Changes` over a snapshot stream and read the kept rows back."""
     spark = snapshots.sparkSession
     path = new_folder(spark, "changes")
-    slim = snapshots.select("company_id", "id", tx.content_hash("html").alias("html_hash"), "crawled_at")
-
-    def last(batch_id: int) -> DataFrame | None:
-        return spark.read.schema(slim.schema).parquet(f"{path}/last/{batch_id - 1}") if batch_id > 0 else None
-
-    def save(kept: DataFrame, newest: DataFrame, batch_id: int) -> None:
-        kept.write.mode("overwrite").parquet(f"{path}/out/part={batch_id}")
-        newest.write.mode("overwrite").parquet(f"{path}/last/{batch_id}")
-
-    start(slim, f"{path}/checkpoint", batch=changes_batch(last, save)).awaitTermination()
-    return spark.read.schema(slim.schema).parquet(f"{path}/out")
+    changes = Changes(spark, path, delay)
+    slim = snapshots.select(F.col("company_id").cast("long").alias("company_id"), F.col("id").cast("long").alias("id"),
+                            tx.content_hash("html").alias("html_hash"), "crawled_at")
+    start(slim, f"{path}/checkpoint", batch=changes).awaitTermination()
+    changes.flush()
+    return changes.kept()
+
+
+def run_engagement(events: DataFrame, matches: DataFrame) -> DataFrame:
+    """Drain :func:`engagement_batch` over an event stream and show the matches."""
+    spark = events.sparkSession
+    path = new_folder(spark, "engagement")
+    start(events, f"{path}/checkpoint", batch=engagement_batch(
+        lambda fold, i: fold.write.mode("overwrite").parquet(f"{path}/folds/part={i}"))).awaitTermination()
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = f"candidate_id {kinds['candidate_id']}, job_id {kinds['job_id']}, shown_at timestamp, clicked_at timestamp"
+    return engaged(matches, spark.read.schema(schema).parquet(f"{path}/folds"))
+
+
+def run_discovery(found: DataFrame, companies: DataFrame, queue: DataFrame, as_of) -> DataFrame:
+    """Drain :func:`discover_batch` over found companies and read the outcomes back: (row_id, domain, outcome)."""
+    spark = found.sparkSession
+    path = new_folder(spark, "discovery")
+
+    def save(new, queued, routed, batch_id):
+        routed.select("row_id", "domain", "outcome").write.mode("overwrite").parquet(f"{path}/out/part={batch_id}")
+
+    start(found, f"{path}/checkpoint", batch=discover_batch(lambda: companies, lambda: queue, save, as_of)).awaitTermination()
+    return spark.read.schema("row_id long, domain string, outcome string").parquet(f"{path}/out").drop("part")
