@@ -36,8 +36,9 @@ from .common import only, prepared, stored
 
 LENGTH, END_ID = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces of text whose ids a worker keeps; it starts anew when there are more.
-KEPT = 600_000
+#: Pieces of text whose ids a worker keeps; with more, those not used since the last such turn are let go.
+KEPT = 350_000
+_TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts in which a space stands beside other white space or at an end, or that hold the mark used for cutting.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
@@ -63,9 +64,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.aged = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lead = os.path.commonprefix(self.special)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # a character of a byte-level token is one byte
@@ -73,23 +75,63 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _find(self, distinct: list[str]) -> list[bytes]:
+        """Ids of each part.  A word and the punctuation behind it do not depend on each other, so they are found apart."""
+        if len(self.kept) > KEPT:
+            self.kept, self.aged = {}, self.kept
+        kept, aged = self.kept, self.aged
+        ids = list(map(kept.get, distinct))
+        need, split, new = set(), [], []
+        for i, found in enumerate(ids):
+            if found is not None:
+                continue
+            u = distinct[i]
+            found = aged.get(u)
+            if found is not None:
+                ids[i] = kept[u] = found
+                continue
+            new.append(i)
+            stem = u.rstrip(_TAIL)
+            if len(stem) < len(u) and stem[-1:].isalnum() and not self._special(u):
+                split.append((u, stem, u[len(stem):]))
+                need.update(split[-1][1:])
+            else:
+                need.add(u)
+        todo = []
+        for u in need:
+            if u not in kept:
+                if u in aged:
+                    kept[u] = aged[u]
+                else:
+                    todo.append(u)
+        self._learn(todo)
+        for u, stem, tail in split:
+            kept[u] = kept[stem] + kept[tail]
+        for i in new:
+            ids[i] = kept[distinct[i]]
+        return ids
+
+    def _special(self, text: str) -> bool:
+        if self.lead not in text:  # common beginning of all special strings
+            return False
+        return any(t in text for t in self.special)
+
     def _learn(self, new: list[str]) -> None:
         """Parts that start with a space before a visible character and end visibly are encoded as one text and cut by bytes."""
-        joint = [u for u in new if u[:1] == " " and not u[1:2].isspace() and not u[-1:].isspace() and u != " "
-                 and not any(t in u for t in self.special)]
+        joint = [u for u in new if u[:1] == " " and u != " " and not u[1].isspace() and not u[-1].isspace() and not self._special(u)]
         apart = set(new).difference(joint)
         for begin in range(0, len(joint), 4000):
             some = joint[begin:begin + 4000]
             ids, = self._encode(["".join(some)])
             ends = np.cumsum(self.sizes[ids])
-            wanted = np.cumsum([len(u.encode()) for u in some])
+            wanted = np.cumsum(pc.binary_length(pa.array(some)).to_numpy())
             cuts = np.searchsorted(ends, wanted) + 1
             if not len(ids) or cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
                 apart.update(some)  # a vocabulary that joins across spaces
                 continue
-            low = 0
-            for u, high in zip(some, cuts.tolist()):
-                self.kept[u] = ids[low:high].tobytes()
+            low, whole = 0, ids.tobytes()
+            for u, high in zip(some, (4 * cuts).tolist()):
+                self.kept[u] = whole[low:high]
                 low = high
         apart = sorted(apart)
         for begin in range(0, len(apart), 4000):
@@ -110,10 +152,7 @@ class Encoder:
         parts = pc.split_pattern(marked, "\x00")
         coded = parts.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        self._learn([u for u in distinct if u not in self.kept])
-        ids = [self.kept[u] for u in distinct]
+        ids = self._find(distinct)
         size = np.array([len(b) // 4 for b in ids], np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
                                          pa.array(np.frombuffer(b"".join(ids), np.int32)))
