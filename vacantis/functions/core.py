@@ -20,6 +20,12 @@ def nz(c: Column | str) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def spread_nulls(key: Column | str, by: Column | str) -> Column:
+    """A text key for a left join in which missing keys meet nothing and do not all go to one partition:
+    each becomes a value of its own, made from another column."""
+    return F.coalesce(col(key), F.concat(F.lit("\u0000"), F.xxhash64(col(by)).cast("string")))
+
+
 def is_blank(c: Column | str) -> Column:
     """Null or empty (F3); never null."""
     c = col(c)

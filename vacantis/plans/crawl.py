@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify as cl, dates as dt, text as tx
-from ..functions.core import extract, is_blank, nz, once, ts
+from ..functions.core import extract, is_blank, nz, once, spread_nulls, ts
 from ..operators.joins import reconcile
 from ..operators.upserts import update_where
 from ..operators.windows import changed_snapshots, latest_per
@@ -110,8 +110,8 @@ def enrich(jobs: DataFrame, companies: DataFrame, details: DataFrame, pages: Dat
     c = companies.select(F.col("id").alias("company_id"), F.col("ats_type").alias("__t"), F.col("ats_identifier").alias("__i"))
     work = (jobs.filter(F.col("is_active") & is_blank("description") & failed_before)
             .select("id", "company_id", "source_url").join(c, "company_id")
-            .withColumn("__j", tx.provider_job_id("__t", "source_url")))
-    d = details.select(F.col("ats_type").alias("__t"), F.col("ats_identifier").alias("__i"), F.col("provider_job_id").alias("__j"),
+            .withColumn("__j", tx.provider_job_id("__t", "source_url")).withColumn("__k", spread_nulls("__j", "id")))
+    d = details.select(F.col("ats_type").alias("__t"), F.col("ats_identifier").alias("__i"), F.col("provider_job_id").alias("__k"),
                        F.col("status").alias("__ds"), nz(tx.html_to_text("description_html")).alias("__dd"),
                        dt.parse_date("published_at").alias("__dp"))
     board_read = (details.filter((F.col("ats_type") == "ashby") & (F.col("status") == 200))
@@ -120,7 +120,7 @@ def enrich(jobs: DataFrame, companies: DataFrame, details: DataFrame, pages: Dat
     p = (pages.select(F.col("url").alias("source_url"), F.col("status").alias("__ps"),
                       F.when(F.col("status") == 200, page_description(F.col("html"))).alias("__pd"),
                       F.when(F.col("status") == 200, page_posted(F.col("html"))).alias("__pp")))
-    w = (work.join(d, ["__t", "__i", "__j"], "left").join(board_read, ["__t", "__i"], "left").join(p, "source_url", "left"))
+    w = (work.join(d, ["__t", "__i", "__k"], "left").join(board_read, ["__t", "__i"], "left").join(p, "source_url", "left"))
     absent = (F.col("__t") == "ashby") & F.col("__board") & F.col("__j").isNotNull() & F.col("__ds").isNull()
     text = F.coalesce("__dd", "__pd")
     gone = F.coalesce((F.col("__ds") == 404) | absent | (F.col("__ds").isNull() & (F.col("__ps") == 404)), F.lit(False))

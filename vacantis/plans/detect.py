@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify as cl, dates as dt, text as tx
-from ..functions.core import CI, nz, ts
+from ..functions.core import CI, nz, spread_nulls, ts
 from ..operators.aggregates import failure_breakdown
 from ..operators.filters import companies_to_detect, dormant_candidates
 from ..operators.joins import companies_without_jobs
@@ -46,8 +46,8 @@ def detect_ats(companies: DataFrame, fetches: DataFrame, max_attempts: int = 2)
     """One row per company without a platform, with what the evidence says.
 
     Tiers: the careers address, where it leads, what its page shows; else the
-    usual career paths of the domain and the website; then up to two job
-    links.  Outcomes: ``detected``, ``uses_parent_ats`` (the page belongs to
+    usual career paths of the domain and the website; then the job links
+    of the page.  Outcomes: ``detected``, ``uses_parent_ats`` (the page belongs to
     another company), ``custom`` (attempts used up) or ``retry``.
     """
     ev = evidence(fetches)
@@ -56,8 +56,8 @@ def detect_ats(companies: DataFrame, fetches: DataFrame, max_attempts: int = 2)
         F.when(tx.is_valid_careers_url("careers_url"), F.col("careers_url")).alias("careers_url"),
         F.coalesce("ats_detection_attempts", F.lit(0)).alias("attempts"))
     ok = ev.filter(F.col("status") == 200)
-    own = ok.select(F.col("url").alias("careers_url"), F.struct(*[x for x in ok.columns if x != "url"]).alias("own"))
-    c = c.join(own, "careers_url", "left")
+    own = ok.select(F.col("url").alias("__key"), F.struct(*[x for x in ok.columns if x != "url"]).alias("own"))
+    c = c.withColumn("__key", spread_nulls("careers_url", "company_id")).join(own, "__key", "left").drop("__key")
     # usual paths, only for companies whose careers page was not read
     options = F.concat(
         F.when(nz("domain").isNotNull(), F.array(*[F.concat(F.lit("https://"), "domain", F.lit(p)) for p in CAREERS_PATHS]))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify as cl, text as tx
-from ..functions.core import nz, ts
+from ..functions.core import nz, spread_nulls, ts
 from ..operators.joins import fill_missing
 from ..operators.sets import known_domains
 from ..operators.upserts import upsert
@@ -92,7 +92,8 @@ def process_queue(queue: DataFrame, companies: DataFrame, fetches: DataFrame | N
     first = (items.filter(F.col("domain").isNotNull()).groupBy("domain")
              .agg(F.min_by("id", F.struct("created_at", "id")).alias("__creator")))
     owner = first.join(known, "domain", "left").select("domain", "__creator", "company_id")
-    i = items.drop("company_id").join(owner, "domain", "left")
+    i = (items.drop("company_id").withColumn("__key", spread_nulls("domain", "id"))
+         .join(owner.withColumnRenamed("domain", "__key"), "__key", "left").drop("__key"))
     outcome = (F.when(F.col("company_id").isNotNull(), F.lit("updated"))
                .when(F.col("domain").isNotNull(), F.when(F.col("id") == F.col("__creator"), F.lit("created")).otherwise(F.lit("updated")))
                .when(nz("careers_url").isNotNull(), F.lit("created")).otherwise(F.lit("review")))
