@@ -51,6 +51,17 @@ def op5_concat_cut(spark, sf_dir):
     return pieces(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+_BITS = [f"{n:04b}" for n in range(16)], [f"{n:05b}" for n in range(32)]
+#: SHA-1 in base 32: hexadecimal digits to bits, five bits to a letter.
+ORACLES["op7_zip_warc"] = f"""
+    WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, array_to_string(list_transform(range(1, 41),
+        lambda i: ({_BITS[0]})[instr('0123456789abcdef', x[i])]), '') AS bits FROM d)
+    SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32),
+        lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_position({_BITS[1]}, substr(bits, 5 * i + 1, 5))::INT, 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS intact FROM f"""
+
+
 @query
 def op7_zip_warc(spark, sf_dir):
     from .archive import round_trip
