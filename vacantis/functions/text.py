@@ -12,6 +12,7 @@ from .core import (CI, col, contains_any, extract, first_extract, has_items, lit
 
 # Character references as HTML5 reads them; the names come from the standard table of the language.
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_USUAL = ["amp;", "nbsp;", "quot;", "lt;", "gt;", "copy;", "middot;", "rsquo;", "lsquo;", "ldquo;", "rdquo;", "ndash;", "mdash;", "bull;", "hellip;", "apos;"]
 # Numbers 128 to 159 mean the characters of the Windows code page.
 _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
@@ -40,10 +41,15 @@ def _number(text: Column, base: int) -> Column:
 def _named(name: Column) -> Column:
     """A named reference: the whole name, else its longest known beginning and the rest as it is."""
     known = _names()
+    usual = F.when(name == _USUAL[0], html5[_USUAL[0]])
+    for n in _USUAL[1:]:
+        usual = usual.when(name == n, html5[n])
     lengths = F.filter(F.sequence(F.length(name), F.lit(1), F.lit(-1)), lambda n: F.map_contains_key(known, F.left(name, n)))
     best = F.try_element_at(lengths, F.lit(1))
-    return F.when(best.isNull(), F.concat(F.lit("&"), name)).otherwise(
-        F.concat(F.try_element_at(known, F.left(name, best)), F.substring(name, best + 1, F.length(name))))
+    beginning = once(best, lambda n: F.when(n.isNull(), F.concat(F.lit("&"), name)).otherwise(
+        F.concat(F.try_element_at(known, F.left(name, n)), F.substring(name, n + 1, F.length(name)))))
+    # the usual names are asked one by one, others in the table, and only what is in neither by its beginnings
+    return F.coalesce(usual, F.try_element_at(known, name), beginning)
 
 
 def unescape_entities(c: Column | str) -> Column:
