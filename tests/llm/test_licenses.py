@@ -55,3 +55,20 @@ def test_odd_tables(spark, docs_of):
     assert notices(docs_of([])).collect() == []
     got = notices(docs_of([(None, "All rights reserved"), (None, "All rights reserved"), (1, "w " * 300_000)])).collect()
     assert [(x.doc_id, x.license) for x in got] == [(None, "proprietary")] * 2
+
+
+def test_each_line_yields_its_own_licence_only(spark, docs_of):
+    lines = {
+        "Licensed under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 4.0": None, "Licensed under the Zlib License.": None,
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "Released under the licensed under the MIT License.": "MIT",
+    }
+    got = notices(docs_of(list(enumerate(f"foo bar. {x} baz" for x in lines)))).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, name) for i, name in enumerate(lines.values()) if name]

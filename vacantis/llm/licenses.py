@@ -9,7 +9,10 @@ increasing run of anchors, and treats the gaps between them alike; a gap
 without anchors falls back to the longest common subsequence.  Coverage is the
 share of the template's words that are aligned.  A stretch that reaches
 ``COVERAGE`` is reported with its place, and the search goes on behind it, so a
-text may hold many notices; every stretch that can reach it is tried.
+text may hold many notices; every stretch that can reach it is tried.  In
+``notices`` the words that tell licences apart (name, version, conditions) must
+be aligned, words that tell of another licence must not stand in the stretch,
+and where stretches overlap the best template stays.
 
 Defined results: null and empty texts hold no notice; null ids and repeated rows
 are scanned like others; long texts are scanned whole; an empty table gives an
@@ -63,8 +66,23 @@ TEMPLATES = (
     ("CC-BY-4.0", "attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "noncommercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
+    ("GPL-2.0", "copyleft", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL-3.0", "copyleft", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "copyleft", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "copyleft", "Licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-4.0", "attribution", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "sharealike", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "sharealike", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "noncommercial",
+     "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
     ("proprietary", "proprietary", "All rights reserved."),
 )
+#: Words that tell licences apart (every Creative Commons 4.0 licence asks for attribution): those a template has must be aligned, others must not stand in its stretch.
+MARKS = frozenset(("mit apache gnu general lesser affero mozilla mpl creative commons noncommercial sharealike noderivatives noderivs "
+                   "cc by nc sa nd 1 2 3 4 5").split())
+#: Of a template longer than this, only these: its own body tells it apart from others.
+LONG, LONG_MARKS = 20, frozenset("apache gnu lesser affero mozilla".split())
 # End of fixed values.
 
 _BREAK = bytes(32 if c < 127 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
@@ -129,7 +147,9 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE, room: float = ROOM):
+    def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE, room: float = ROOM, marks: frozenset = frozenset()):
+        self.marks = frozenset(m.encode() for m in marks)
+        self.long_marks = self.marks & {m.encode() for m in LONG_MARKS}
         self.templates = [(name, kind, words_of(text.encode())) for name, kind, text in templates]
         self.counts = [Counter(w) for _, _, w in self.templates]
         self.needed = [int(np.ceil(coverage * len(w) - 1e-9)) for _, _, w in self.templates]
@@ -146,6 +166,27 @@ class Scanner:
                 out += [(t, *hit) for hit in self._places(words, self.templates[t][2], own, needed)]
         return out
 
+    def _own(self, template, stretch, pairs) -> bool:
+        """Whether the words that tell the licence are aligned and no others stand between; a version stands behind its word."""
+        marks = self.marks if len(template) <= LONG else self.long_marks
+        if not marks:
+            return True
+        aligned, places = {i for i, _ in pairs}, {j for _, j in pairs}
+        versions = {i for i, w in enumerate(template) if i and self.marks and template[i - 1] in (b"version", b"v") and w.isdigit()}
+        if any((w in marks or i in versions) and i not in aligned for i, w in enumerate(template)):
+            return False
+        return not any(w in marks and j not in places for j, w in enumerate(stretch[:pairs[-1][1] + 1]))
+
+    def best(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """Notices of which no two overlap: where some do, the one with most aligned words, then the highest coverage, stays."""
+        out, taken = [], []
+        for hit in sorted(self(text), key=lambda h: (-h[3], len(self.templates[h[0]][2]), h[0], h[1])):
+            k = bisect_left(taken, (hit[1], 0))
+            if (k == len(taken) or taken[k][0] >= hit[1] + hit[2]) and (not k or taken[k - 1][1] <= hit[1]):
+                taken.insert(k, (hit[1], hit[1] + hit[2]))
+                out.append(hit)
+        return sorted(out)
+
     def _places(self, words, template, own, needed):
         size = max(len(template), int(self.room * len(template)))
         spots = np.array([i for i, w in enumerate(words) if w in own])
@@ -160,7 +201,7 @@ class Scanner:
             if sum((Counter(stretch) & own).values()) < needed:
                 continue
             pairs = patience(template, stretch)
-            if len(pairs) >= needed and pairs[0][1] == 0:  # else it begins at a later word, which is tried in turn
+            if len(pairs) >= needed and pairs[0][1] == 0 and self._own(template, stretch, pairs):  # else it begins at a later word, which is tried in turn
                 yield begin, pairs[-1][1] + 1, len(pairs)
                 at = begin + pairs[-1][1] + 1
 
@@ -172,10 +213,10 @@ def notices(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, ro
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        scan = Scanner(templates, coverage, room)
+        scan = Scanner(templates, coverage, room, MARKS)
         sizes = [len(w) for _, _, w in scan.templates]
         for batch in batches:
-            found = [(k, *hit) for k, t in enumerate(utf8(batch.column(1))) for hit in scan(t)]
+            found = [(k, *hit) for k, t in enumerate(utf8(batch.column(1))) for hit in scan.best(t)]
             if found:
                 row, which, start, n, aligned = zip(*found)
                 yield pa.RecordBatch.from_pydict({
