@@ -105,3 +105,33 @@ def op4_patience(spark, sf_dir):
     from .licenses import notices
 
     return notices(table(spark, sf_dir, "documents"))
+
+
+#: (source turn, lines of its schedule: begin, weight there, slope, integral before, integral after)
+_LINES = {0: [(0.0, 6.0, -2.0, 0.0, 5.0)], 1: [(0.0, 2.0, 0.0, 0.0, 2.0)], 2: [(0.0, 0.5, 0.0, 0.0, 0.25), (0.5, 0.5, 4.0, 0.25, 1.0)]}
+_DUE = "CASE " + " ".join(
+    f"WHEN turn = {turn} AND y * {lines[-1][4]} < {high} THEN CASE WHEN y * {lines[-1][4]} - {low} <= 0 THEN {s} ELSE {s} + "
+    f"2 * (y * {lines[-1][4]} - {low}) / ({v} + sqrt(greatest({v * v} + {2 * slope} * (y * {lines[-1][4]} - {low}), 0.0))) END"
+    for turn, lines in _LINES.items() for s, v, slope, low, high in lines) + " END"
+ORACLES["op13_curriculum"] = f"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+        coalesce(md5(doc_id::VARCHAR), '') AS digest FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM s),
+    w AS (SELECT *, [5, 2, 1][turn + 1] AS weight, sum(source_size) OVER () AS words, sum([5, 2, 1][turn + 1]) OVER () AS weights FROM r),
+    b AS (SELECT *, words - 3 * (sum(source_size) OVER n - source_size) AS rest, weights - (sum(weight) OVER n - weight) AS remains FROM w
+        WINDOW n AS (ORDER BY source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT source, source_size, turn, least(weight * (SELECT max_by(rest, rest / remains) FROM b)::DOUBLE
+        / (SELECT max_by(remains, rest / remains) FROM b)::DOUBLE, (3 * source_size)::DOUBLE) AS target FROM w),
+    c AS (SELECT d.*, t.source_size, t.turn, t.target, round(t.target)::BIGINT AS demand, (sum(size) OVER (PARTITION BY d.source
+        ORDER BY digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS earlier FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    u AS (SELECT *, greatest(0, least(size, demand - earlier)) + greatest(0, least(size, demand - earlier - source_size))
+        + greatest(0, least(size, demand - earlier - 2 * source_size)) AS taken, earlier / demand AS y FROM c)
+    SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, CASE WHEN taken > 0 THEN {_DUE} END AS position FROM u"""
+
+
+@query
+def op13_curriculum(spark, sf_dir):
+    from .curriculum import assigned, in_order
+
+    return in_order(assigned(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position")
