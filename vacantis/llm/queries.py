@@ -135,3 +135,24 @@ def op13_curriculum(spark, sf_dir):
     from .curriculum import assigned, in_order
 
     return in_order(assigned(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+ORACLES["op12_hard_negatives"] = """
+    WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL
+        AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.r, a.id AS anchor_id, a.label = b.label AS same, b.id, b.r AS o, list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM e a JOIN e b ON a.r <> b.r WHERE a.id % 50 = 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id, o) AS k FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.id, s.o) AS rank,
+        s.id AS negative_id, p.score AS positive_score, s.score AS negative_score FROM p JOIN s ON p.r = s.r AND NOT s.same
+        AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.k <= 5)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    from .hardneg import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
