@@ -156,3 +156,29 @@ def op12_hard_negatives(spark, sf_dir):
 
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("id") % 50 == 0)
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLES["op11_collocations"] = f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+    g AS (SELECT lang, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM w),
+    f AS (SELECT lang, phrase, count(*)::HUGEINT AS f, string_split(phrase, ' ') AS w, sum(CASE WHEN NOT contains(phrase, ' ') THEN count(*) END) OVER (PARTITION BY lang) AS n
+        FROM g GROUP BY lang, phrase),
+    c AS (SELECT * FROM f WHERE len(w) > 1 AND f >= 10),
+    cut AS (SELECT *, unnest(range(1, len(w))) AS k FROM c),
+    s AS (SELECT cut.*, x.f AS l, y.f AS r, 1000000 * cut.f * cut.f // (x.f * y.f) AS score FROM cut
+        JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[:k], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[k + 1:], ' ')),
+    m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN (SELECT lang, f, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS part FROM c WHERE len(w) = 3) t
+        ON s.lang = t.lang AND s.phrase = t.part AND 100 * t.f >= 50 * s.f),
+    o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, f DESC, m.phrase) AS rank FROM m ANTI JOIN inside USING (lang, phrase))
+    SELECT lang, rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000"""
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
