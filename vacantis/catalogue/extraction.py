@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, AS_OF_EVENTS, bind, cte, load, pick
 from ..functions.core import iso
-from ..operators import aggregates as ag, dom, extract as ex
+from ..operators import aggregates as ag, dom, extract as ex, selectors as sl
 from ..plans import crawl as cr, embed as em
 from ..plans.normalize import embedding_text
 from ..rules import boards, misc, providers as pr
@@ -302,12 +302,46 @@ def _blocked(spark, sf):
     FROM (SELECT page_id, {_ADDED.get(t, 0)} + len(regexp_extract_all({_BODY}, '<{t}[ >]')) AS n FROM pages) WHERE n > 0"""
     for t in ("div", "article", "section", "li", "h1", "h2", "h3", "h4", "a")))
 def dom_elements(spark, sf):
-    return dom.explode_dom(_blocked(spark, sf)).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count("text").alias("with_text"))
+    return dom.layout_elements(_blocked(spark, sf)).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count("text").alias("with_text"))
+
+
+# a list of jobs in front of whole pages, with one that is old, a row that is no job, and advertisements inside
+_LISTED = """concat('<section class="jobs n', page_id % 3, '"><ul class="list"><li class="job" data-id="', page_id, '"><a href="/j/', page_id, '"><b>Role</b> one</a><i class="ad">buy <b>now</b></i><span class="place">Rome ',
+    page_id % 7, '</span></li><li class="job old" data-id="x"><a href="/j/old">Old</a></li><li>none</li><li data-id="y" class="new job"><a href="https://else">Out</a><h3>Role two</h3></li></ul></section>', html)"""
+_SELECTORS = [("card", "section.jobs > ul li.job[data-id]:not(.old)"), ("title", "li.job > a[href^='/j/'], .job h3"), ("place", ".job .place"),
+              ("menu", "nav ul > li > a[href]"), ("second", "nav li:nth-child(2) > a"), ("heading", "article > h1:first-child"), ("noise", ".ad", None, True)]
+_UNESCAPED = "trim(regexp_replace(replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '\\s+', ' ', 'g'))"
+
+
+def _listed(spark, sf):
+    return load(spark, sf, "pages").select("page_id", F.expr(_LISTED).alias("html"))
+
+
+@query("select_elements", f"""
+    WITH p AS (SELECT page_id, list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href="[^"]*">([^<]*)</a></li>', 1), lambda x: {_UNESCAPED}) AS menu,
+        list_transform(regexp_extract_all(html, '<article><h1>([^<]*)</h1>', 1), lambda x: {_UNESCAPED}) AS heading FROM pages),
+    r AS (SELECT page_id, 'menu' AS name, unnest(range(len(menu))) AS rank, 'a' AS tag, unnest(menu) AS text FROM p UNION ALL SELECT page_id, 'second', 0, 'a', menu[2] FROM p WHERE len(menu) > 1
+      UNION ALL SELECT page_id, 'heading', unnest(range(len(heading))), 'h1', unnest(heading) FROM p
+      UNION ALL SELECT page_id, 'card', 0, 'li', 'Role one Rome ' || (page_id % 7) FROM p UNION ALL SELECT page_id, 'card', 1, 'li', 'Out Role two' FROM p
+      UNION ALL SELECT page_id, 'title', 0, 'a', 'Role one' FROM p UNION ALL SELECT page_id, 'title', 1, 'a', 'Old' FROM p UNION ALL SELECT page_id, 'title', 2, 'h3', 'Role two' FROM p
+      UNION ALL SELECT page_id, 'place', 0, 'span', 'Rome ' || (page_id % 7) FROM p)
+    SELECT page_id, name, rank::INTEGER AS rank, tag, text FROM r""")
+def select_elements(spark, sf):
+    table = sl.compile_selectors(spark, _SELECTORS)
+    return sl.explode_dom(_listed(spark, sf), table).select("page_id", "name", "rank", "tag", "text")
+
+
+@query("select_cards", """
+    SELECT page_id, 0 AS rank, 'Role one' AS title, 'Rome ' || (page_id % 7) AS place, '/j/' || page_id AS href FROM pages
+    UNION ALL SELECT page_id, 1, 'Role two', NULL, NULL FROM pages""")
+def select_cards(spark, sf):
+    table = sl.compile_selectors(spark, _SELECTORS)
+    return sl.explode_cards(_listed(spark, sf), table, "card", "title", "place").select("page_id", "rank", "title", "place", F.col("title_href").alias("href"))
 
 
 @query("repeated_blocks", "SELECT page_id, 'row|h4,a' AS signature, 3::BIGINT AS n FROM pages")
 def repeated_blocks(spark, sf):
-    e = dom.explode_dom(_blocked(spark, sf)).filter(F.col("signature").isNotNull())
+    e = dom.layout_elements(_blocked(spark, sf)).filter(F.col("signature").isNotNull())
     return ag.repeated_blocks(e).groupBy("page_id", "signature").agg(F.count("*").alias("n"))
 
 

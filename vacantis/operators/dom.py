@@ -180,8 +180,8 @@ def with_elements(pages: DataFrame, layout: Column | str = "generic") -> DataFra
     return pages.withColumn("elements", elements_udf("html", layout))
 
 
-def explode_dom(pages: DataFrame, layout: Column | str = "generic") -> DataFrame:
-    """One row per interesting element."""
+def layout_elements(pages: DataFrame, layout: Column | str = "generic") -> DataFrame:
+    """One row per interesting element of a fixed layout; ``selectors.explode_dom`` takes a selector table."""
     return with_elements(pages, layout).select("page_id", F.explode("elements").alias("e")).select("page_id", "e.*")
 
 
