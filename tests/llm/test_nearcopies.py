@@ -50,6 +50,13 @@ def test_groups_equal_brute_force_and_three_bits_miss_them(spark, docs_of):
     assert len(drop_near_duplicates(docs).collect()) > len(want)
 
 
+def test_columns_of_any_name(spark, docs_of):
+    docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "else")])
+    for name in ("row", "__row", "ROW_", "a.b", "shingle"):
+        got = drop_near_copies(docs.withColumnRenamed("lang", name))
+        assert got.columns[2] == name and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
 def test_one_row_per_group(spark, docs_of):
     text, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     rows = [(5, text), (5, text), (3, text + " end"), (3, other), (None, text), (None, other + " end"), (None, "c d"), (None, "c d")]

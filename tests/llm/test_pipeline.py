@@ -12,7 +12,8 @@ from vacantis.llm.packing import vocabulary_path
 
 from .test_decontam import brute
 from .test_linecrf import good_text, junk_text
-from .test_simhash import groups, plain
+from .test_nearcopies import alike, cut
+from .test_simhash import groups
 
 SECRET = "AKIA" + "Q7" * 8
 
@@ -39,7 +40,7 @@ def test_pipeline_equals_plain_stages(spark, folder):
     chain = linecrf.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
     kept = [i for i, t in enumerate(texts) if linecrf._judge([(t or "").encode()], chain, 0.5)["kept"][0]]
     assert set(range(60)) <= set(kept) and not set(kept) & set(range(60, 120))
-    root = groups([plain(texts[i]) for i in kept], lambda a, b: bin(a ^ b).count("1") <= 3)
+    root = groups([cut(texts[i]) for i in kept], alike)
     kept = [i for n, i in enumerate(kept) if root[n] == n]
     kept = [i for i in kept if brute(texts[i], item) is None]
     t = Tokenizer.from_file(vocabulary_path())
@@ -67,5 +68,5 @@ def test_registry_has_one_query_per_operator(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert secretforest.FEATURES and crc32

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, prepared, stored
+from .common import bit_table, bits_at, only, prepared, stored
 
 LEAST, TOP, SHARE = 10, 2000, 50
 WORD_BITS, FAN_BITS = 21, 7
@@ -199,11 +199,6 @@ def _pair_slot(a, b):
     return (a ^ turned) >> np.uint64(64 - PAIR_TABLE)
 
 
-def _set_bits(table: bytes, slots: np.ndarray) -> np.ndarray:
-    bits = np.frombuffer(table, np.uint8)
-    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _counted(texts: DataFrame, size: int, seed: int, frequent=None, pairs=None) -> DataFrame:
     """Sorted runs of the counts of phrases of ``size`` words: (lang, w, a, n) for words, (a, b[, c], n) for more."""
     names = "abc"[:size]
@@ -233,7 +228,7 @@ def _counted(texts: DataFrame, size: int, seed: int, frequent=None, pairs=None)
                     h = np.fromiter((hash_of(lang, w, seed) for w in words), np.uint64, len(words))
                     wanted = np.fromiter((w != "." for w in words), bool, len(words))
                     if frequent is not None:
-                        wanted &= _set_bits(frequent.value, h >> np.uint64(64 - WORD_TABLE))
+                        wanted &= bits_at(frequent.value, h >> np.uint64(64 - WORD_TABLE))
                     own = np.zeros(len(words), np.uint64)
                     for i in np.flatnonzero(wanted).tolist():
                         at = ids.get(key := int(h[i]) if size > 1 else (lang, words[i]))
@@ -272,21 +267,11 @@ def _phrases(row: np.ndarray, size: int, hashes: list[int], pairs) -> np.ndarray
     if pairs is not None and len(parts[0]):
         known = np.array(hashes, np.uint64)
         h = [known[p.astype(np.int64)] for p in parts]
-        ok = reduce(np.logical_and, [_set_bits(pairs.value, _pair_slot(a, b)) for a, b in zip(h, h[1:])])
+        ok = reduce(np.logical_and, [bits_at(pairs.value, _pair_slot(a, b)) for a, b in zip(h, h[1:])])
         parts = [p[ok] for p in parts]
     return sum((p << np.uint64(WORD_BITS * (2 - i)) for i, p in enumerate(parts)), np.zeros(len(parts[0]), np.uint64))
 
 
-def _bit_table(slots: DataFrame, bits: int) -> bytes:
-    """A table of 2**bits bits, set at the column ``slot``; the driver gets 4 kB for each part that has a bit."""
-    place = F.col("slot") + 1
-    parts = slots.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for part, own in parts.toLocalIterator():
-        table[(part - 1) * 4096:(part - 1) * 4096 + len(own)] = np.frombuffer(own, np.uint8)
-    return table.tobytes()
-
-
 def _slot(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits)
 
@@ -314,9 +299,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
         if words.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
             break
     frequent = words.where(F.col("n") >= least)
-    of_words = context.broadcast(_bit_table(frequent.select(_slot(F.col("a"), WORD_TABLE).alias("slot")), WORD_TABLE))
+    of_words = context.broadcast(bit_table(frequent.select(_slot(F.col("a"), WORD_TABLE).alias("slot")), WORD_TABLE))
     pairs = stored(_merged(_counted(texts, 2, seed, of_words), ["a", "b"], least), "pairs")
-    of_pairs = context.broadcast(_bit_table(pairs.select(_pair_column("a", "b").alias("slot")), PAIR_TABLE))
+    of_pairs = context.broadcast(bit_table(pairs.select(_pair_column("a", "b").alias("slot")), PAIR_TABLE))
     triples = stored(_merged(_counted(texts, 3, seed, of_words, of_pairs), ["a", "b", "c"], least), "triples")
     return words, pairs, triples
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,30 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a stored table, or of what was selected from it alone, that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bit_table(slots: DataFrame, bits: int) -> bytes:
+    """A table of 2**bits bits, set at the column ``slot``; the driver gets 4 kB for each part that has a bit."""
+    place = F.col("slot") + 1
+    parts = slots.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for part, own in parts.toLocalIterator():
+        table[(part - 1) * 4096:(part - 1) * 4096 + len(own)] = np.frombuffer(own, np.uint8)
+    return table.tobytes()
+
+
+def bits_at(table: bytes, slots: np.ndarray) -> np.ndarray:
+    """Whether the table's bits are set at these slots (unsigned numbers)."""
+    bits = np.frombuffer(table, np.uint8)
+    return (bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as bytes, null as empty."""
     if isinstance(column, pa.ChunkedArray):
