@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from vacantis.llm import nearcopies
 from vacantis.llm.nearcopies import drop_near_copies
 
 from .test_simhash import groups
@@ -50,6 +53,17 @@ def test_groups_equal_brute_force_and_three_bits_miss_them(spark, docs_of):
     assert len(drop_near_duplicates(docs).collect()) > len(want)
 
 
+def test_sketches_and_packed_sets_bound_and_count():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        both, a, b = (r.integers(0, 1 << 63, r.integers(0, 300), np.uint64) * np.uint64(2) for _ in range(3))
+        x, y = (np.unique(np.concatenate([both, own])).view(np.int64) for own in (a, b))
+        same = len(np.intersect1d(x, y))
+        assert nearcopies.shared(nearcopies.packed(x), nearcopies.packed(y)) == same
+        bound = nearcopies.shared_at_most(nearcopies.sketch(x), len(x), nearcopies.sketch(y), len(y))
+        assert same <= bound <= same + 0.8 * min(len(x), len(y)) + 30
+
+
 def test_columns_of_any_name(spark, docs_of):
     docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "else")])
     for name in ("row", "__row", "ROW_", "a.b", "shingle"):
