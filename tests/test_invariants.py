@@ -141,27 +141,33 @@ def test_stream_in_two_batches_equals_batch(spark, tmp_path):
 
 
 def test_late_snapshots_within_the_delay_give_the_batch_result(spark, tmp_path):
+    from vacantis.streaming import state
+
     rng = random.Random(8)
     rows = [(c, c * 1000 + i, rng.choice("ab"), f"2024-01-{1 + i // 6:02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00") for c in range(5) for i in range(60)]
     df = spark.createDataFrame(rows, "company_id long, id long, html_hash string, at string").withColumn("crawled_at", F.col("at").cast("timestamp")).drop("at")
     want = {r.id for r in wn.changed_snapshots(df)[0].select("id").collect()}
-    changes = sm.Changes(spark, str(tmp_path / "c"), "4 days")
+    odd = spark.createDataFrame([(None, 1, "x"), (7, None, "x"), (7, 9, None)], "company_id long, id long, html_hash string").withColumn(
+        "crawled_at", F.lit("2024-01-02").cast("timestamp")).unionByName(df.limit(1).withColumn("crawled_at", F.lit(None).cast("timestamp")))
     shuffled = sorted(rows, key=lambda r: (r[3][:10], rng.random()))
-    parts, n = [shuffled[k::1][i:i + 50] for k, i in ((0, i) for i in range(0, 300, 50))], 0
-    parts[1], parts[2] = parts[2][:25] + parts[1][:25], parts[1][25:] + parts[2][25:]  # some come a batch too early or late
-    for n, part in enumerate(parts):
-        ids = [r[1] for r in part]
-        for _ in range(1 + (n == 3)):  # a batch may be repeated
-            changes(df.filter(F.col("id").isin(ids)), n)
-    changes.flush()
-    got = [r.id for r in changes.kept().select("id").collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    assert len(list((tmp_path / "c" / "waiting").iterdir())) == len(list((tmp_path / "c" / "heads").iterdir())) == 2
-    late = sm.Changes(spark, str(tmp_path / "d"), "1 day")
-    late(df.filter("id = 59"), 0)
-    late(df.filter("id = 0"), 1)  # nine days late: dropped
-    late.flush()
-    assert [r.id for r in late.kept().collect()] == [59]
+    parts = [shuffled[i:i + 100] for i in range(0, 300, 100)]
+    parts[1], parts[2] = parts[2][:25] + parts[1][25:], parts[1][:25] + parts[2][25:]  # some come too early, some late
+    source = f"{tmp_path}/in"
+    odd.coalesce(1).write.parquet(source)
+    kept = state.changed_pages(spark.readStream.schema(state.SNAPSHOT).parquet(source), "9 days")
+
+    def drain():  # every run begins anew from the checkpoint
+        sm.start(kept, f"{tmp_path}/cp", path=f"{tmp_path}/out").awaitTermination()
+        return [(r.company_id, r.id) for r in spark.read.schema(state.SNAPSHOT).parquet(f"{tmp_path}/out").collect()]
+
+    for part in parts:
+        df.filter(F.col("id").isin([r[1] for r in part])).coalesce(1).write.mode("append").parquet(source)
+        so_far = drain()
+    assert 0 < len(so_far) < len(want)
+    df.limit(1).withColumn("id", F.lit(-1).cast("long")).withColumn("crawled_at", F.lit("2023-12-01").cast("timestamp")).write.mode("append").parquet(source)  # too late
+    state.end_marker(spark).write.mode("append").parquet(source)
+    got = drain()
+    assert len(got) == len(set(got)) and {i for c, i in got if c != 7} == want and (7, 9) in got and len(got) == len(want) + 1
 
 
 def pieces_of(text, size, overlap, look_back):

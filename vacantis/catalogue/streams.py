@@ -83,3 +83,26 @@ def stream_engagement(spark, sf):
         "l_suppkey AS candidate_id", "l_orderkey AS job_id", "CASE WHEN l_linenumber % 2 = 0 THEN 'shown' ELSE 'clicked' END AS kind", "CAST(l_shipdate AS TIMESTAMP) AS at")
     target = bind(spark, sf, "matches").withColumn("clicked_at", F.lit(None).cast("timestamp"))
     return sm.run_engagement(e, target).select("candidate_id", "job_id", iso("shown_at").alias("shown_at"), iso("clicked_at").alias("clicked_at"))
+
+
+@query("stream_crawl_sliding", cte("snapshots") + """, w AS (SELECT *, unnest(range(24)) AS h FROM b_snapshots)
+    SELECT strftime(date_trunc('hour', crawled_at) - to_hours(h), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS crawls, count(*) FILTER (WHERE status_code = 200) AS successes,
+      round(count(*) FILTER (WHERE status_code = 200) / count(*), 3) AS success_rate FROM w GROUP BY 1""")
+def stream_crawl_sliding(spark, sf):
+    e = _events(spark, sf).select(F.expr("CASE WHEN event_type = 'error' THEN 500 ELSE 200 END").alias("status_code"),
+                                  F.col("ts").cast("timestamp").alias("crawled_at"))
+    out = sm.run_to_table(sm.crawl_series(e, "24 hours", "1 hour"), "complete")
+    return out.select(iso("start").alias("start"), "crawls", "successes", "success_rate")
+
+
+# views show a match, clicks may follow within two days
+@query("stream_attribution", """
+    WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS job FROM events)
+    SELECT c.event_id AS click_id, strftime(max(v.ts), '%Y-%m-%d %H:%M:%S.%f') AS shown_at
+    FROM e c LEFT JOIN e v ON v.event_type = 'view' AND v.user_id = c.user_id AND v.job = c.job AND v.ts <= c.ts AND v.ts >= c.ts - INTERVAL 2 DAY
+    WHERE c.event_type = 'click' GROUP BY 1""")
+def stream_attribution(spark, sf):
+    e = _events(spark, sf).filter("event_type IN ('view', 'click')").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("candidate_id"), (F.get_json_object("props", "$.k").cast("bigint") % 5).alias("job_id"),
+        F.expr("CASE event_type WHEN 'view' THEN 'shown' ELSE 'clicked' END").alias("kind"), F.col("ts").cast("timestamp").alias("at"))
+    return sm.run_attribution(e, "2 days").select("click_id", F.date_format("shown_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("shown_at"))

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
 from ..operators.upserts import apply_match_folds, fold_match_events
-from ..operators.windows import changed_snapshots, latest_per
 from ..plans.discover import discover
 from ..plans.normalize import normalize_jobs
 from ..session import new_folder
+from . import state
 
 
 def start(df: DataFrame, checkpoint: str, mode: str = "append", available_now: bool = True,
@@ -55,75 +55,6 @@ def discover_batch(companies: Callable[[], DataFrame], queue: Callable[[], DataF
     return run
 
 
-CHANGE_BUCKETS = 64
-
-
-class Changes:
-    """R2: snapshots whose digest differs from the company's one before, as a stream.
-
-    A snapshot is final once the newest one seen is ``delay`` later; until then
-    it waits, so snapshots that arrive out of order within the delay give the
-    batch result.  One that arrives when its time is final already is dropped;
-    :meth:`flush` ends a bounded run and makes all that waits final.
-
-    Kept under ``path``: the kept snapshots per batch, those that wait, and the
-    last digest per company in ``CHANGE_BUCKETS`` buckets.  A batch reads and
-    rewrites only the buckets of its final companies.  Waiting rows, heads and
-    each bucket have two slots that are written in turn, so a batch that is
-    repeated reads what its first run read, and old versions are written over.
-    Inside a batch the comparison is the batch operator, which spreads one busy
-    company over many tasks.
-    """
-
-    SCHEMA = "company_id long, id long, html_hash string, crawled_at timestamp"
-    HEADS = "bucket int, slot int, cutoff timestamp"
-
-    def __init__(self, spark: SparkSession, path: str, delay: str = "7 days"):
-        self.spark, self.path, self.delay, self.newest = spark, path, delay, -1
-
-    def __call__(self, batch: DataFrame, batch_id: int, flush: bool = False) -> None:
-        spark, path, slot = self.spark, self.path, batch_id % 2
-        self.newest = max(self.newest, batch_id)
-        pool = batch.select("company_id", "id", "html_hash", "crawled_at")
-        heads = []
-        if batch_id > 0:
-            heads = spark.read.schema(self.HEADS).parquet(f"{path}/heads/{1 - slot}").collect()  # a row per bucket and one for the cutoff
-            pool = pool.unionByName(spark.read.schema(self.SCHEMA).parquet(f"{path}/waiting/{1 - slot}"))
-        before = next((h.cutoff for h in heads if h.bucket is None), None)
-        if before is not None:
-            pool = pool.filter(F.col("crawled_at") > F.lit(before))
-        pool = pool.withColumn("bucket", F.pmod(F.xxhash64("company_id"), F.lit(CHANGE_BUCKETS)).cast("int"))
-        cutoff = pool.agg(F.max("crawled_at") if flush else F.max("crawled_at") - F.expr(f"INTERVAL {self.delay}")).first()[0]
-        if cutoff is None or before is not None and cutoff < before:
-            cutoff = before
-        ready = F.lit(False) if cutoff is None else F.col("crawled_at") <= F.lit(cutoff)
-        final, waiting = pool.filter(ready), pool.filter(~ready)
-        slots = {h.bucket: h.slot for h in heads if h.bucket is not None}
-        touched = [r.bucket for r in final.select("bucket").distinct().collect()]  # at most CHANGE_BUCKETS
-        both = final.withColumn("__new", F.lit(True))
-        old = [(b, slots[b]) for b in touched if b in slots]
-        if old:
-            last = spark.read.schema(f"{self.SCHEMA}, slot int, bucket int").parquet(f"{path}/last")
-            here = F.struct("bucket", "slot").isin([F.struct(F.lit(b), F.lit(x)) for b, x in old])
-            both = both.unionByName(last.filter(F.col("bucket").isin([b for b, _ in old]) & here).drop("slot").withColumn("__new", F.lit(False)))
-        kept, _ = changed_snapshots(both)
-        kept.filter("__new").drop("__new", "bucket").write.mode("overwrite").parquet(f"{path}/out/part={batch_id}")
-        new = {b: 1 - slots.get(b, 1) for b in touched}
-        if new:
-            where = F.create_map(*[F.lit(x) for item in new.items() for x in item])
-            (latest_per(both.drop("__new"), ["company_id"], "crawled_at", "id").withColumn("slot", F.element_at(where, F.col("bucket")))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{path}/last"))
-        waiting.drop("bucket").write.mode("overwrite").parquet(f"{path}/waiting/{slot}")
-        rows = [(None, None, cutoff), *((b, x, None) for b, x in (slots | new).items())]
-        spark.createDataFrame(rows, self.HEADS).coalesce(1).write.mode("overwrite").parquet(f"{path}/heads/{slot}")
-
-    def flush(self) -> None:
-        self(self.spark.createDataFrame([], self.SCHEMA), self.newest + 1, flush=True)
-
-    def kept(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/out").drop("part")
-
-
 def normalize_stream(jobs_raw: DataFrame, as_of) -> DataFrame:
     """Normalisation is stateless, so the batch plan is the stream plan."""
     return normalize_jobs(jobs_raw, as_of)
@@ -180,15 +111,18 @@ def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def run_changes(snapshots: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drain :class:`Changes` over a snapshot stream and read the kept rows back."""
+    """Drain :func:`state.changed_pages` over a snapshot stream, end it and read the kept rows back."""
     spark = snapshots.sparkSession
     path = new_folder(spark, "changes")
-    changes = Changes(spark, path, delay)
     slim = snapshots.select(F.col("company_id").cast("long").alias("company_id"), F.col("id").cast("long").alias("id"),
                             tx.content_hash("html").alias("html_hash"), "crawled_at")
-    start(slim, f"{path}/checkpoint", batch=changes).awaitTermination()
-    changes.flush()
-    return changes.kept()
+    state.end_marker(spark).limit(0).write.parquet(f"{path}/end")
+    both = slim.unionByName(spark.readStream.schema(state.SNAPSHOT).parquet(f"{path}/end"))
+    kept = state.changed_pages(both, delay)
+    start(kept, f"{path}/checkpoint", path=f"{path}/out").awaitTermination()
+    state.end_marker(spark).write.mode("append").parquet(f"{path}/end")
+    start(kept, f"{path}/checkpoint", path=f"{path}/out").awaitTermination()
+    return spark.read.schema(state.SNAPSHOT).parquet(f"{path}/out")
 
 
 def run_engagement(events: DataFrame, matches: DataFrame) -> DataFrame:
@@ -202,6 +136,24 @@ def run_engagement(events: DataFrame, matches: DataFrame) -> DataFrame:
     return engaged(matches, spark.read.schema(schema).parquet(f"{path}/folds"))
 
 
+def run_attribution(events: DataFrame, within: str = "7 days", delay: str = "1 day") -> DataFrame:
+    """Drain :func:`state.attributed_clicks` over an event stream (id, candidate_id, job_id, kind, at), end it and read the clicks back."""
+    spark = events.sparkSession
+    path = new_folder(spark, "attribution")
+    schema = f"id long, candidate_id {events.schema['candidate_id'].dataType.simpleString()}, job_id {events.schema['job_id'].dataType.simpleString()}, kind string, at timestamp"
+    # the marks have keys, since rows without are left out before the watermarks; nothing else is so late that it could meet them
+    ends = spark.createDataFrame([(-1, "0", "0", "shown"), (-2, "0", "0", "clicked")], "id long, candidate_id string, job_id string, kind string")
+    ends = ends.withColumn("at", F.lit(state.END).cast("timestamp")).select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(schema)])
+    ends.limit(0).write.parquet(f"{path}/end")
+    both = events.select(*[F.col(c).cast(ends.schema[c].dataType).alias(c) for c in ends.columns]).unionByName(spark.readStream.schema(ends.schema).parquet(f"{path}/end"))
+    of = lambda kind, name: both.filter(F.col("kind") == kind).withColumnRenamed("at", name)
+    out = state.attributed_clicks(of("shown", "shown_at"), of("clicked", "clicked_at").withColumnRenamed("id", "click_id"), within, delay)
+    for _ in range(2):
+        start(out, f"{path}/checkpoint", path=f"{path}/out").awaitTermination()
+        ends.write.mode("append").parquet(f"{path}/end")  # the first run takes what is there, the second ends it
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
 def run_discovery(found: DataFrame, companies: DataFrame, queue: DataFrame, as_of) -> DataFrame:
     """Drain :func:`discover_batch` over found companies and read the outcomes back: (row_id, domain, outcome)."""
     spark = found.sparkSession
