@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..bindings import AS_OF, AS_OF_EVENTS, bind, cte, load
 from ..functions.core import iso
-from ..operators import filters as fl, joins as jn, sets as st, upserts as up
-from . import query
+from ..operators import filters as fl, joins as jn, keyed as kt, sets as st, upserts as up
+from ..session import new_folder
+from . import ORACLES, query
 
 _TS = "'%Y-%m-%d %H:%M:%S'"
 
@@ -41,6 +42,16 @@ def upsert_jobs(spark, sf):
                       iso("updated_at").alias("updated_at"))
 
 
+@query("keyed_upsert_jobs", f"SELECT *, 1 AS version FROM ({ORACLES['upsert_jobs']})")
+def keyed_upsert_jobs(spark, sf):
+    # written in buckets, changed, and changed once more by the same rows, which makes no new version
+    table = kt.KeyedTable.create(bind(spark, sf, "jobs"), new_folder(spark, "keyed"), ["company_id", "source_url"], rows_per_bucket=2000)
+    for _ in range(2):
+        table = table.apply(lambda rows, u: up.upsert_jobs(rows, u, AS_OF, order=["version"]), _changes(spark, sf))
+    return table.read().select("company_id", "source_url", "title", "max_salary", "role_family", "delist_reason",
+                               iso("updated_at").alias("updated_at"), F.lit(table.version).alias("version"))
+
+
 @query("upsert_jobs_raw", cte("jobs_raw") + f", u AS ({_LAST})" + """
     SELECT coalesce(j.company_id, u.company_id) AS company_id, coalesce(j.source_url, u.source_url) AS source_url,
            CASE WHEN u.title IS NOT NULL THEN u.title ELSE j.title_raw END AS title_raw, j.id,
