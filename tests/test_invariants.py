@@ -62,6 +62,23 @@ def score_all(cands, jobs):
     return out
 
 
+@pytest.mark.parametrize("k", [3, 40])
+def test_refreshed_lists_equal_matching_anew(spark, k):
+    c, j, _, jobs = people_and_jobs(spark, 300)
+    rng = random.Random(k)
+    for share in (0.02, 0.3):
+        ids = [r[0] for r in jobs]
+        changed = set(rng.sample(ids, int(len(ids) * share)))
+        gone = {i for i in changed if i % 3 == 0}
+        after = j.filter(~F.col("id").isin(list(gone))).withColumn("freshness_score", F.when(F.col("id").isin(list(changed)), F.lit(rng.random())).otherwise(F.col("freshness_score")))
+        people = c.filter("id <> 4").withColumn("skills", F.when(F.col("id") % 11 == 5, F.array(F.lit("java"))).otherwise(F.col("skills")))
+        cd, jd = mt.changed_ids(c, people), mt.changed_ids(j, after)
+        assert {r.id for r in jd.collect()} <= changed and {r.id for r in cd.collect()} <= {4, 5, 16}
+        show = lambda df: sorted((r.candidate_id, r["rank"], r.job_id, round(r.score, 9)) for r in df.collect())
+        got = show(mt.refresh_pairs(mt.best_pairs(c, j, k=k), people, after, cd, jd, k=k))
+        assert got == show(mt.best_pairs(people, after, k=k))
+
+
 @pytest.mark.parametrize("k", [3, 40, 1000])
 def test_best_pairs_equal_scoring_everything(spark, k):
     c, j, cands, jobs = people_and_jobs(spark)
