@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import (aggregates, classifiers, discovery, extraction, feed, fuzzy, matching, sources,  # noqa: F401
+    from . import (aggregates, classifiers, discovery, extraction, feed, fuzzy, matching, sources, sqlfunctions,  # noqa: F401
                    scalars, streams, upserts, vectors, windows)
