@@ -260,6 +260,16 @@ def returning_companies_daily(spark, sf):
         "date", F.col("date").cast("string"))
 
 
+@query("distinct_companies_monthly", cte("jobs") + """
+    SELECT strftime(date_trunc('month', created_at), '%Y-%m-%d') AS period, count(DISTINCT company_id) AS value FROM b_jobs GROUP BY 1""")
+def distinct_companies_monthly(spark, sf):
+    # days are stored in two goes, as an evening's jobs would come in, and months are read from the days
+    jobs = bind(spark, sf, "jobs")
+    morning, evening = (ag.daily_bitmaps(jobs.filter(w), "created_at", "company_id") for w in ("id % 2 = 0", "id % 2 = 1"))
+    days = ag.merged_bitmaps(morning, evening)
+    return ag.distinct_ids(days, F.date_format(F.date_trunc("month", "date"), "yyyy-MM-dd"))
+
+
 @query("freshness_histogram", cte("jobs") + f"""
     SELECT t.name, count(j.id) AS value FROM
     (SELECT unnest(['Today', 'Yesterday', '2-7 days', '8-14 days', '15-30 days', '31-60 days', '60+ days', 'No date']) AS name) t

@@ -279,11 +279,18 @@ def chunk_text(spark, sf):
 
 
 @query("embed_jobs", cte("jobs") + """
-    SELECT id, 1::BIGINT AS chunks, 64::BIGINT AS dim FROM b_jobs WHERE is_active AND coalesce(description, '') <> ''""")
+    SELECT id, 1::BIGINT AS chunks, 64::BIGINT AS dim, TRUE AS is_right FROM b_jobs WHERE is_active AND coalesce(description, '') <> ''""")
 def embed_jobs(spark, sf):
     jobs = bind(spark, sf, "jobs").withColumn("embedding", F.lit(None).cast("array<float>"))
     out, _ = em.embed_jobs(jobs, dim=64)
-    return out.select("id", F.col("chunks").cast("bigint").alias("chunks"), F.size("embedding").cast("bigint").alias("dim"))
+    # the vector again from its definition, word by word and without Python
+    h = F.crc32(F.col("word").cast("binary"))
+    words = embedding_text(jobs).select("id", F.explode(F.filter(F.split(F.lower("embedding_text"), r"\s+"), lambda w: w != "")).alias("word"))
+    parts = words.groupBy("id", (h % 64).alias("at")).agg(F.sum(F.when(h >= 2147483648, 1.0).otherwise(-1.0)).alias("x"))
+    want = parts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("parts"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    near = F.forall(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.abs(
+        F.get("embedding", i.cast("int")) - F.coalesce(F.try_element_at("parts", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)) < 1e-5)
+    return out.join(want, "id", "left").select("id", F.col("chunks").cast("bigint").alias("chunks"), F.size("embedding").cast("bigint").alias("dim"), near.alias("is_right"))
 
 
 # three equal blocks in front of whole pages

@@ -34,6 +34,17 @@ def job_page(spark, sf):
     return od.page(jobs, 2, 20, *od.job_order()).select("id", "title", iso("posted_at").alias("posted_at"))
 
 
+@query("job_page_after", cte("jobs") + f"""
+    SELECT id, title, {_iso('posted_at')} AS posted_at FROM b_jobs WHERE is_active AND role_family = 'data'
+    ORDER BY b_jobs.posted_at DESC NULLS LAST, created_at DESC, id LIMIT 20 OFFSET 60""")
+def job_page_after(spark, sf):
+    # three pages are turned by their cursors
+    jobs, cursor = fl.where_opt(fl.active(bind(spark, sf, "jobs")), role_family="data"), None
+    for _ in range(3):
+        cursor = od.cursor_of(od.page_after(jobs, 20, cursor)) or cursor
+    return od.page_after(jobs, 20, cursor).select("id", "title", iso("posted_at").alias("posted_at"))
+
+
 @query("job_page_totals", cte("jobs") + """
     SELECT count(*) FILTER (WHERE is_active) AS total_active,
            count(*) FILTER (WHERE is_active AND role_family = 'data') AS total_filtered,

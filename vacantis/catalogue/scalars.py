@@ -61,6 +61,21 @@ def parse_date(spark, sf):
         dt.feed_recent(text, AS_OF_EVENTS, 30).alias("recent"))
 
 
+# the same instant in further notations: (text, what of the instant it keeps)
+_FORMS = [("yyyy-MM-dd'T'HH:mm'Z'", "minute"), ("yyyy-MM-dd'T'HH:mm:ss'+0000'", "second"), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0Z'", "microsecond"), ("yyyy-MM-dd HH:mm:ss.SSS", "millisecond"),
+          ("yyyy-MM-dd HH:mm:ss'+00:00'", "second"), ("d'th' MMMM yyyy", "day"), ("MMMM d'th', yyyy", "day"), ("MMM yyyy", "month"), ("MMM'.' d, yyyy", "day"),
+          ("E MMM d HH:mm:ss yyyy", "second"), ("yyyyMMdd", "day"), ("d MMM yy", "day"), ("yyyy/MM/dd HH:mm", "minute"), ("MM/dd/yyyy hh:mm a", "minute"), ("MMMM yyyy", "month"),
+          ("yyyy-MM-dd'T'HH:mm:ss'+02:00'", "second")]
+
+
+@query("parse_date_forms", "SELECT event_id AS id, strftime(CASE event_id % 16 " + " ".join(
+    f"WHEN {i} THEN date_trunc('{part}', ts)" + (" - INTERVAL 2 HOUR" if "02:00" in form else "") for i, (form, part) in enumerate(_FORMS)) + " END, '%Y-%m-%d %H:%M:%S.%f') AS parsed FROM events")
+def parse_date_forms(spark, sf):
+    at, n = F.col("ts").cast("timestamp"), F.col("event_id") % 16
+    text = F.coalesce(*[F.when(n == i, F.date_format(at, form)) for i, (form, _) in enumerate(_FORMS)])
+    return load(spark, sf, "events").select(F.col("event_id").alias("id"), F.date_format(dt.parse_date(text), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("parsed"))
+
+
 @query("parse_salary", f"""
     SELECT id, CASE WHEN s LIKE '$%' THEN least(a, b) * 1000 WHEN s LIKE '€%' THEN a END AS min_salary,
            CASE WHEN s LIKE '$%' THEN greatest(a, b) * 1000 WHEN s LIKE '€%' THEN a END AS max_salary,

@@ -28,25 +28,27 @@ def typed_table(spark, sf):
 
 
 @query("payload_files", """
-    SELECT CASE n_nationkey % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END AS ats_type, 'n' || n_nationkey AS company_id, 'Engineer ' || n_name AS title FROM nation""")
+    SELECT CASE s_suppkey % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END AS ats_type, 's' || s_suppkey AS company_id, unnest(['Engineer ' || s_name, 'Designer ' || s_suppkey]) AS title FROM supplier""")
 def payload_files(spark, sf):
     """One JSON document per board under its platform's and its own folder."""
     from ..operators.extract import extract_payload_jobs
 
-    n = load(spark, sf, "nation").select(
-        F.expr("CASE n_nationkey % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END").alias("ats_type"), F.concat(F.lit("n"), "n_nationkey").alias("ats_identifier"),
-        F.expr("""CASE n_nationkey % 2 WHEN 0 THEN concat('[{"text":"Engineer ', n_name, '"}]') ELSE concat('{"jobs":[{"title":"Engineer ', n_name, '"}]}') END""").alias("value"))
+    docs = load(spark, sf, "supplier").select(
+        F.expr("CASE s_suppkey % 2 WHEN 0 THEN 'lever' ELSE 'greenhouse' END").alias("ats_type"), F.concat(F.lit("s"), "s_suppkey").alias("ats_identifier"),
+        F.expr("""CASE s_suppkey % 2 WHEN 0 THEN concat('[{"text":"Engineer ', s_name, '"},{"text":"Designer ', s_suppkey, '"}]')
+                  ELSE concat('{"jobs":[{"title":"Engineer ', s_name, '"},{"title":"Designer ', s_suppkey, '"}]}') END""").alias("value"))
     path = new_folder(spark, "payloads")
-    n.write.partitionBy("ats_type", "ats_identifier").text(path)
+    docs.write.partitionBy("ats_type", "ats_identifier").text(path)
     return extract_payload_jobs(st.read_payload_files(spark, path)).select("ats_type", "company_id", "title")
 
 
 @query("payload_table", """
-    SELECT n_nationkey::VARCHAR AS company_id, 'lever' AS ats_type, n_name AS body FROM nation""")
+    SELECT o_orderkey::VARCHAR AS company_id, CASE o_orderkey % 2 WHEN 0 THEN 'lever' ELSE 'ashby' END AS ats_type, '{"jobs":"' || o_orderpriority || '"}' AS body FROM orders""")
 def payload_table(spark, sf):
     """Fetched documents as a table."""
     path = new_folder(spark, "payload-table")
-    load(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("company_id"), F.lit("lever").alias("ats_type"), F.col("n_name").alias("body")).write.parquet(path)
+    load(spark, sf, "orders").selectExpr("CAST(o_orderkey AS STRING) AS company_id", "CASE o_orderkey % 2 WHEN 0 THEN 'lever' ELSE 'ashby' END AS ats_type",
+                                         """concat('{"jobs":"', o_orderpriority, '"}') AS body""").write.parquet(path)
     return st.read_payloads(spark, path).select("company_id", "ats_type", "body")
 
 

@@ -9,41 +9,63 @@ from .core import col, once, ts
 # Shape of the text → formats to try.  A format is only tried on text of its
 # shape, since a failing parse costs an exception inside the parser.  The
 # weekday of mail dates is removed first.
+_CLOCK = r"\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
 DATE_FORMATS = [
-    (r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:\d{2})$", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"]),
-    (r"^\d{4}-\d{2}-\d{2}T", ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"]),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", ["yyyy-MM-dd HH:mm:ss"]),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK} ?(Z|[+-]\d{{2}}:\d{{2}})$", ["yyyy-MM-dd['T'][ ]H:mm[:ss][.SSSSSS][ ]XXX"]),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK} ?[+-]\d{{4}}$", ["yyyy-MM-dd['T'][ ]H:mm[:ss][.SSSSSS][ ]XX"]),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}[T ]{_CLOCK}", ["yyyy-MM-dd['T'][ ]H:mm[:ss][.SSSSSS]"]),
     (r"^\d{4}-\d{2}-\d{2}$", ["yyyy-MM-dd"]),
+    (r"^\d{8}$", ["yyyyMMdd"]),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", ["d MMM yyyy HH:mm:ss Z"]),
     (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [A-Z]+$", ["d MMM yyyy HH:mm:ss z"]),
     (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", ["MMM d[,] yyyy"]),
     (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", ["MMMM d[,] yyyy"]),
     (r"^\d{1,2} [A-Za-z]{3},? \d{4}$", ["d MMM[,] yyyy"]),
     (r"^\d{1,2} [A-Za-z]{4,},? \d{4}$", ["d MMMM[,] yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3},? \d{2}$", ["d MMM[,] yy"]),
+    (r"^\d{1,2} [A-Za-z]{4,},? \d{2}$", ["d MMMM[,] yy"]),
+    (r"^[A-Za-z]{3},? \d{4}$", ["MMM[,] yyyy"]),
+    (r"^[A-Za-z]{4,},? \d{4}$", ["MMMM[,] yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2} \d{1,2}:\d{2}:\d{2} \d{4}$", ["MMM d H:mm:ss yyyy"]),
     (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["MMM d[,] yyyy[,] H:mm[:ss]"]),
     (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["MMMM d[,] yyyy[,] H:mm[:ss]"]),
     (r"^\d{1,2} [A-Za-z]{3},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["d MMM[,] yyyy[,] H:mm[:ss]"]),
     (r"^\d{1,2} [A-Za-z]{4,},? \d{4},? \d{1,2}:\d{2}(:\d{2})?$", ["d MMMM[,] yyyy[,] H:mm[:ss]"]),
     (r"^[A-Za-z]{3} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ["MMM d[,] yyyy[,] h:mm[:ss] a"]),
     (r"^[A-Za-z]{4,} \d{1,2},? \d{4},? \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ["MMMM d[,] yyyy[,] h:mm[:ss] a"]),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", ["yyyy-MM-dd HH:mm"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}(:\d{2})?)?$", ["yyyy/M/d[ H:mm][:ss]"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{2}(:\d{2})?)?$", ["M/d/yyyy[ H:mm][:ss]", "d/M/yyyy[ H:mm][:ss]"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? [AaPp][Mm]$", ["M/d/yyyy h:mm[:ss] a", "d/M/yyyy h:mm[:ss] a"]),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
 ]
+#: What is taken out or written the usual way before a form is looked for: weekdays in front, "5th", "Jan.", "Sept",
+#: digits of a second beyond the sixth, small am and pm.
+_USUAL = [
+    (r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), (r"(?i)(?<=\d)(?:st|nd|rd|th)\b", ""),
+    (r"(?i)\b(jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)\.", "$1"), (r"(?i)\bsept\b", "Sep"), (r"(:\d{2}\.\d{6})\d+", "$1"),
+    (r"(?<=\d )[Aa][Mm]$", "AM"), (r"(?<=\d )[Pp][Mm]$", "PM"), (r"\s+", " "),
+]
+_PLAIN = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def parse_date(c: Column | str) -> Column:
     """Lenient date parse, null when no known form fits.
 
-    Offsets are applied (the instant is kept), not dropped.
+    Offsets are applied (the instant is kept), not dropped; a month without a
+    day is its first day, and a year of two digits is one of this century.
     """
     def read(text: Column) -> Column:
         return F.coalesce(*[F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
                             for shape, formats in DATE_FORMATS])
-    # "pm" and "PM" are one; the formats know capitals only
-    return once(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(col(c)), r"(?<=\d )[Aa][Mm]$", "AM"), r"(?<=\d )[Pp][Mm]$", "PM"), r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,\s*", ""), read)
+
+    def usual(text: Column) -> Column:
+        out = text
+        for pattern, put in _USUAL:
+            out = F.regexp_replace(out, pattern, put)
+        return F.when(text.rlike(_PLAIN), text).otherwise(out)
+
+    return once(F.trim(col(c)), lambda t: once(usual(t), read))
 
 
 def days_between(start: Column | str, end) -> Column:

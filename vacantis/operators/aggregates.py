@@ -296,6 +296,30 @@ def returning_companies_daily(jobs: DataFrame, companies: DataFrame, start) -> D
             .agg(F.count("*").alias("value")).orderBy("date"))
 
 
+def daily_bitmaps(rows: DataFrame, at: str, id_col: str) -> DataFrame:
+    """(date, part, ids): which whole-number ids each day has, exactly, as bitmaps of 4 kB per 32,768 ids.
+
+    Days can be stored and added up: see :func:`merged_bitmaps` and :func:`distinct_ids`.
+    """
+    n = F.col(id_col).cast("long")
+    return (rows.filter(n.isNotNull() & F.col(at).isNotNull()).groupBy(F.to_date(at).alias("date"), F.bitmap_bucket_number(n).alias("part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("ids")))
+
+
+def merged_bitmaps(*stored: DataFrame) -> DataFrame:
+    """Stored days with further rows of the same or other days: each (date, part) once."""
+    every = stored[0]
+    for more in stored[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("date", "part").agg(F.bitmap_or_agg("ids").alias("ids"))
+
+
+def distinct_ids(bitmaps: DataFrame, period: Column) -> DataFrame:
+    """(period, value): distinct ids of every period of days, from the stored days alone."""
+    parts = bitmaps.groupBy(period.alias("period"), "part").agg(F.bitmap_count(F.bitmap_or_agg("ids")).alias("n"))
+    return parts.groupBy("period").agg(F.sum("n").alias("value"))
+
+
 def freshness_histogram(jobs: DataFrame, as_of) -> DataFrame:
     """Active jobs by posting age in eight ordered buckets, empty ones included."""
     at = F.col("posted_at")

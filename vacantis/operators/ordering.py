@@ -23,6 +23,53 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+#: The job order as (column, way); a null comes last in every column.
+JOB_KEYS = (("posted_at", "desc"), ("created_at", "desc"), ("id", "asc"))
+
+
+def _key_order(keys) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in keys]
+
+
+def after_key(cursor: dict, keys=JOB_KEYS) -> Column:
+    """The rows that come after the one with these key values.
+
+    The first key's range is said by itself too, so that it reaches the scan.
+    """
+    beyond, tie = F.lit(False), F.lit(True)
+    for name, way in keys:
+        c, v = F.col(name), cursor[name]
+        if v is None:
+            further, same = F.lit(False), c.isNull()
+        else:
+            further = (c < F.lit(v) if way == "desc" else c > F.lit(v)) | c.isNull()
+            same = c.eqNullSafe(F.lit(v))
+        beyond, tie = beyond | (tie & further), tie & same
+    name, way = keys[0]
+    first, v = F.col(name), cursor[name]
+    if v is None:
+        reach = first.isNull()
+    else:
+        reach = (first <= F.lit(v) if way == "desc" else first >= F.lit(v)) | first.isNull()
+    return reach & beyond
+
+
+def page_after(df: DataFrame, size: int, cursor: dict | None = None, keys=JOB_KEYS) -> DataFrame:
+    """The page behind a cursor (the first one without), at the cost of one page however deep it is.
+
+    ``keys`` must tell rows apart; the cursor is the key of the last row seen, see :func:`cursor_of`.
+    """
+    rest = df if cursor is None else df.filter(after_key(cursor, keys))
+    return rest.orderBy(*_key_order(keys)).limit(size)
+
+
+def cursor_of(page: DataFrame, keys=JOB_KEYS) -> dict | None:
+    """The key of a page's last row, null after the last page."""
+    names = [c for c, _ in keys]
+    rows = page.select(*names).collect()  # one page
+    return rows[-1].asDict() if rows else None
+
+
 def page_totals(all_rows: DataFrame, filtered: DataFrame, number: int, size: int) -> DataFrame:
     """Totals with and without the optional filters, and whether more pages follow."""
     seen = number * size
