@@ -21,6 +21,9 @@ repeated rows are packed like others; an empty table has no sequence.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from zlib import crc32
@@ -60,11 +63,11 @@ def units(text: str) -> list[str]:
 class Encoder:
     """Ids of texts by a vocabulary file; each distinct part of a batch is looked up or encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.aged = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.most, self.kept, self.aged = Tokenizer.from_file(path), most, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lead = os.path.commonprefix(self.special)
@@ -77,7 +80,7 @@ class Encoder:
 
     def _find(self, distinct: list[str]) -> list[bytes]:
         """Ids of each part.  A word and the punctuation behind it do not depend on each other, so they are found apart."""
-        if len(self.kept) > KEPT:
+        if len(self.kept) > self.most:
             self.kept, self.aged = {}, self.kept
         kept, aged = self.kept, self.aged
         ids = list(map(kept.get, distinct))
@@ -168,14 +171,23 @@ class Encoder:
         return flat, counts
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = KEPT) -> Encoder:
+    """The worker's encoder for a vocabulary file; it outlives a task unless it is let go."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
+
+
+def let_go() -> None:
+    """Gives back what the worker's encoders hold, for workers that go on to other work."""
+    _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _blocks(texts: pa.Array, size: int = 1 << 23):
@@ -189,13 +201,22 @@ def _blocks(texts: pa.Array, size: int = 1 << 23):
         begin = end
 
 
-def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
+def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, kept: int = KEPT, forget: bool = False,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pass one, written down: (part, doc_id, local, n, ids); local counts the ids before it in its partition."""
+    """Pass one, written down: (part, doc_id, local, n, ids); local counts the ids before it in its partition.
+
+    ``kept`` bounds the pieces a worker knows the ids of; with ``forget`` it
+    starts anew with each task, for sessions that have other work to do.
+    """
     path = path or vocabulary_path()
 
     def run(batches):
-        encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        yield from encoded(batches)
+        if forget:
+            let_go()
+
+    def encoded(batches):
+        encode, part, at = encoder(path, kept), TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin, some in _blocks(batch.column(1)):
                 flat, counts = encode(some)
@@ -225,9 +246,9 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID,
-           with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           with_ids: bool = True, kept: int = KEPT, forget: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, its ids."""
-    placed = with_offsets(tokenized(docs, path, end_id, id_col, text_col))
+    placed = with_offsets(tokenized(docs, path, end_id, kept, forget, id_col, text_col))
 
     def run(batches):
         for batch in batches:
