@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,86 +13,123 @@ from ..functions.payload import jget, jlist, jpath, jsonld_postings, jtext
 from ..rules import boards, misc, providers as pr
 
 
-# The field map of all platforms is one large expression.  It is written as SQL
-# text, since building it from Column objects takes a call into the JVM per node.
+# How a platform's payload is read is data: a *spec* per platform, looked up by the
+# row's platform and followed by one expression, the same for all.  So a document
+# costs its own fields, however many platforms there are, and a new platform is a
+# row of the field map.
+
+#: An alternative of a field: what kind it is and the variant paths it needs.
+_ALTERNATIVE = "struct<kind:string,paths:array<array<string>>>"
+SPECS = f"map<string,struct<jobs:array<string>,fields:array<array<{_ALTERNATIVE}>>,remote:array<string>>>"
+FIELD_MAP = "ats_type string, field string, priority int, alternative string"
+#: A field map is configuration and goes into the plan, so its size is checked.
+MOST_ROWS = 20_000
+
+
+def _alternative(text: str) -> dict:
+    """An alternative as it is written in the field map, taken apart."""
+    kind, _, rest = text.partition(" ")
+    if kind == "csc":
+        return {"kind": "csc", "paths": [[jpath(q) for q in p.split("|")] for p in rest.split() if p != "-"]}
+    if kind in ("names", "range"):
+        return {"kind": kind, "paths": [[jpath(p)] for p in rest.split()]}
+    if kind == "each":
+        return {"kind": "each", "paths": [[jpath(rest)]]}
+    if kind == "url" and rest:  # a piece of text, or nothing and what fills the place
+        pieces = re.split(r"\{(\w+)\}", rest)
+        return {"kind": "url", "paths": [[x] if i % 2 == 0 else ["", x if x == "ident" else jpath(x)] for i, x in enumerate(pieces) if x]}
+    return {"kind": "path", "paths": [[jpath(text)]]}
+
+
+def field_map_rows() -> list[tuple]:
+    """The known platforms' field map as rows (ats_type, field, priority, alternative)."""
+    return [(kind, field, n, alt) for kind, spec in pr.PROVIDERS.items() for field, alts in spec.items() for n, alt in enumerate(alts)]
+
+
+def specs_of(rows) -> str:
+    """Field map rows as the JSON text of the platforms' specs."""
+    maps: dict[str, dict[str, list]] = {}
+    for kind, field, priority, alt in rows:
+        maps.setdefault(kind, {}).setdefault(field, []).append((priority, alt))
+    read = lambda m, field: [alt for _, alt in sorted(m.get(field, []))]
+    return json.dumps({kind: {"jobs": [jpath(p) for p in read(m, "jobs")], "remote": [jpath(p) for p in read(m, "remote")],
+                              "fields": [[_alternative(a) for a in read(m, f)] for f in pr.PAYLOAD_FIELDS]} for kind, m in maps.items()})
+
+
+_KNOWN = specs_of(field_map_rows())
+
 
 def _get(v: str, path: str, kind: str) -> str:
-    return f"try_variant_get({v}, '{jpath(path)}', '{kind}')"
+    return f"try_variant_get({v}, {path}, '{kind}')"
 
 
 def _text(v: str, path: str) -> str:
-    """SQL of :func:`vacantis.functions.payload.jtext`."""
+    """SQL of :func:`vacantis.functions.payload.jtext`; ``path`` is an expression."""
     scalar = f"{_get(v, path, 'map<string,variant>')} IS NULL AND {_get(v, path, 'array<variant>')} IS NULL"
     return (f"element_at(transform(array({_get(v, path, 'string')}), t -> CASE WHEN t <> '' AND "
             f"(left(t, 1) NOT IN ('{{', '[') OR ({scalar})) THEN t END), 1)")
 
 
-def _salary(v: str, low: str, high: str, currency: str) -> str:
-    """SQL of :func:`vacantis.functions.text.jsonld_salary`."""
-    lo, hi = (f"nullif({_get(v, p, 'bigint')}, 0)" for p in (low, high))
-    cur = f"coalesce({_text(v, currency)}, 'USD')"
+def _salary(v: str) -> str:
+    """SQL of :func:`vacantis.functions.text.jsonld_salary` on the paths of an alternative ``a``."""
+    lo, hi = (f"nullif({_get(v, f'a.paths[{i}][0]', 'bigint')}, 0)" for i in (0, 1))
+    cur = f"coalesce({_text(v, 'a.paths[2][0]')}, 'USD')"
     return (f"CASE WHEN {lo} IS NOT NULL AND {hi} IS NOT NULL THEN concat({cur}, ' ', format_number({lo}, 0), ' - ', format_number({hi}, 0)) "
             f"WHEN {lo} IS NOT NULL THEN concat({cur}, ' ', format_number({lo}, 0), '+') "
             f"WHEN {hi} IS NOT NULL THEN concat('Up to ', {cur}, ' ', format_number({hi}, 0)) END")
 
 
-def _field(v: str, alternatives: tuple[str, ...], ident: str) -> str:
+def _first(alternatives: str, name: str, value: str, kind: str = "string") -> str:
+    """The first of a list that gives something; those behind it are not looked at."""
+    return f"aggregate({alternatives}, cast(null AS {kind}), (found, {name}) -> coalesce(found, {value}))"
+
+
+def _field(v: str, alternatives: str, ident: str) -> str:
     """One field of a job object, first non-empty alternative."""
-    out = []
-    for alt in alternatives:
-        kind, _, rest = alt.partition(" ")
-        if kind == "csc":
-            parts = ["coalesce(" + ", ".join(_text(v, q) for q in p.split("|")) + ")" for p in rest.split() if p != "-"]
-            out.append(f"nullif(concat_ws(', ', {', '.join(parts)}), '')")
-        elif kind == "names":
-            path, name = rest.split()
-            out.append(f"nullif(array_join(transform({_get(v, path, 'array<variant>')}, x -> {_text('x', name)}), ', '), '')")
-        elif kind == "each":
-            member = "coalesce(" + ", ".join(_text("x", p) for p in ("name", "city", "$")) + ")"
-            out.append(f"nullif(array_join(transform({_get(v, rest, 'array<variant>')}, x -> {member}), ', '), '')")
-        elif kind == "range":
-            out.append(_salary(v, *rest.split()))
-        elif kind == "url" and rest:
-            pieces = [f"'{x}'" if i % 2 == 0 else (f"nullif({ident}, '')" if x == "ident" else _text(v, x))
-                      for i, x in enumerate(re.split(r"\{(\w+)\}", rest)) if x]
-            out.append(f"concat({', '.join(pieces)})")
-        else:
-            out.append(_text(v, alt))
-    return f"coalesce({', '.join(out)})"
-
-
-def _by_provider(kind: str, field: str, value) -> str:
-    """CASE over the platform; platforms that read a field alike share a branch."""
-    groups: dict[tuple, list[str]] = {}
-    for label, spec in pr.PROVIDERS.items():
-        if field in spec:
-            groups.setdefault(tuple(spec[field]), []).append(label)
-    names = lambda labels: ", ".join(f"'{x}'" for x in labels)
-    return "CASE " + " ".join(f"WHEN {kind} IN ({names(labels)}) THEN {value(alts)}" for alts, labels in groups.items()) + " END"
-
-
-def payload_jobs_sql(body: str, kind: str, ident: str) -> str:
+    member = "coalesce(" + ", ".join(_text("x", f"'{jpath(p)}'") for p in ("name", "city", "$")) + ")"
+    pieces = f"transform(a.paths, p -> CASE WHEN size(p) = 1 THEN p[0] WHEN p[1] = 'ident' THEN nullif({ident}, '') ELSE {_text(v, 'p[1]')} END)"
+    value = (f"CASE a.kind WHEN 'path' THEN {_text(v, 'a.paths[0][0]')} "
+             f"WHEN 'csc' THEN nullif(concat_ws(', ', transform(a.paths, ps -> {_first('ps', 'p', _text(v, 'p'))})), '') "
+             f"WHEN 'names' THEN nullif(array_join(transform({_get(v, 'a.paths[0][0]', 'array<variant>')}, x -> {_text('x', 'a.paths[1][0]')}), ', '), '') "
+             f"WHEN 'each' THEN nullif(array_join(transform({_get(v, 'a.paths[0][0]', 'array<variant>')}, x -> {member}), ', '), '') "
+             f"WHEN 'range' THEN {_salary(v)} "
+             f"WHEN 'url' THEN element_at(transform(array({pieces}), u -> CASE WHEN NOT exists(u, x -> x IS NULL) THEN array_join(u, '') END), 1) END")
+    return _first(alternatives, "a", value)
+
+
+def payload_jobs_sql(body: str, kind: str, ident: str, specs: str = _KNOWN) -> str:
     """SQL for the array of job structs of a payload document; jobs without a title are left out.
 
     Arguments are SQL expressions.  The document is parsed once; pages and
-    other non-JSON bodies give an empty array.
+    other non-JSON bodies, and unknown platforms, give an empty array.
     """
-    some = lambda p: f"element_at(transform(array({_get('d', p, 'array<variant>')}), a -> CASE WHEN size(a) > 0 THEN a END), 1)"
-    jobs = _by_provider(kind, "jobs", lambda paths: "coalesce(" + ", ".join(map(some, paths)) + ")")
-    fields = [f"'{n}', {_by_provider(kind, n, lambda alts: _field('j', alts, ident))}" for n in pr.PAYLOAD_FIELDS]
-    flags = lambda paths: "coalesce(" + ", ".join(_get("j", p, "boolean") for p in paths) + ")"
-    fields.append(f"'remote', {_by_provider(kind, 'remote', flags)}")
-    found = f"coalesce(element_at(transform(array(try_parse_json({body})), d -> {jobs}), 1), cast(array() AS array<variant>))"
-    return f"filter(transform({found}, j -> named_struct({', '.join(fields)})), j -> j.title IS NOT NULL)"
+    some = f"element_at(transform(array({_get('d', 'p', 'array<variant>')}), a -> CASE WHEN size(a) > 0 THEN a END), 1)"
+    jobs = _first("m.jobs", "p", some, "array<variant>")
+    fields = [f"'{n}', {_field('j', f'm.fields[{i}]', ident)}" for i, n in enumerate(pr.PAYLOAD_FIELDS)]
+    fields.append(f"'remote', {_first('m.remote', 'p', _get('j', 'p', 'boolean'), 'boolean')}")
+    none = "cast(array() AS array<variant>)"
+    found = f"coalesce(element_at(transform(array(try_parse_json({body})), d -> {jobs}), 1), {none})"
+    known = "from_json('" + specs.replace("\\", "\\\\").replace("'", "\\'") + f"', '{SPECS}')"
+    return (f"element_at(transform(array(try_element_at({known}, {kind})), m -> "
+            f"filter(transform({found}, j -> named_struct({', '.join(fields)})), j -> j.title IS NOT NULL)), 1)")
+
 
+def payload_jobs_column(body: str, kind: str, ident: str, specs: str = _KNOWN) -> Column:
+    return F.expr(payload_jobs_sql(body, kind, ident, specs))
 
-def payload_jobs_column(body: str, kind: str, ident: str) -> Column:
-    return F.expr(payload_jobs_sql(body, kind, ident))
 
+def extract_payload_jobs(payloads: DataFrame, field_map: DataFrame | None = None) -> DataFrame:
+    """Board payloads of all platforms to raw jobs, in one narrow pass.
 
-def extract_payload_jobs(payloads: DataFrame) -> DataFrame:
-    """Board payloads of all platforms to raw jobs, in one narrow pass."""
-    jobs = payload_jobs_column("body", "ats_type", "ats_identifier")
+    ``field_map`` has rows like :func:`field_map_rows` and takes the place of the known platforms.
+    """
+    specs = _KNOWN
+    if field_map is not None:
+        rows = field_map.select("ats_type", "field", "priority", "alternative").limit(MOST_ROWS + 1).collect()
+        if len(rows) > MOST_ROWS:
+            raise ValueError(f"a field map has at most {MOST_ROWS} rows")
+        specs = specs_of(map(tuple, rows))
+    jobs = payload_jobs_column("body", "ats_type", "ats_identifier", specs)
     return (payloads.select("company_id", "ats_type", F.posexplode(jobs).alias("position", "job"))
             .select("company_id", "ats_type", "position", "job.*"))
 
