@@ -1,6 +1,6 @@
 import random
 
-from vacantis.llm.licenses import TEMPLATES, Scanner, notices, patience, words_of
+from vacantis.llm.licenses import MORE_TEMPLATES, SHORT_NAMES, TEMPLATES, Scanner, notices, patience, words_of
 
 
 def test_patience_is_an_alignment():
@@ -72,3 +72,20 @@ def test_each_line_yields_its_own_licence_only(spark, docs_of):
     }
     got = notices(docs_of(list(enumerate(f"foo bar. {x} baz" for x in lines)))).collect()
     assert sorted((r.doc_id, r.license) for r in got) == [(i, name) for i, name in enumerate(lines.values()) if name]
+
+
+def test_families_versions_tags_and_negations(spark, docs_of):
+    body = {name: text for name, _, text in TEMPLATES + MORE_TEMPLATES if len(text.split()) > 15}
+    cases = [(body["BSD-3-Clause"], ["BSD-3-Clause"]), (body["BSD-2-Clause"], ["BSD-2-Clause"]), (body["GPL-2.0"], ["GPL-2.0"]), (body["GPL-3.0"], ["GPL-3.0"]),
+             (body["LGPL-3.0"], ["LGPL-3.0"]), (body["LGPL-2.1"], ["LGPL-2.1"]), (body["AGPL-3.0"], ["AGPL-3.0"]), (body["Unlicense"], ["Unlicense"]), (body["Zlib"], ["Zlib"]),
+             (body["CC0-1.0"], ["CC0-1.0"]), (body["BSL-1.0"], ["BSL-1.0"]), (body["EPL-2.0"], ["EPL-2.0"]),
+             (body["MIT"], ["MIT"]), (body["ISC"], ["ISC"]), (body["Apache-2.0"], ["Apache-2.0"]),
+             ("Licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]), ("Licensed under the Apache License, Version 2.0 and the MIT License.", ["Apache-2.0", "MIT"]),
+             ("Not all rights reserved.", []), ("This is not licensed under the MIT License.", []), ("All rights reserved.", ["proprietary"]), ("SPDX-License-Identifier: bogus", []),
+             ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"])]
+    cases += [(f"// SPDX-License-Identifier: {name}\n", [name]) for name, _ in SHORT_NAMES]
+    got = {}
+    for r in notices(docs_of([(i, f"foo bar; {x} baz") for i, (x, _) in enumerate(cases)])).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    for i, (x, want) in enumerate(cases):
+        assert sorted(got.get(i, [])) == want, (x[:60], got.get(i))

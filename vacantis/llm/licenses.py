@@ -78,6 +78,57 @@ TEMPLATES = (
     ("CC-BY-NC-SA-4.0", "noncommercial", "Licensed under CC BY-NC-SA 4.0."),
     ("proprietary", "proprietary", "All rights reserved."),
 )
+#: Further families, versions and ways to name a second licence.
+MORE_TEMPLATES = (
+    ("BSD-3-Clause", "permissive",
+     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+     "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+     "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+     "the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "copyleft",
+     "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+     "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "copyleft",
+     "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "copyleft",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+     "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "copyleft",
+     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+     "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("CC0-1.0", "public domain",
+     "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Unlicense", "public domain",
+     "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "permissive",
+     "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+     "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+     "applications, and to alter it and redistribute it freely."),
+    ("EPL-2.0", "copyleft",
+     "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+     "https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "permissive", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "permissive",
+     "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+     "documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and "
+     "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so."),
+    ("MIT", "permissive", "or the MIT License."),
+    ("MIT", "permissive", "and the MIT License."),
+    ("Apache-2.0", "permissive", "or the Apache License, Version 2.0."),
+    ("Apache-2.0", "permissive", "and the Apache License, Version 2.0."),
+)
+#: Licences by their short names, for the tag that source files carry.
+SHORT_NAMES = (
+    ("MIT", "permissive"), ("Apache-2.0", "permissive"), ("BSD-2-Clause", "permissive"), ("BSD-3-Clause", "permissive"), ("ISC", "permissive"), ("Zlib", "permissive"),
+    ("BSL-1.0", "permissive"), ("CC0-1.0", "public domain"), ("Unlicense", "public domain"), ("GPL-2.0", "copyleft"), ("GPL-3.0", "copyleft"), ("LGPL-2.1", "copyleft"),
+    ("LGPL-3.0", "copyleft"), ("AGPL-3.0", "copyleft"), ("MPL-2.0", "copyleft"), ("EPL-2.0", "copyleft"), ("CC-BY-4.0", "attribution"), ("CC-BY-SA-4.0", "sharealike"),
+    ("CC-BY-NC-4.0", "noncommercial"), ("CC-BY-NC-SA-4.0", "noncommercial"),
+)
+#: Words that take back what stands behind them.
+NEGATIONS = frozenset("not never no neither nor without isn aren unless".split())
 #: Words that tell licences apart (every Creative Commons 4.0 licence asks for attribution): those a template has must be aligned, others must not stand in its stretch.
 MARKS = frozenset(("mit apache gnu general lesser affero mozilla mpl creative commons noncommercial sharealike noderivatives noderivs "
                    "cc by nc sa nd 1 2 3 4 5").split())
@@ -85,6 +136,10 @@ MARKS = frozenset(("mit apache gnu general lesser affero mozilla mpl creative co
 LONG, LONG_MARKS = 20, frozenset("apache gnu lesser affero mozilla".split())
 # End of fixed values.
 
+#: A tag has to be there word for word: the notices and one tag for every short name.
+TAG = "SPDX-License-Identifier: "
+EVERY_TEMPLATE = TEMPLATES + MORE_TEMPLATES + tuple((name, kind, TAG + name) for name, kind in SHORT_NAMES)
+
 _BREAK = bytes(32 if c < 127 and not chr(c).isalnum() else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
@@ -147,12 +202,13 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE, room: float = ROOM, marks: frozenset = frozenset()):
+    def __init__(self, templates=EVERY_TEMPLATE, coverage: float = COVERAGE, room: float = ROOM, marks: frozenset = frozenset()):
         self.marks = frozenset(m.encode() for m in marks)
         self.long_marks = self.marks & {m.encode() for m in LONG_MARKS}
         self.templates = [(name, kind, words_of(text.encode())) for name, kind, text in templates]
         self.counts = [Counter(w) for _, _, w in self.templates]
-        self.needed = [int(np.ceil(coverage * len(w) - 1e-9)) for _, _, w in self.templates]
+        self.tag = words_of(TAG.encode())
+        self.needed = [len(w) if w[:3] == self.tag else int(np.ceil(coverage * len(w) - 1e-9)) for _, _, w in self.templates]
         self.known = frozenset(w for _, _, words in self.templates for w in words)
         self.room = room
 
@@ -168,6 +224,8 @@ class Scanner:
 
     def _own(self, template, stretch, pairs) -> bool:
         """Whether the words that tell the licence are aligned and no others stand between; a version stands behind its word."""
+        if template[:3] == self.tag:
+            return pairs[-1][1] + 1 == len(template)
         marks = self.marks if len(template) <= LONG else self.long_marks
         if not marks:
             return True
@@ -178,9 +236,16 @@ class Scanner:
         return not any(w in marks and j not in places for j, w in enumerate(stretch[:pairs[-1][1] + 1]))
 
     def best(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """Notices of which no two overlap: where some do, the one with most aligned words, then the highest coverage, stays."""
-        out, taken = [], []
-        for hit in sorted(self(text), key=lambda h: (-h[3], len(self.templates[h[0]][2]), h[0], h[1])):
+        """Notices of which no two overlap: where some do, the one with most aligned words, then the highest coverage, stays.
+
+        A short one that one of the two words before it takes back is none.
+        """
+        out, taken, found = [], [], self(text)
+        if found:
+            words = words_of(text)
+            found = [h for h in found if len(self.templates[h[0]][2]) > LONG
+                     or not NEGATIONS.intersection(w.decode(errors="replace") for w in words[max(0, h[1] - 2):h[1]])]
+        for hit in sorted(found, key=lambda h: (-h[3], len(self.templates[h[0]][2]), h[0], h[1])):
             k = bisect_left(taken, (hit[1], 0))
             if (k == len(taken) or taken[k][0] >= hit[1] + hit[2]) and (not k or taken[k - 1][1] <= hit[1]):
                 taken.insert(k, (hit[1], hit[1] + hit[2]))
@@ -206,7 +271,7 @@ class Scanner:
                 at = begin + pairs[-1][1] + 1
 
 
-def notices(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, room: float = ROOM,
+def notices(docs: DataFrame, templates=EVERY_TEMPLATE, coverage: float = COVERAGE, room: float = ROOM,
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per notice: doc_id, license, kind, template (its number), start, n_words, n_aligned, coverage."""
     prepared(docs.sparkSession)
