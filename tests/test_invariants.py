@@ -62,6 +62,19 @@ def score_all(cands, jobs):
     return out
 
 
+def test_unknown_families_share_few_keys_and_match_exactly(spark):
+    c, j, cands, jobs = people_and_jobs(spark, 120)
+    j = j.withColumn("role_family", F.when(F.col("id") % 2 == 0, F.concat(F.lit("made up "), F.col("id") % 40)).otherwise(F.col("role_family")))
+    c = c.withColumn("role_families", F.when(F.col("id") % 3 == 0, F.array(F.concat(F.lit("made up "), F.col("id") * 2), F.lit("data"), F.lit(None).cast("string"))).otherwise(F.col("role_families")))
+    plain = {(a.id, b.id) for a in c.collect() for b in j.collect()
+             if a.is_active and b.is_active and (not a.role_families or b.role_family is None or b.role_family in a.role_families)}
+    pairs = {(r.candidate_id, r.job_id) for r in mt.match_pairs(c, j).collect()}
+    assert pairs <= plain and any(b % 2 == 0 and a % 3 == 0 for a, b in pairs)
+    wide = mt.match_pairs(c.withColumn("role_families", F.array().cast("array<string>")), j)
+    assert {p for p in plain if p in {(r.candidate_id, r.job_id) for r in wide.collect()}} == pairs
+    assert mt._cells(mt._job_side(j)).select("key").distinct().count() < 2 * (mt.OTHER_FAMILIES + 20) * 12
+
+
 @pytest.mark.parametrize("k", [3, 40])
 def test_refreshed_lists_equal_matching_anew(spark, k):
     c, j, _, jobs = people_and_jobs(spark, 300)
