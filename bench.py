@@ -16,7 +16,7 @@ HEADLINE = [
     "verification_summary", "pipeline_stats", "normalize_jobs", "skills_text", "role_family_text", "location_type_text",
     "upsert_jobs", "reconcile", "discover_outcomes", "changed_snapshots", "latest_snapshot", "top_k_per_key",
     "match_board", "similar_jobs", "mean_pool", "payload_jobs", "jsonld_jobs", "generic_jobs", "chunk_text",
-    "html_to_text", "sig_words",
+    "html_to_text", "sig_words", "select_elements", "similar_jobs_many", "match_cards_by_text", "keyed_upsert_jobs",
 ]
 
 
