@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, bits_at, only, per_batch, prepared, stored, utf8
+from .common import bit_table, bits_at, eased, only, per_batch, prepared, stored, utf8
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8))
 #: Masks of items that are shorter than OVERLAP.
@@ -134,11 +134,11 @@ def _items(benchmark: DataFrame, identity: float, overlap: int, item_col: str, t
         return {"key": batch.column(0), "words": batch.column(1), "masks": pa.array([sorted(set(k)) for k, _, _ in found], pa.list_(pa.int32())),
                 "seeds": pa.array([s.view(np.int64) for _, s, _ in found], pa.list_(pa.int64())), "starts": pa.array([t for _, _, t in found], pa.list_(pa.int64()))}
 
-    items = stored(only(benchmark, item_col, text_col).mapInArrow(per_batch(columns), f"item_id {kind}, words binary")
+    items = stored(only(benchmark, item_col, text_col).mapInArrow(eased(per_batch(columns)), f"item_id {kind}, words binary")
                    .where(F.length("words") > 0).withColumn("key", F.sha2("words", 256)), "benchmark")
     distinct = items.groupBy("key").agg(F.first("words").alias("words"))
     return items.select("key", "item_id"), stored(distinct.mapInArrow(
-        per_batch(own), "key string, words binary, masks array<int>, seeds array<long>, starts array<long>"), "items")
+        eased(per_batch(own)), "key string, words binary, masks array<int>, seeds array<long>, starts array<long>"), "items")
 
 
 def _filter(distinct: DataFrame) -> bytes:
@@ -147,7 +147,7 @@ def _filter(distinct: DataFrame) -> bytes:
         flat = batch.column(0).flatten().to_numpy().view(np.uint64)
         return {"slot": pa.array(np.unique(np.concatenate(probes(flat))).astype(np.int64))}
 
-    return bit_table(distinct.select("seeds").mapInArrow(per_batch(columns), "slot long"), TABLE)
+    return bit_table(distinct.select("seeds").mapInArrow(eased(per_batch(columns)), "slot long"), TABLE)
 
 
 def _hits(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame:
@@ -177,7 +177,7 @@ def _hits(docs: DataFrame, distinct: DataFrame, text_col: str) -> DataFrame:
                                               pa.array(out["places"], pa.list_(pa.int64()))], ["row", "words", "seeds", "places"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return stored(rows.mapInArrow(run, "row long, words binary, seeds array<long>, places array<long>"), "hits")
+    return stored(rows.mapInArrow(eased(run), "row long, words binary, seeds array<long>, places array<long>"), "hits")
 
 
 def _near(hits: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, identity: float, overlap: int,
                                              ["row", "key", "doc_start", "item_start", "n_words", "n_same"])
 
     return items, stored(both.select("row", "key", "shifts", "words", "item").mapInArrow(
-        run, "row long, key string, doc_start long, item_start long, n_words long, n_same long"), "leaks")
+        eased(run), "row long, key string, doc_start long, item_start long, n_words long, n_same long"), "leaks")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY, overlap: int = OVERLAP,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_texts, only, per_batch, prepared, utf8
+from .common import eased, labelled_texts, only, per_batch, prepared, utf8
 
 FIT_DOCS, FIT_LINES = 1500, 64
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, chain: Chain, least: float = MIN_CONTENT, text_co
             if batch.num_rows:
                 yield batch.filter(pa.array(_judge(utf8(batch.column(place)), chain, least)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(eased(run), docs.schema)

@@ -21,9 +21,6 @@ repeated rows are packed like others; an empty table has no sequence.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import os
 import re
 from zlib import crc32
@@ -35,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, prepared, stored
+from .common import eased, let_go, only, prepared, stored
 
 LENGTH, END_ID = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -181,15 +178,6 @@ def encoder(path: str, most: int = KEPT) -> Encoder:
     return _ENCODERS[path, most]
 
 
-def let_go() -> None:
-    """Gives back what the worker's encoders hold, for workers that go on to other work."""
-    _ENCODERS.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _blocks(texts: pa.Array, size: int = 1 << 23):
     """Runs of rows of about ``size`` bytes: (first row, texts without nulls)."""
     texts = pc.fill_null(texts, "")
@@ -213,6 +201,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ke
     def run(batches):
         yield from encoded(batches)
         if forget:
+            _ENCODERS.clear()
             let_go()
 
     def encoded(batches):
@@ -278,7 +267,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
     kind = docs.schema[id_col].dataType.simpleString()
     longs = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.select("doc_id", "n", "ids", "local", "base").mapInArrow(
-        run, f"doc_id {kind}, {longs}" + ", ids array<int>" * with_ids)
+        eased(run) if forget else run, f"doc_id {kind}, {longs}" + ", ids array<int>" * with_ids)
 
 
 def sequences(cut: DataFrame, length: int = LENGTH, pad_id: int = END_ID) -> DataFrame:
