@@ -38,6 +38,8 @@ LENGTH, END_ID = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces of text whose ids a worker keeps; with more, those not used since the last such turn are let go.
 KEPT = 350_000
+#: Bytes of text that are cut and looked up together.
+BLOCK = 1 << 23
 _TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts in which a space stands beside other white space or at an end, or that hold the mark used for cutting.
@@ -178,7 +180,7 @@ def encoder(path: str, most: int = KEPT) -> Encoder:
     return _ENCODERS[path, most]
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 23):
+def _blocks(texts: pa.Array, size: int = BLOCK):
     """Runs of rows of about ``size`` bytes: (first row, texts without nulls)."""
     texts = pc.fill_null(texts, "")
     upto, begin = np.cumsum(pc.binary_length(texts).to_numpy()), 0
@@ -189,12 +191,13 @@ def _blocks(texts: pa.Array, size: int = 1 << 23):
         begin = end
 
 
-def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, kept: int = KEPT, forget: bool = False,
+def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, kept: int = KEPT, forget: bool = False, block: int = BLOCK,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pass one, written down: (part, doc_id, local, n, ids); local counts the ids before it in its partition.
 
-    ``kept`` bounds the pieces a worker knows the ids of; with ``forget`` it
-    starts anew with each task, for sessions that have other work to do.
+    ``kept`` bounds the pieces a worker knows the ids of and ``block`` the text
+    it cuts at a time; with ``forget`` it starts anew with each task, for
+    sessions that have other work to do.
     """
     path = path or vocabulary_path()
 
@@ -207,7 +210,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ke
     def encoded(batches):
         encode, part, at = encoder(path, kept), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin, some in _blocks(batch.column(1)):
+            for begin, some in _blocks(batch.column(1), block):
                 flat, counts = encode(some)
                 flat = np.insert(flat, np.cumsum(counts), end_id)
                 n = counts + 1
@@ -235,9 +238,10 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID,
-           with_ids: bool = True, kept: int = KEPT, forget: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           with_ids: bool = True, kept: int = KEPT, forget: bool = False, block: int = BLOCK,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, its ids."""
-    placed = with_offsets(tokenized(docs, path, end_id, kept, forget, id_col, text_col))
+    placed = with_offsets(tokenized(docs, path, end_id, kept, forget, block, id_col, text_col))
 
     def run(batches):
         for batch in batches:
