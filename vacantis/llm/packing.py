@@ -209,6 +209,8 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ke
 
     def encoded(batches):
         encode, part, at = encoder(path, kept), TaskContext.get().partitionId(), 0
+        if forget:
+            let_go()  # of what reading the vocabulary took
         for batch in batches:
             for begin, some in _blocks(batch.column(1), block):
                 flat, counts = encode(some)
