@@ -8,8 +8,8 @@ from collections import defaultdict
 from pyspark.sql import Column, functions as F
 
 from ..rules import boards, locations as loc, misc, roles, skills as sk
-from .core import (CI, UNICODE_CI, any_of, col, contains_any, extract, first_contained, fold, folded_match,
-                   first_extract, first_label, literal_array, nz, once)
+from .core import (CI, UNICODE_CI, _any_word, any_of, col, contains_any, extract, first_contained, fold, folded_match,
+                   first_extract, first_label, literal_array, needle, nz, once)
 
 # ------------------------------------------------------------------ titles
 
@@ -266,24 +266,35 @@ def ats_from_url(url: Column | str) -> Column:
     """``struct<ats_type, ats_identifier>``; both null when no platform is named.
 
     Some hundred patterns: bound once, or every later use of a field would
-    repeat them.
+    repeat them.  A byte search for the literals that a platform's patterns
+    must contain comes before its regular expressions.
     """
-    return once(col(url), _platform_of)
+    url = col(url)
+    return once(F.struct(url.alias("url"), F.lower(url).alias("low")), _platform_of)
 
 
-def _platform_of(url: Column) -> Column:
-    kind, ident = None, None
+def _platform_of(both: Column) -> Column:
+    url, low, found = both["url"], both["low"], None
     for label, patterns in boards.URL_PATTERNS.items():
+        words = {needle(p)[0] for p in patterns}
         hit = url.rlike(any_of(patterns, CI))
+        if all(words):
+            words = sorted(w for w in words if not any(v != w and v in w for v in words))
+            hit = _any_word(low, words) & hit
         # the first pattern that matches gives the identifier
         values = [F.regexp_extract(url, CI + p, 1) if re.compile(p).groups else F.lit("") for p in patterns]
         value = values[-1]
         for p, v in reversed(list(zip(patterns[:-1], values[:-1]))):
             value = F.when(url.rlike(CI + p), v).otherwise(value)
-        kind = F.when(hit, F.lit(label)) if kind is None else kind.when(hit, F.lit(label))
-        ident = F.when(hit, value) if ident is None else ident.when(hit, value)
+        named = F.struct(F.lit(label).alias("ats_type"), value.alias("ats_identifier"))
+        found = F.when(hit, named) if found is None else found.when(hit, named)
+    return once(found, _without_own_names)
+
+
+def _without_own_names(found: Column) -> Column:
+    ident = found["ats_identifier"]
     valid = F.when((ident != "") & ~F.lower(ident).isin(boards.NOT_IDENTIFIERS), ident)
-    return F.struct(kind.alias("ats_type"), valid.alias("ats_identifier"))
+    return F.struct(found["ats_type"].alias("ats_type"), valid.alias("ats_identifier"))
 
 
 def ats_from_url_quick(url: Column | str, current: Column | str) -> Column:
