@@ -108,6 +108,18 @@ def test_best_pairs_equal_scoring_everything(spark, k):
         assert len(mine) == len(set(mine))
 
 
+def test_few_pairs_are_compared_in_full(spark):
+    """Pairs that the numbers of both sides rule out never reach the lists; before, every pair of a candidate's bands did."""
+    c, j, *_ = people_and_jobs(spark, 400)
+    seen = mt._candidate_side(c).withColumn("floor", F.lit(0.75) - mt._EPS)
+    keyed = mt._job_side(j)
+    met = mt._met(seen, keyed, mt._cells(keyed))
+    every = mt._laid_out(seen, mt._cells(keyed)).join(mt._salted(keyed, mt._cells(keyed)), ["key", "band", "salt"])
+    reach = lambda pairs: {(r.candidate_id, r.job_id) for r in mt._weighed(mt._constraints(pairs)).filter("most >= floor").collect()}
+    assert reach(met) == reach(every) and reach(met)
+    assert met.count() < every.count()
+
+
 def test_match_plan_has_no_cross_join_and_no_python(spark):
     c, j, _, _ = people_and_jobs(spark, 50)
     p = plan(mt.match_candidates(c, j, AS_OF, k=5))
