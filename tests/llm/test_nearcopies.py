@@ -78,3 +78,37 @@ def test_one_row_per_group(spark, docs_of):
     assert got == sorted([(3, text + " end"), (3, other), (None, "c d")], key=str)
     assert drop_near_copies(docs_of([])).collect() == []
     assert len(drop_near_copies(docs_of([(1, "long " * 200_000), (2, "long " * 100_000)])).collect()) == 1
+
+
+def around(r, copies, most):
+    """A text of 120 words and copies of it with up to ``most`` other words: most copies are like the text, few like each other."""
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    base = [word() for _ in range(120)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        w = list(base)
+        for k in r.sample(range(120), r.randrange(1, most)):
+            w[k:k + 1] = [word()] * r.randrange(3)
+        out.append(" ".join(w))
+    return out
+
+
+def test_pivots_lose_no_link(spark, docs_of, monkeypatch):
+    r = random.Random(8)
+    monkeypatch.setattr(nearcopies, "BUSY", 4)
+    monkeypatch.setattr(nearcopies, "ROUNDS", 0)
+    texts = corpus() + around(r, 60, 9)[1:] + around(r, 40, 6)  # one text is not there itself
+    want = set(groups([cut(t) for t in texts], alike))
+    got = drop_near_copies(docs_of(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_a_large_group_of_changed_copies_costs_no_square(spark, docs_of, monkeypatch):
+    texts = around(random.Random(5), 400, 12)
+    compared, plain = [], nearcopies._kept
+    monkeypatch.setattr(nearcopies, "BUSY", 16)
+    monkeypatch.setattr(nearcopies, "_kept", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    want = set(groups([cut(t) for t in texts], alike))
+    got = drop_near_copies(docs_of(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert sum(compared) < 8 * len(texts)  # pair by pair, 9,077
