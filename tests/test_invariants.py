@@ -212,6 +212,46 @@ def test_late_snapshots_within_the_delay_give_the_batch_result(spark, tmp_path):
     assert len(got) == len(set(got)) and {i for c, i in got if c != 7} == want and (7, 9) in got and len(got) == len(want) + 1
 
 
+def test_a_batch_of_snapshots_is_one_call_to_the_state():
+    from types import SimpleNamespace
+
+    from vacantis.streaming.state import _Changes
+
+    calls = []
+
+    class Held:
+        rows = []
+        exists = lambda self: bool(self.rows)
+        get = lambda self: self.rows[0] if self.one else iter(self.rows)
+
+        def __init__(self, one):
+            self.one = one
+
+        def appendList(self, rows):
+            calls.append(len(rows))
+            self.rows = [*self.rows, *rows]
+
+        def put(self, rows):
+            calls.append(len(rows))
+            self.rows = rows
+
+        def update(self, row):
+            self.rows = [row]
+
+        def clear(self):
+            self.rows = []
+
+    handle = SimpleNamespace(getValueState=lambda *a: Held(True), getListState=lambda *a: Held(False), registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    rows = [SimpleNamespace(at=k * 1000, id=k, html_hash="ab"[k // 3 % 2]) for k in range(1, 50)]
+    now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    p = _Changes()
+    p.init(handle)
+    assert list(p.handleInputRows((7,), iter(rows[::-1]), now(0))) == [] and calls == [49]
+    first = [r.id for r in p.handleExpiredTimer((7,), now(20), None)]
+    later = [r.id for r in p.handleExpiredTimer((7,), now(60), None)]
+    assert first == [1, *range(3, 20, 3)] and later == list(range(21, 50, 3)) and calls == [49, 30]
+
+
 def pieces_of(text, size, overlap, look_back):
     """The chunker's rule over plain positions."""
     if len(text) <= size:

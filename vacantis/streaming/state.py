@@ -30,7 +30,7 @@ class _Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "html_hash string")
-        self.waiting = handle.getMapState("waiting", "at long, id long", "html_hash string")
+        self.waiting = handle.getListState("waiting", "at long, id long, html_hash string")
         self.timer = handle.getValueState("timer", "at long")
 
     def _set_timer(self, micros: int | None) -> None:
@@ -49,13 +49,11 @@ class _Changes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[0] is None:  # only the end marker has no company
             return iter([])
-        passed, first = timerValues.getCurrentWatermarkInMs(), None
-        for r in rows:
-            if r.at < passed * 1000:  # its time is final already
-                continue
-            self.waiting.updateValue((r.at, r.id), (r.html_hash,))
-            first = r.at if first is None else min(first, r.at)
-        if first is not None:
+        passed = timerValues.getCurrentWatermarkInMs()
+        new = [(r.at, r.id, r.html_hash) for r in rows if r.at >= passed * 1000]  # the time of others is final already
+        if new:  # all of a batch in one call
+            self.waiting.appendList(new)
+            first = min(new)[0]
             old = self.timer.get()[0] if self.timer.exists() else None
             if old is None or first // 1000 + 1 < old:
                 self._set_timer(first)
@@ -64,22 +62,22 @@ class _Changes(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()  # the one that has expired
-        final, ahead = [], None
-        for (at, id_), (digest,) in self.waiting.iterator():
-            if at < passed:
-                final.append((at, id_, digest))
-            else:
-                ahead = at if ahead is None else min(ahead, at)
+        waiting = {(at, id_): digest for at, id_, digest in self.waiting.get()}  # in the order they came in: the last counts
+        final = sorted((*k, digest) for k, digest in waiting.items() if k[0] < passed)
+        left = [(*k, digest) for k, digest in waiting.items() if k[0] >= passed]
         before = self.last.get()[0] if self.last.exists() else None
         known = self.last.exists()
-        for at, id_, digest in sorted(final, key=lambda x: x[:2]):
-            self.waiting.removeKey((at, id_))
+        for at, id_, digest in final:
             if not known or digest != before:
                 yield Row(company_id=key[0], id=id_, html_hash=digest, at=at)
             before, known = digest, True
         if final:
             self.last.update((before,))
-        self._set_timer(ahead)
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        self._set_timer(min(left)[0] if left else None)
 
 
 def changed_pages(snapshots: DataFrame, delay: str = "7 days") -> DataFrame:
