@@ -107,8 +107,11 @@ class KeyedTable:
         from .upserts import fold_keys
 
         spark = rows.sparkSession
+        if not buckets:  # folded rows are counted by their keys alone
+            loose = bucket_of(keys, 1) == LOOSE
+            count = rows.filter(~loose).select(*keys).distinct().count() + rows.filter(loose).count()
+            buckets = max(1, -(-count // rows_per_bucket))
         rows = fold_keys(rows, keys, order)
-        buckets = buckets or max(1, -(-rows.count() // rows_per_bucket))
         folder = cls._store(rows, path.rstrip("/"), keys, buckets)
         found = cls._written(_Files(spark, path), path.rstrip("/"), folder)
         manifest = {"keys": list(keys), "buckets": buckets, "schema": rows.schema.jsonValue(),
@@ -153,11 +156,13 @@ class KeyedTable:
         before = self.read(buckets)
         after = operator(before, keyed).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
         bucket = bucket_of(self.keys, self.buckets)
-        # a bucket is as it was if both sides have the same rows as often
+        # a bucket is as it was if both sides have the same rows as often: if the sums of their digests' parts, 240 bits in all, are the same
         row = F.sha2(F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in self.schema])), 256)
+        part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)") * F.col("n")
         named = lambda df, sign: df.select(bucket.alias("b"), row.alias("h"), F.lit(sign).alias("n"))
-        changed = (named(after, 1).unionByName(named(before, -1)).groupBy("b", "h").agg(F.sum("n").alias("n")).filter("n <> 0")
-                   .select("b").distinct().collect())
+        sums = [F.sum("n"), *(F.sum(part(at)) for at in (1, 16, 31, 46))]
+        changed = (named(after, 1).unionByName(named(before, -1)).groupBy("b").agg(F.array(*(s.cast("decimal(38,0)") for s in sums)).alias("s"))
+                   .filter(F.exists("s", lambda x: x != 0)).collect())
         differ = sorted(r.b for r in changed)
         added = operator(self.read([]), apart).select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema])
         some = not added.isEmpty()
