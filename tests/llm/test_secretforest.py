@@ -1,6 +1,7 @@
 import random
 import re
 
+from vacantis.llm import secretforest
 from vacantis.llm.secretforest import CANDIDATE, FEATURES, Forest, features, findings, labelled, redact, secrets, train
 
 from pyspark.sql import functions as F
@@ -124,3 +125,10 @@ def test_forms_that_no_rule_names(spark, docs_of):
         assert sum(caught[k::8]) >= 0.8 * len(caught[k::8]), true[k]
     touched = [x for i, x in enumerate(false) if clean[1000 + i] != x]
     assert not touched, touched[:3]
+
+
+def test_dictionary_counts_all_findings(spark):
+    found = spark.range(0, 30_000, 1, 4).selectExpr("concat('v', id) AS value", "concat('abc', chr(97 + CAST(id % 26 AS INT))) AS before", "'' AS after")
+    part = found.selectExpr("explode(array('abc', substring(before, 2, 3))) AS part").groupBy("part").count()
+    rows = sorted(((-r["count"], r.part) for r in part.collect()))[:9]
+    assert secretforest.dictionary(found, 9) == sorted(p for _, p in rows)  # ties by part, which a sample does not show
