@@ -39,6 +39,14 @@ def test_report(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "r" / "failures")).first()[0]) == {"company": "a", "success": False}
 
 
+def test_payload_files_are_written_by_many_tasks(spark, tmp_path):
+    docs = spark.range(0, 60, 1, 1).selectExpr("'lever' AS ats_type", "concat('s', id) AS ats_identifier", """concat('[{"text":"Job ', id, '"}]') AS value""")
+    st.write_payload_files(docs, f"{tmp_path}/p")
+    files = list(tmp_path.glob("p/ats_type=*/ats_identifier=*/part-*"))
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 1  # the number of the task
+    assert sorted(r.title for r in extract_payload_jobs(st.read_payload_files(spark, f"{tmp_path}/p")).collect()) == sorted(f"Job {i}" for i in range(60))
+
+
 def test_repeated_blocks_of_a_page(spark):
     html = "".join(f'<div class="row"><h4>Developer number {i}</h4><a href="/x{i}">go</a></div>' for i in range(3))
     p = spark.createDataFrame([(1, "https://a.example/y", html), (2, "https://a.example/y", "<p>nothing</p>")], "page_id int, url string, html string")

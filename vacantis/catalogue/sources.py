@@ -38,7 +38,7 @@ def payload_files(spark, sf):
         F.expr("""CASE s_suppkey % 2 WHEN 0 THEN concat('[{"text":"Engineer ', s_name, '"},{"text":"Designer ', s_suppkey, '"}]')
                   ELSE concat('{"jobs":[{"title":"Engineer ', s_name, '"},{"title":"Designer ', s_suppkey, '"}]}') END""").alias("value"))
     path = new_folder(spark, "payloads")
-    docs.write.partitionBy("ats_type", "ats_identifier").text(path)
+    st.write_payload_files(docs, path)
     return extract_payload_jobs(st.read_payload_files(spark, path)).select("ats_type", "company_id", "title")
 
 

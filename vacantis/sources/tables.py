@@ -40,6 +40,12 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, "payloads", path)
 
 
+def write_payload_files(docs: DataFrame, path: str) -> None:
+    """``docs(ats_type, ats_identifier, value)`` as one file per board; boards are dealt to as many tasks as a shuffle has."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since the rows are few bytes and the files many
+    docs.repartition(tasks, "ats_type", "ats_identifier").write.partitionBy("ats_type", "ats_identifier").text(path)
+
+
 def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file under ``ats_type=…/ats_identifier=…``."""
     return (spark.read.text(path, wholetext=True)
