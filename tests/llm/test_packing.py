@@ -2,9 +2,10 @@ import random
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from vacantis.llm.packing import pieces, sequences, vocabulary_path
+from vacantis.llm.packing import Encoder, pieces, sequences, vocabulary_path
 
 ODD = ["", None, " ", "a", " a", "a ", "a  b", "a\n b", "a \n b", "\n", "x  y", "  z", "<|endoftext|> a <|endoftext|>b", "a\x00b c",
        "é ü  ", "a\x85 b", "tab\tx y", "it's I'll 123 a1 b2", "trail   ", "漢字 かな", "a  b", "no\xa0break \xa0x"]
@@ -49,3 +50,21 @@ def test_power_of_two_is_not_padded(spark, docs_of):
 
 def test_empty_table(spark, docs_of):
     assert pieces(docs_of([])).collect() == []
+
+
+def test_ids_are_those_of_whole_texts(tokenizer):
+    r = random.Random(7)
+    some = ["a", "s", "'", "'s", "'ll", "x9", "9", "é", "œ", "×", "÷", "ж", "漢", "«", " ", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\x00", "  ", "\n", "\n\n",
+            "\t", "\r\n", ".", ",", "(", "\u0301", "½", "<|endoftext|>", "<|endof", "😀", " the", "_"]
+    encode = Encoder(vocabulary_path(), 500)
+    for _ in range(40):
+        texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(100)]
+        flat, counts = encode(pa.array(["x", *texts]).slice(1))
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_a_word_is_looked_up_once_whatever_stands_beside_it():
+    encode = Encoder(vocabulary_path())
+    encode(pa.array(["alpha, alpha. alpha;\nalpha (alpha) été.\nalpha"]))
+    assert len(encode.kept) == len({"alpha", " alpha", ",", ".", ";", "\n", " (", ")", " été"})

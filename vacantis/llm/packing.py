@@ -11,9 +11,10 @@ all documents together.  No text or id is shuffled and nothing is gathered.
 The offsets stand in the written table beside their ids, so a task that is run
 again reads what its first run wrote.
 
-Ids come from a published vocabulary whose file is a parameter.  Spaces between
-two visible characters start a token in it, so a text is cut there and the ids
-of each piece are kept per worker for its next use.
+Ids come from a published vocabulary whose file is a parameter.  Its pattern
+always cuts before white space and where letters, digits and signs meet, so a
+text is cut there and the ids of each part are kept per worker for its next use;
+with another pattern a text is cut at spaces between visible characters only.
 
 Defined results: null and empty texts are the end id alone; null ids and
 repeated rows are packed like others; an empty table has no sequence.
@@ -22,7 +23,6 @@ repeated rows are packed like others; an empty table has no sequence.
 from __future__ import annotations
 
 import os
-import re
 from zlib import crc32
 
 import numpy as np
@@ -40,11 +40,32 @@ VOCABULARY = "byte_bpe_50k.json"
 KEPT = 350_000
 #: Bytes of text that are cut and looked up together.
 BLOCK = 1 << 23
-_TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts in which a space stands beside other white space or at an end, or that hold the mark used for cutting.
-_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
-_ODD = f"(?:^|{_WHITE}) | (?:$|{_WHITE})|\\x00"
+#: What a byte of UTF-8 is, as far as cuts are concerned; letters of two bytes count by both.
+_OTHER, _LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _BREAK, _HIGH, _LEAD = range(9)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, _OTHER, np.uint8)
+    kinds[33:127] = [_LETTER if c.isalpha() else _DIGIT if c.isdigit() else _QUOTE if c == "'" else _SIGN for c in map(chr, range(33, 127))]
+    kinds[0x80:], kinds[ord(" ")] = _HIGH, _SPACE
+    kinds[[ord(c) for c in "\t\n\r"]] = _BREAK
+    kinds[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = _LEAD  # U+00C0 to U+027F and U+0400 to U+047F are letters, but for two signs
+    return kinds
+
+
+def _joints(pairs: dict[int, tuple[int, ...]]) -> np.ndarray:
+    table = np.zeros((16, 16), bool)
+    for left, rights in pairs.items():
+        table[left, list(rights)] = True
+    return table.ravel()
+
+
+_KINDS = _kinds()
+_WORD = {_LETTER: (_DIGIT, _SIGN, _QUOTE), _DIGIT: (_LETTER, _SIGN, _QUOTE), _SIGN: (_LETTER, _DIGIT), _QUOTE: (), _HIGH: ()}
+#: Neighbours between which the byte-level pattern always cuts: before white space, and where letters, digits and signs meet
+#: (not behind an apostrophe, which may begin a contraction).
+_FINE = _joints({left: (*rights, _SPACE, _BREAK) for left, rights in _WORD.items()})
+_COARSE = _joints({left: (_SPACE,) for left in _WORD})
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -53,10 +74,37 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def units(text: str) -> list[str]:
-    """The text in parts whose ids do not depend on each other; joined they are the text."""
-    first, *rest = _CUT.split(text)
-    return [first, *(" " + r for r in rest)]
+def kinds_of(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; those that may be white space beyond ASCII are other ones."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(kinds == _LEAD)
+    kinds[lead] = _LETTER
+    kinds[lead + 1] = _LETTER
+    signs = lead[(data[lead] == 0xC3) & np.isin(data[lead + 1], (0x97, 0xB7))]
+    kinds[signs] = kinds[signs + 1] = _HIGH
+    for first, more in ((0xC2, 1), (0xE1, 2), (0xE2, 2), (0xE3, 2)):
+        at = np.flatnonzero(data == first)
+        for step in range(more + 1):
+            kinds[at + step] = _OTHER
+    return kinds
+
+
+def cuts(data: np.ndarray, fine: bool) -> np.ndarray:
+    """Whether a part may begin at each byte of texts put together: the ids on both sides do not depend on each other.
+
+    ``fine`` is for the byte-level pattern; else cuts are at single spaces between visible characters.
+    """
+    kinds = kinds_of(data)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (_FINE if fine else _COARSE)[(kinds[:-1] << 4) | kinds[1:]]
+    visible = (kinds != _OTHER) & (kinds != _SPACE) & (kinds != _BREAK)
+    if fine:
+        at = np.flatnonzero(kinds == _BREAK)
+        at = at[(at > 0) & (at < len(data) - 1)]
+        cut[at[visible[at - 1] & visible[at + 1]] + 1] = True  # behind a line end that stands alone
+    else:
+        cut[:-1] &= visible[1:]
+    return cut
 
 
 class Encoder:
@@ -65,11 +113,17 @@ class Encoder:
     def __init__(self, path: str, most: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.most, self.kept, self.aged = Tokenizer.from_file(path), most, {}, {}
         vocabulary = self.tokenizer.get_vocab()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in added]
         self.lead = os.path.commonprefix(self.special)
+        #: Special strings that reach into the white space beside them, so that their texts stay whole.
+        self.wide = {t.content for t in added if t.lstrip or t.rstrip or any(c.isspace() for c in t.content)}
+        before = self.tokenizer.pre_tokenizer
+        self.fine = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # a character of a byte-level token is one byte
@@ -77,40 +131,25 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _find(self, distinct: list[str]) -> list[bytes]:
-        """Ids of each part.  A word and the punctuation behind it do not depend on each other, so they are found apart."""
+    def _find(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of each part."""
         if len(self.kept) > self.most:
             self.kept, self.aged = {}, self.kept
         kept, aged = self.kept, self.aged
         ids = list(map(kept.get, distinct))
-        need, split, new = set(), [], []
-        for i, found in enumerate(ids):
-            if found is not None:
-                continue
+        missing = [i for i, found in enumerate(ids) if found is None]
+        new = []
+        for i in missing:
             u = distinct[i]
             found = aged.get(u)
-            if found is not None:
-                ids[i] = kept[u] = found
-                continue
-            new.append(i)
-            stem = u.rstrip(_TAIL)
-            if len(stem) < len(u) and stem[-1:].isalnum() and not self._special(u):
-                split.append((u, stem, u[len(stem):]))
-                need.update(split[-1][1:])
+            if found is None:
+                new.append(u)
             else:
-                need.add(u)
-        todo = []
-        for u in need:
-            if u not in kept:
-                if u in aged:
-                    kept[u] = aged[u]
-                else:
-                    todo.append(u)
-        self._learn(todo)
-        for u, stem, tail in split:
-            kept[u] = kept[stem] + kept[tail]
-        for i in new:
-            ids[i] = kept[distinct[i]]
+                ids[i] = kept[u] = found
+        if new:
+            self._learn(new)
+            for i in missing:
+                ids[i] = kept[distinct[i]]
         return ids
 
     def _special(self, text: str) -> bool:
@@ -118,56 +157,60 @@ class Encoder:
             return False
         return any(t in text for t in self.special)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         """Parts that start with a space before a visible character and end visibly are encoded as one text and cut by bytes."""
-        joint = [u for u in new if u[:1] == " " and u != " " and not u[1].isspace() and not u[-1].isspace() and not self._special(u)]
-        apart = set(new).difference(joint)
+        joint, apart = [], []
+        for u in new:
+            t = u.decode()
+            fits = t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace() and not self._special(t)
+            (joint if fits else apart).append(u)
         for begin in range(0, len(joint), 4000):
             some = joint[begin:begin + 4000]
-            ids, = self._encode(["".join(some)])
+            ids, = self._encode([b"".join(some).decode()])
             ends = np.cumsum(self.sizes[ids])
-            wanted = np.cumsum(pc.binary_length(pa.array(some)).to_numpy())
-            cuts = np.searchsorted(ends, wanted) + 1
-            if not len(ids) or cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
-                apart.update(some)  # a vocabulary that joins across spaces
+            wanted = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            at = np.searchsorted(ends, wanted) + 1
+            if not len(ids) or at[-1] != len(ids) or (ends[at - 1] != wanted).any():
+                apart += some  # a vocabulary that joins across spaces
                 continue
             low, whole = 0, ids.tobytes()
-            for u, high in zip(some, (4 * cuts).tolist()):
+            for u, high in zip(some, (4 * at).tolist()):
                 self.kept[u] = whole[low:high]
                 low = high
-        apart = sorted(apart)
         for begin in range(0, len(apart), 4000):
             some = apart[begin:begin + 4000]
-            self.kept.update(zip(some, (i.tobytes() for i in self._encode(some))))
+            self.kept.update(zip(some, (i.tobytes() for i in self._encode([u.decode() for u in some]))))
+
+    def _begins(self, texts: pa.Array, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where parts begin; texts with a special string are cut at spaces only."""
+        if not len(data):
+            return np.zeros(0, np.int64)
+        cut = cuts(data, self.fine)
+        for special in self.special:
+            for row in np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)):
+                low, high = bounds[row:row + 2]
+                cut[low:high] = False if special in self.wide else cut[low:high] & cuts(data[low:high], False)
+        starts = bounds[:-1]
+        cut[starts[starts < bounds[1:]]] = True
+        return np.flatnonzero(cut)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts without nulls, and how many each text has."""
-        marked = pc.replace_substring(texts, " ", "\x00 ")
-        odd = pc.match_substring_regex(texts, _ODD)
-        own: dict[int, np.ndarray] = {}
-        if pc.any(odd).as_py():
-            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-            special = ["" if "\x00" in t else "\x00".join(units(t)) for t in texts.filter(odd).to_pylist()]
-            marked = pc.replace_with_mask(marked, odd, pa.array(special, texts.type))
-            held = {int(r): t for r, t in zip(rows, texts.filter(odd).to_pylist()) if "\x00" in t}
-            own = dict(zip(held, self._encode(list(held.values()))))
-        parts = pc.split_pattern(marked, "\x00")
-        coded = parts.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        ids = self._find(distinct)
-        size = np.array([len(b) // 4 for b in ids], np.int64)
+        texts = texts.cast(pa.string())
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(data or b"", np.uint8)[bounds[0]:bounds[-1]]
+        bounds -= bounds[0]
+        begins = self._begins(texts, data, bounds)
+        parts = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(data)).astype(np.int32)), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        ids = self._find(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
                                          pa.array(np.frombuffer(b"".join(ids), np.int32)))
         flat = lists.take(coded.indices).flatten().to_numpy().view("<u4")
         upto = np.concatenate([[0], np.cumsum(size[coded.indices.to_numpy()])])
-        bounds = upto[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
-        counts = np.diff(bounds)
-        if own:
-            pieces = np.split(flat, bounds[1:-1])
-            for r, v in own.items():
-                pieces[r] = v
-            flat, counts = np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
-        return flat, counts
+        return flat, np.diff(upto[np.searchsorted(begins, bounds)])
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -224,6 +267,8 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID, ke
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(np.full(len(n), part, np.int32)), "doc_id": batch.column(0).slice(begin, len(n)),
                     "local": pa.array(local), "n": pa.array(n), "ids": ids})
+            if forget:
+                pa.default_memory_pool().release_unused()
 
     prepared(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
