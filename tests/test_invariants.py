@@ -75,6 +75,24 @@ def test_unknown_families_share_few_keys_and_match_exactly(spark):
     assert mt._cells(mt._job_side(j)).select("key").distinct().count() < 2 * (mt.OTHER_FAMILIES + 20) * 12
 
 
+def test_grouped_pairs_add_up_to_all_pairs(spark):
+    """Nulls, repeated ids, equal pay and exclusions that bar by title or skill, or might; before, every pair was laid out to be counted."""
+    c, j, *_ = people_and_jobs(spark, 300)
+    when = lambda cond, value, name: F.when(F.expr(cond), value).otherwise(F.col(name))
+    texts = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    j = j.withColumns({"role_family": when("id % 7 = 0", F.concat(F.lit("made up "), F.col("id") % 3), "role_family"), "id": when("id % 50 = 1", F.lit(None).cast("long"), "id"),
+                       "skills": when("id % 13 = 0", texts("python", None), "skills"), "max_salary": when("id % 5 = 0", F.lit(80).cast("long"), "max_salary")})
+    c = c.unionByName(c.filter("id % 4 = 0")).withColumns({
+        "min_salary": when("id % 3 = 0", F.lit(100).cast("long"), "min_salary"), "id": when("id % 6 = 5", F.lit(None).cast("long"), "id"),
+        "exclusions": when("id % 8 = 3", texts("Python", "engineer"), "exclusions")}).withColumn("exclusions", when("id = 9", texts("x", None), "exclusions"))
+    want = mt.match_pairs(c, j).groupBy("candidate_id").agg(F.count("*"), F.sum("job_id"))
+    groups = mt.match_pairs(c, j, grouped=True)
+    got = groups.groupBy("candidate_id").agg(F.sum("jobs"), F.sum("job_sum"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() > 5
+    wider = j.unionByName(j).unionByName(j)
+    assert mt.match_pairs(c, wider, grouped=True).count() == groups.count() < mt.match_pairs(c, wider).count() / 3
+
+
 @pytest.mark.parametrize("k", [3, 40])
 def test_refreshed_lists_equal_matching_anew(spark, k):
     c, j, _, jobs = people_and_jobs(spark, 300)
