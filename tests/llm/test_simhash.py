@@ -54,6 +54,14 @@ def test_links_equal_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_links_are_not_broadcast(spark, tmp_path):
+    """A small table of fingerprints has 17 visitors a half, which no one is to hold at once."""
+    spark.range(2000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/fp")
+    found = links(spark.read.parquet(f"{tmp_path}/fp"))
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_groups_equal_brute_force(spark, docs_of):
     r = random.Random(3)
     texts = []

@@ -96,7 +96,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 .select((key + F.col("h").bitwiseXOR(F.col("m"))).alias("anchor"), F.col("fp").alias("v")))
     differ = F.col("u").bitwiseXOR(F.col("v"))
     first_half = F.bit_count(differ.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1
-    return (homes.join(visitors, "anchor")
+    # 17 visitors a half come out of a table that is small when it is read: neither side is to be broadcast
+    return (homes.join(visitors.hint("merge"), "anchor")
             .where((F.col("u") < F.col("v")) & (F.bit_count(differ) <= threshold)
                    & ((F.col("anchor") < 1 << 32) == first_half))  # the half that must find a link reports it
             .select("u", "v"))
