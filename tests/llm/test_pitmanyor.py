@@ -118,3 +118,22 @@ def test_workers_give_memory_back(spark, docs_of, monkeypatch):
     monkeypatch.setattr(pitmanyor, "eased", lambda run: seen.append(run) or eased(run))
     pitmanyor.scores(docs_of([(i, f"a b c{i}") for i in range(20)])).collect()
     assert {f.__name__ for f in seen} == {"run", "hot_counts", "cold_counts", "emit"}
+
+
+def test_rare_words_are_contexts_of_their_own(spark, docs_of):
+    """Words far below the share of frequent ones, each of which is always followed by the same word."""
+    r = random.Random(3)
+    texts = [" ".join(f"a{i} b{i}" for i in r.choices(range(1500), k=60)) for _ in range(250)]
+    docs = docs_of(list(enumerate(texts)))
+    rows = scores(docs, bucket_tokens=3000).collect()
+    out = [x for x in rows if x.held_out]
+    assert out and sum(x.n_known for x in out) > 0.95 * sum(x.n_tokens for x in out)
+    # half of the words are certain by then; a shared restaurant gains nothing
+    assert sum(x.score for x in out) > 0.7 * sum(x.base_score for x in out)
+
+
+def test_frequent_words_are_laid_out_but_not_modelled_apart(spark, docs_of):
+    texts = corpus()[:-1]
+    one, other = ({x.doc_id: x.score for x in scores(docs_of(list(enumerate(texts))), share=share, bucket_tokens=2000).collect()} for share in (1 / 1000, 1 / 20))
+    assert sum(one.values()) == pytest.approx(sum(other.values()), rel=0.01)
+    assert all(one[i] == pytest.approx(other[i], rel=0.1) for i in one)
