@@ -132,3 +132,23 @@ def test_dictionary_counts_all_findings(spark):
     part = found.selectExpr("explode(array('abc', substring(before, 2, 3))) AS part").groupBy("part").count()
     rows = sorted(((-r["count"], r.part) for r in part.collect()))[:9]
     assert secretforest.dictionary(found, 9) == sorted(p for _, p in rows)  # ties by part, which a sample does not show
+
+
+def test_texts_are_cut_once(spark, docs_of, tmp_path):
+    """What is between candidates is not looked for anew for each of them."""
+    docs_of([(1, "a " + "Q7" * 9)]).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for df in (findings(docs), redact(docs, None)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(CANDIDATE + ", -1)") == 1
+
+
+def test_texts_without_signs_are_read_like_others(spark, docs_of):
+    r = random.Random(5)
+    parts = ["word", " ", "\n", "-", "+", "é", "_", "Z9" * 8, "x" * 15, "a/b-" * 4, ",", "\t", "7" * 40, "Ж" * 9]
+    t = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(400)]
+    t += [x + r.choice(["=", ":", "eyJ", "-----BEGIN"]) for x in t[:100]]
+    docs = docs_of(list(enumerate(t)))
+    got = {(x.doc_id, x.nth): x.value for x in findings(docs).collect()}
+    assert got == {(i, n): m.group() for i, x in enumerate(t) for n, m in enumerate(candidates(x))} and len(got) > 300
+    assert {x.doc_id: x.text for x in redact(docs, None).collect()} == dict(enumerate(t))
